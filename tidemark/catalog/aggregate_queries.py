@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog.kpi_queries import rate
 from tidemark.functions import numbers, text
 from tidemark.operators import aggregates, sets
 from tidemark.plans.metrics import orders_metric_view, sales_snippets
@@ -67,8 +68,8 @@ def d04(v):
 
 @query(
     "d05_ratio_of_sums",
-    """select user_type, cast(sum(cash_revenue)::double / nullif(sum(active_user), 0)::double as decimal(38,2)) as arpu,
-         cast(sum(cash_paying_user)::double / nullif(sum(active_user), 0)::double as decimal(38,4)) as pay_rate
+    f"""select user_type, {rate('cash_revenue', 'active_user')} as arpu,
+         {rate('cash_paying_user', 'active_user', 4)} as pay_rate
        from kpi_daily group by 1""",
 )
 def d05(v):
@@ -235,7 +236,8 @@ def d19(v):
 
 _MEASURES = """count(*) as order_count, count(distinct o_custkey) as customers,
   cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as revenue,
-  cast(sum(cast(o_totalprice as decimal(18,2)))::double / nullif(count(distinct o_custkey), 0)::double as decimal(38,2)) as revenue_per_customer"""
+  cast(((2 * cast(round(sum(cast(o_totalprice as decimal(18,2)))::double * 1e2) as hugeint) + count(distinct o_custkey))
+    // nullif(2 * count(distinct o_custkey), 0))::double / 1e2 as decimal(38,2)) as revenue_per_customer"""
 
 
 @query(
