@@ -292,7 +292,8 @@ def d22(v):
     "d23_named_snippets",
     """select cast(date_trunc('month', o_orderdate) as date) as order_month,
          cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as total_revenue, count(o_totalprice) as order_count,
-         round(avg(cast(o_totalprice as decimal(18,2)))::double, 2) as avg_order_value
+         ((2 * cast(round(sum(cast(o_totalprice as decimal(18,2)))::double * 1e2) as hugeint) + count(*)) // (2 * count(*)))::double / 1e2
+           as avg_order_value
        from orders where o_totalprice > 100000 and o_orderpriority = '1-URGENT' group by 1""",
 )
 def d23(v):
