@@ -82,9 +82,9 @@ VIEW_SQL: dict[str, str] = {
                cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as purchases
         from events group by cast(ts as date)""",
     "bench_result": """
-        select concat('run_', source) as run_id, cast(d.doc_id % 5 + 1 as int) as iteration_number,
-               d.doc_id as result_id, d.doc_id % 20 as benchmark_id,
-               concat('question ', cast(d.doc_id % 20 as varchar(4))) as question,
+        select concat('run_', source) as run_id, cast(d.doc_id // 20 % 5 + 1 as int) as iteration_number,
+               d.doc_id as result_id, d.doc_id // 100 % 20 as benchmark_id,
+               concat('question ', cast(d.doc_id // 100 % 20 as varchar(4))) as question,
                l.quality = 1 as passed,
                case when l.quality = 1 then null when l.toxic = 1 then 'wrong_join'
                     when d.lang = 'en' then 'wrong_filter' else 'wrong_aggregation' end
@@ -92,10 +92,10 @@ VIEW_SQL: dict[str, str] = {
                cast(d.n_chars as double) / 100 as response_time_seconds
         from documents d join labels l on d.doc_id = l.doc_id""",
     "change_row": """
-        select concat('run_', cast(p_size % 7 as varchar(3))) as run_id,
-               cast(p_size % 5 + 1 as int) as iteration_number, p_partkey as change_id,
+        select concat('run_src', cast(p_size % 20 as varchar(3))) as run_id,
+               cast(p_partkey % 5 + 1 as int) as iteration_number, p_partkey as change_id,
                concat('add_', lower(substring(p_type, 1, 5))) as change_type,
-               p_brand as target_table, p_size % 4 <> 0 as applied_successfully
+               p_brand as target_table, p_partkey % 4 <> 0 as applied_successfully
         from part""",
     "pair_expected": """
         select o_custkey as pair_id, o_orderkey as row_key, o_orderstatus as c1, o_totalprice as c2
@@ -303,12 +303,13 @@ class Views:
 
     @cached_property
     def bench_result(self) -> DataFrame:
+        benchmark = F.expr("(doc_id div 100) % 20")
         return self.documents.select("doc_id", "source", "lang", "n_chars").join(self.labels, "doc_id").select(
             F.concat(F.lit("run_"), "source").alias("run_id"),
-            (F.col("doc_id") % 5 + 1).cast("int").alias("iteration_number"),
+            F.expr("cast((doc_id div 20) % 5 + 1 as int)").alias("iteration_number"),
             F.col("doc_id").alias("result_id"),
-            (F.col("doc_id") % 20).alias("benchmark_id"),
-            F.concat(F.lit("question "), (F.col("doc_id") % 20).cast("string")).alias("question"),
+            benchmark.alias("benchmark_id"),
+            F.concat(F.lit("question "), benchmark.cast("string")).alias("question"),
             (F.col("quality") == 1).alias("passed"),
             F.when(F.col("quality") == 1, None)
             .when(F.col("toxic") == 1, "wrong_join")
@@ -321,12 +322,12 @@ class Views:
     @cached_property
     def change_row(self) -> DataFrame:
         return self.part.select(
-            F.concat(F.lit("run_"), (F.col("p_size") % 7).cast("string")).alias("run_id"),
-            (F.col("p_size") % 5 + 1).cast("int").alias("iteration_number"),
+            F.concat(F.lit("run_src"), (F.col("p_size") % 20).cast("string")).alias("run_id"),
+            (F.col("p_partkey") % 5 + 1).cast("int").alias("iteration_number"),
             F.col("p_partkey").alias("change_id"),
             F.concat(F.lit("add_"), F.lower(F.substring("p_type", 1, 5))).alias("change_type"),
             F.col("p_brand").alias("target_table"),
-            (F.col("p_size") % 4 != 0).alias("applied_successfully"),
+            (F.col("p_partkey") % 4 != 0).alias("applied_successfully"),
         )
 
     @cached_property
