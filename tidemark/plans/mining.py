@@ -70,11 +70,11 @@ def pattern_counts(df: DataFrame, sql: str) -> DataFrame:
 
 def _frequency(df: DataFrame, found: dict[str, Column], min_count: int) -> DataFrame:
     """Queries that hold each extracted text, per kind; one query counts once."""
-    tagged = [
-        F.transform(F.array_distinct(c), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("text")))
-        for kind, c in found.items()
-    ]
-    items = df.select(F.explode(F.concat(*tagged)).alias("i")).select("i.*")
+
+    def tagged(kind: str, texts: Column) -> Column:
+        return F.transform(F.array_distinct(texts), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+
+    items = df.select(F.explode(F.concat(*[tagged(k, c) for k, c in found.items()])).alias("i")).select("i.*")
     return items.groupBy("kind", "text").agg(F.count(F.lit(1)).alias("queries")).filter(F.col("queries") >= min_count)
 
 
