@@ -97,7 +97,7 @@ def main() -> int:
         took = time.time() - start
         mark = "ok " if problem is None else "BAD"
         bad += problem is not None
-        if problem is not None or took > 3 or n == 0 or entry.check_sql is None:
+        if problem is not None or took > 6 or n == 0 or entry.check_sql is None:
             print(f"{mark} {name:32} rows={n} {took:5.1f}s {'' if entry.check_sql else '(no sql)'} {problem or ''}", flush=True)
     print("bad:", bad, "of", len(entries()))
     spark.stop()

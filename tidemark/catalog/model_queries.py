@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import joined_text
 from tidemark.plans import model
 from tidemark.registry import query
+from tidemark.session import materialize
 from tidemark.views import Views
 
 
@@ -96,6 +97,11 @@ def documents(v: Views):
     return model.read_documents(documents_json(v), "document")
 
 
+def stored_documents(v: Views):
+    """Typed documents written once, for plans that read them many times."""
+    return materialize(documents(v), "models")
+
+
 TYPES = [
     ("add_synonym", "metadata_add"), ("delete_synonym", "metadata_delete"), ("add_column_description", "metadata_add"),
     ("add_table_description", "metadata_add"), ("add_example_query", "sample_queries_add"),
@@ -419,7 +425,7 @@ _OUTCOMES = f"""with {_USABLE}, {_DELETED_EXAMPLES},
     f"{_OUTCOMES} select model_id, fix_id, fix_type, applied, case when not applied then why end as reason from oc",
 )
 def l11(v):
-    return model.apply_plan(documents(v), fixes(v))[1]
+    return model.apply_plan(stored_documents(v), fixes(v))[1]
 
 
 @query(
@@ -507,9 +513,9 @@ def l14_rollback(v):
         union all select distinct model_id, 'tables', 'main.shop.orders', 'changed' from us where k = 3""",
 )
 def l15(v):
-    docs = documents(v)
+    docs = stored_documents(v)
     before = model.explode_model(docs)
-    after, _ = model.apply_metadata_adds(before, docs, planned(v))
+    after, _ = model.apply_metadata_adds(before, docs, materialize(planned(v), "fixes"))
     return model.diff_models(before, after)
 
 

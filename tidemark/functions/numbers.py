@@ -29,10 +29,19 @@ def rounded(c: str | Column, digits: int = 2) -> Column:
     return F.round(to_col(c).cast("double"), digits)
 
 
+def exact_quotient(num: Column, den: Column, scale: int = 2) -> Column:
+    """Quotient rounded half up from decimals, so a tie never depends on binary fractions."""
+    return F.try_divide(num.cast("decimal(30,6)"), den.cast("decimal(18,0)")).cast(f"decimal(38,{scale})")
+
+
 def ratio(num: str | Column, den: str | Column, scale: int = 2) -> Column:
-    """Ratio of two sums: sum first, divide once."""
-    total = F.sum(to_col(num)).cast("double")
-    return F.try_divide(total, F.sum(to_col(den)).cast("double")).cast(f"decimal(38,{scale})")
+    """Ratio of a sum to a sum of counts: sum first, divide once."""
+    return exact_quotient(F.sum(to_col(num)), F.sum(to_col(den)), scale)
+
+
+def mean(c: str | Column, digits: int = 2) -> Column:
+    """Mean rounded half up, independent of the order of the rows."""
+    return exact_quotient(F.sum(to_col(c)), F.count(to_col(c)), digits).cast("double")
 
 
 def avg_ratio(num: str | Column, den: str | Column, digits: int = 2) -> Column:

@@ -128,10 +128,8 @@ def decide_trials(
     valid = trials.withColumn("__valid", F.when(ok, F.col(score)))
     seen = sliced.best_before(valid, keys, order, "__valid", "__best_before", slices)
     to_beat = F.greatest(F.col(initial), F.col("__best_before"))
-    # a valid earlier trial found the target reached: by its own score or already before it
-    reached_after = F.when(F.col("__valid").isNotNull(), (F.greatest(to_beat, "__valid") >= target).cast("int"))
-    flagged = seen.withColumn("score_to_beat", to_beat).withColumn("__hit", F.coalesce(reached_after, F.lit(0)))
-    stopped = sliced.best_before(flagged, keys, order, "__hit", "__stopped", slices)
+    # an earlier valid trial exists, and the score after it had reached the target
+    stopped = F.col("__best_before").isNotNull() & (to_beat >= target)
     decision = (
         F.when(F.col("__valid").isNull(), "error")
         .when(F.col("__valid") > F.col("score_to_beat"), "improved")
@@ -139,10 +137,11 @@ def decide_trials(
         .otherwise("unchanged")
     )
     return (
-        stopped.filter(F.coalesce(F.col("__stopped"), F.lit(0)) == 0)
+        seen.withColumn("score_to_beat", to_beat)
+        .filter(~stopped)
         .withColumn("decision", decision)
         .withColumn("kept", F.col("decision").isin("improved", "unchanged"))
-        .drop("__valid", "__best_before", "__hit", "__stopped")
+        .drop("__valid", "__best_before")
     )
 
 

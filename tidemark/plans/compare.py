@@ -41,31 +41,57 @@ def _moment(text: Column) -> Column:
     return F.coalesce(day.cast("string"), shown)
 
 
-def _number(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+def _text_of(text: Column) -> Column:
+    """Canonical text of a cell that is no number; only digits can start a date."""
+    dated = F.when(text.rlike(r"^\d"), F.coalesce(_moment(text), text)).otherwise(text)
+    return F.when(~text.isin(NULL_SPELLINGS), dated)
 
 
 def canonical(c: str | Column) -> Column:
     """Canonical text of a cell: missing, date, number or folded text."""
     text = _plain(to_col(c))
-    number = _number(text)
-    shown = F.when(number.isNotNull(), (number + 0.0).cast("string"))
-    return F.when(~text.isin(NULL_SPELLINGS), F.coalesce(_moment(text), shown, text))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.coalesce((number + 0.0).cast("string"), _text_of(text))
 
 
-def _bucketed(c: Column, tolerance: float, shift: float) -> Column:
-    """As ``canonical``, with numbers replaced by their bucket of width ``tolerance``."""
-    text = _plain(c)
-    number = _number(text)
-    bucket = F.concat(F.lit("#"), (F.rint(number / tolerance + shift) + 0.0).cast("string"))
-    return F.when(~text.isin(NULL_SPELLINGS), F.coalesce(_moment(text), bucket, text))
+def _with_values(df: DataFrame, cells: str) -> DataFrame:
+    """Add ``__values``: (number or NULL, canonical text or NULL) of every cell.
+
+    Each step is a column of its own, so a cell is folded and matched once
+    however many keys are made from it.
+    """
+    folded = df.withColumn("__folded", F.transform(cells, _plain))
+    matched = folded.withColumn(
+        "__matched",
+        F.transform(
+            "__folded",
+            lambda t: F.struct(F.when(t.rlike(_NUMBER), t.try_cast("double")).alias("number"), t.alias("raw")),
+        ),
+    )
+    values = F.transform(
+        "__matched",
+        lambda m: F.struct(
+            m["number"].alias("number"), F.when(m["number"].isNull(), _text_of(m["raw"])).alias("text")
+        ),
+    )
+    return matched.withColumn("__values", values).drop("__folded", "__matched")
 
 
-def _row_key(cells: Column, cell, *lead: Column) -> Column:
+def _shown(value: Column, tolerance: float, shift: float) -> Column:
+    """Key text of a value; a number shows its bucket of width ``tolerance``."""
+    number = value["number"]
+    bucket = number if tolerance == 0 else F.rint(number / tolerance + shift)
+    # + 0.0 turns minus zero into zero
+    return F.coalesce(
+        F.concat(F.lit("#"), (bucket + 0.0).cast("string")), F.concat(F.lit("v"), value["text"]), F.lit("n")
+    )
+
+
+def _row_key(tolerance: float, shift: float, *lead: Column) -> Column:
     """128-bit digest of a row, so wide rows travel as 16 bytes."""
-    shown = F.transform(cells, lambda c: F.coalesce(F.concat(F.lit("v"), cell(c)), F.lit("n")))
-    parts = F.concat(F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in lead]).cast("array<string>"), shown)
-    return F.unhex(F.md5(F.concat_ws("\x1f", parts)))
+    shown = F.transform("__values", lambda v: _shown(v, tolerance, shift))
+    parts = F.concat(F.array(*[x.cast("string") for x in lead]).cast("array<string>"), shown) if lead else shown
+    return F.unhex(F.md5(F.array_join(parts, "\x1f")))
 
 
 @dataclass(frozen=True)
@@ -100,18 +126,13 @@ def compare_results(
     share a bucket of the other. Rows meet by counts per bucket: first in both
     grids, then in the first, then the rest in the second.
     """
-    if rules.tolerance > 0:
-        first = lambda c: _bucketed(c, rules.tolerance, 0.0)
-        second = lambda c: _bucketed(c, rules.tolerance, 0.5)
-    else:
-        first = second = canonical
     lead = [F.col(position)] if rules.ordered else []
 
     def side(df: DataFrame, is_expected: int) -> DataFrame:
-        return df.select(
+        return _with_values(df, cells).select(
             F.col(pair),
-            _row_key(F.col(cells), first, *lead).alias("k1"),
-            _row_key(F.col(cells), second, *lead).alias("k2"),
+            _row_key(rules.tolerance, 0.0, *lead).alias("k1"),
+            _row_key(rules.tolerance, 0.5, *lead).alias("k2"),
             F.lit(is_expected).alias("e"),
             F.lit(1 - is_expected).alias("a"),
         )
@@ -192,9 +213,9 @@ def column_order(expected: DataFrame, actual: DataFrame, pair: str = "pair_id",
     """
 
     def profile(df: DataFrame, name: str) -> DataFrame:
-        opened = df.select(pair, F.posexplode(cells).alias(name, "raw"))
-        value = F.coalesce(F.concat(F.lit("v"), canonical("raw")), F.lit("n")).alias("value")
-        return opened.groupBy(pair, name, value).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        shown = F.transform("__values", lambda v: _shown(v, 0, 0))
+        opened = _with_values(df, cells).select(pair, F.posexplode(shown).alias(name, "value"))
+        return opened.groupBy(pair, name, "value").agg(F.count(F.lit(1)).alias(f"n_{name}"))
 
     shared = (
         profile(expected, "e")

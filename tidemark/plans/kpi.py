@@ -116,7 +116,7 @@ def online_time(daily: DataFrame, platform: str, days: int, as_of: str) -> DataF
     minutes = F.try_divide(F.sum("online_ts_mins").cast("double"), F.sum("active_user").cast("double"))
     return recent.groupBy("event_date", F.col(platform).alias("platform")).agg(
         F.sum("active_user").alias("dau"),
-        minutes.cast("decimal(38,2)").alias("avg_online_time_mins"),
+        ratio("online_ts_mins", "active_user").alias("avg_online_time_mins"),
         F.round(minutes / 60, 2).alias("avg_online_time_hours"),
     )
 

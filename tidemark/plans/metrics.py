@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import exact, money, rounded
+from tidemark.functions.numbers import exact, exact_quotient, money, rounded
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def orders_metric_view(v) -> MetricView:
             "order_count": F.count(F.lit(1)),
             "customers": buyers,
             "revenue": money(revenue),
-            "revenue_per_customer": F.try_divide(revenue.cast("double"), buyers.cast("double")).cast("decimal(38,2)"),
+            "revenue_per_customer": exact_quotient(revenue, buyers),
         },
         joins={
             "customer": (customer, ["o_custkey"]),

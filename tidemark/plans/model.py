@@ -21,6 +21,7 @@ from tidemark.functions.labels import position_in
 from tidemark.functions.text import is_hex_id, is_three_part_name, last_name_part, stable_id
 from tidemark.operators.filters import PARAMETER_TYPES, TYPE_HINT_ALIASES
 from tidemark.operators.ranking import canonical_array
+from tidemark.session import materialize
 
 _COLUMN = (
     "struct<column_name:string,description:array<string>,synonyms:array<string>,get_example_values:boolean,"
@@ -563,7 +564,8 @@ def apply_plan(
     relations as they are.
     """
     known = [t for types in ALLOWED_TYPES.values() for t in types]
-    planned = order_fixes(validate_fix_types(dedupe_fixes(fixes)))
+    # read by every step: written once rather than deduplicated for each
+    planned = materialize(order_fixes(validate_fix_types(dedupe_fixes(fixes))), "planned-fixes")
     before = explode_model(models)
     relations, outcomes = before, []
     for step in (

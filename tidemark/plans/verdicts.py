@@ -11,7 +11,6 @@ VERDICT = (
     "passed string, confidence string, reasoning string, differences array<string>, semantic_equivalence string"
 )
 BATCH_VERDICT = "array<struct<benchmark_id string, passed string, failure_reason string, failure_category string>>"
-ATTACHMENTS = "array<struct<type string, query string, sql string, data string>>"
 
 
 def _object_from(text: Column) -> Column:
@@ -124,67 +123,79 @@ def parse_batch_verdicts(
     ).drop("p", "r", "k", "__given", "readable")
 
 
+RESPONSE = (
+    "status string, sql string, query string, error string, query_result string, "
+    "attachments array<struct<type:string,query:string,sql:string,data:string>>"
+)
+QUERY = "query string, body string, sql string, statement string, query_result_metadata string"
+RESULT = (
+    "rows string, data string, row_count string, "
+    "statement_response struct<manifest:struct<sql:string>,statement:struct<sql:string>>"
+)
+ERROR = "message string, error string"
+
+
 def _as_line(value: Column) -> Column:
     """A text, or an array of lines joined to one text; empty text counts as none."""
     lines = joined_lines(F.from_json(value, "array<string>"))
     return F.when(value.startswith("["), lines).when(value != "", value)
 
 
-def _first_of(value: Column, *paths: str) -> Column:
-    return F.coalesce(*[_as_line(F.get_json_object(value, p)) for p in paths])
+def _if_object(value: Column) -> Column:
+    return F.when(value.startswith("{"), value)
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def extract_responses(df: DataFrame, c: str) -> DataFrame:
-    """Status, query text, result and error of a logged response document."""
-    doc = F.col(c)
-    held = df.withColumn("__attached", F.from_json(F.get_json_object(doc, "$.attachments"), ATTACHMENTS))
+    """Status, query text, result and error of a logged response document.
+
+    The document is read once; nested objects stay JSON text until one of their
+    fields is needed.
+    """
+    held = df.withColumn("__d", F.from_json(c, RESPONSE)).withColumns(
+        {
+            "__q": F.transform("__d.attachments", lambda a: F.from_json(_if_object(a["query"]), QUERY)),
+            "__r": F.from_json("__d.query_result", RESULT),
+            "__root": F.from_json(_if_object(F.col("__d.query")), QUERY),
+        }
+    )
 
-    def attached_sql(a: Column) -> Column:
-        query = a["query"]
-        nested = _first_of(query, "$.query", "$.body", "$.sql", "$.statement")
-        return F.coalesce(F.when(query.startswith("{"), nested).when(query != "", query), _as_line(a["sql"]))
+    def attached_sql(a: Column, i: Column) -> Column:
+        q = F.get(F.col("__q"), i)
+        nested = F.coalesce(*[_as_line(q[name]) for name in ("query", "body", "sql", "statement")])
+        plain = F.when((a["query"] != "") & ~a["query"].startswith("{"), a["query"])
+        return F.coalesce(nested, plain, _as_line(a["sql"]))
 
-    def first(values: Column) -> Column:
-        return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+    def attached_result(a: Column, i: Column) -> Column:
+        return F.when(a["type"] == "QUERY_RESULT", a["data"]).otherwise(F.get(F.col("__q"), i)["query_result_metadata"])
 
-    root_query = F.get_json_object(doc, "$.query")
+    root_query = F.col("__d.query")
     sql = F.coalesce(
-        first(F.transform("__attached", attached_sql)),
-        _first_of(
-            doc,
-            "$.query_result.statement_response.manifest.sql",
-            "$.query_result.statement_response.statement.sql",
-            "$.sql",
-        ),
-        F.when(root_query.startswith("{"), _first_of(root_query, "$.body", "$.sql", "$.statement")).when(
-            root_query != "", root_query
-        ),
-    )
-    root = F.get_json_object(doc, "$.query_result")
-    empty = ["[]", "{}", ""]
-    rows, data = F.get_json_object(root, "$.rows"), F.get_json_object(root, "$.data")
-    has_rows = F.coalesce(~rows.isin(empty), F.lit(False)) | F.coalesce(~data.isin(empty), F.lit(False))
-    counted = F.get_json_object(root, "$.row_count").isNotNull()
-    metadata = F.transform(
-        "__attached",
-        lambda a: F.when(a["type"] == "QUERY_RESULT", a["data"]).otherwise(
-            F.get_json_object(F.when(a["query"].startswith("{"), a["query"]), "$.query_result_metadata")
-        ),
-    )
-    status = F.get_json_object(doc, "$.status")
-    error = F.get_json_object(doc, "$.error")
-    message = F.coalesce(
-        F.when(error.startswith("{"), F.coalesce(
-            F.get_json_object(error, "$.message"), F.get_json_object(error, "$.error"), error
-        )),
-        F.when(error != "", error),
-        F.lit("Unknown error"),
+        _first(F.transform("__d.attachments", attached_sql)),
+        _as_line(F.col("__r.statement_response.manifest.sql")),
+        _as_line(F.col("__r.statement_response.statement.sql")),
+        _as_line(F.col("__d.sql")),
+        *[_as_line(F.col(f"__root.{name}")) for name in ("body", "sql", "statement")],
+        F.when((root_query != "") & ~root_query.startswith("{"), root_query),
     )
+
+    def holds(name: str) -> Column:
+        return F.coalesce(~F.col(f"__r.{name}").isin("[]", "{}", ""), F.lit(False))
+
+    status, error = F.col("__d.status"), F.col("__d.error")
+    parsed_error = F.from_json(_if_object(error), ERROR)
+    message = F.coalesce(parsed_error["message"], parsed_error["error"], F.when(error != "", error), F.lit("Unknown error"))
+    has_result = holds("rows") | holds("data") | F.col("__r.row_count").isNotNull()
     return held.withColumns(
         {
             "status": status,
             "sql": sql,
-            "result": F.when(has_rows | counted, root).otherwise(first(metadata)),
+            "result": F.when(has_result, F.col("__d.query_result")).otherwise(
+                _first(F.transform("__d.attachments", attached_result))
+            ),
             "error": F.when(status == "FAILED", message),
         }
-    ).drop("__attached")
+    ).drop("__d", "__q", "__r", "__root")
