@@ -59,6 +59,16 @@ def test_next_row(frame, rows, slices):
     assert {r.id: r.next_id for r in got} == wanted
 
 
+def test_a_value_with_half_of_all_rows_is_cut_by_the_second_column(spark):
+    data = [("hot", 5 if i % 2 else i, i) for i in range(4000)]
+    df = spark.createDataFrame(data, "key string, at int, id int")
+    sizes = sliced.sliced(df, ["at", "id"], 128).groupBy("__slice").count().agg({"count": "max"}).first()[0]
+    assert sizes < 150
+    ordered = sorted(data, key=lambda r: r[1:])
+    got = sliced.running_number(df, ["key"], ["at", "id"], "n", 128).select("id", "n").collect()
+    assert {r.id: r.n for r in got} == {r[2]: n for n, r in enumerate(ordered, 1)}
+
+
 def test_sliced_handles_empty_and_null_order(spark):
     empty = spark.createDataFrame([], "key string, at bigint, id bigint")
     assert sliced.running_number(empty, ["key"], ["at", "id"], "n").count() == 0

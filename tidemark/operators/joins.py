@@ -109,7 +109,7 @@ def safe_join_agg(facts: list[tuple[DataFrame, dict[str, Column]]], keys: list[s
     return reduce(lambda left, right: left.join(right, keys, how), grouped)
 
 
-def sequence_next(df: DataFrame, entity: str, order: list[str], carry: list[str], slices: int = 64) -> DataFrame:
+def sequence_next(df: DataFrame, entity: str, order: list[str], carry: list[str], slices: int | None = None) -> DataFrame:
     """Each row with the next row of the same entity (fields prefixed ``next_``)."""
     moved = next_row(df, [entity], order, carry, "__next", slices)
     return moved.filter(F.col("__next").isNotNull()).select(
@@ -117,7 +117,7 @@ def sequence_next(df: DataFrame, entity: str, order: list[str], carry: list[str]
     )
 
 
-def later_row_count(df: DataFrame, entity: str, order: list[str], name: str, slices: int = 64) -> DataFrame:
+def later_row_count(df: DataFrame, entity: str, order: list[str], name: str, slices: int | None = None) -> DataFrame:
     """How many later rows of the entity each row precedes, without emitting the pairs."""
     totals = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__total"))
     numbered = running_number(df, [entity], order, "__number", slices)

@@ -1,10 +1,14 @@
 """Ordered operators over groups too large for one task.
 
 A window over a key holds the whole group of that key in one task. Here each
-group is cut into slices of its order column; the window runs per (key, slice),
-and a second, tiny window over one summary row per slice carries the result
-across slice borders. Slices come from approximate quantiles of the whole
-column, so a group with a third of all rows spreads over a third of the slices.
+group is cut into slices of its order columns; the window runs per (key, slice),
+and a second, small window over one summary row per slice carries the result
+across slice borders.
+
+Slices come from approximate quantiles of the first order column, each quantile
+range being cut again evenly, so a key with a third of all rows spreads over
+about a third of the slices. A value that fills a quantile range by itself is
+cut by the second order column.
 """
 
 from __future__ import annotations
@@ -13,28 +17,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "__slice"
+RANGES = 64  # quantile ranges; finer slices come from even cuts within a range
 
 
 def _order(columns: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
-def sliced(df: DataFrame, order: str, slices: int = 64) -> DataFrame:
-    """Add the slice number of the order column (monotone in that column)."""
-    at = F.col(order)
-    kind = dict(df.dtypes)[order]
+def default_slices(df: DataFrame) -> int:
+    """As many slices as the session shuffles into partitions, 64 at least."""
+    set_to = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    return max(RANGES, int(set_to)) if set_to.isdigit() else 1000
+
+
+def _number(df: DataFrame, c: str) -> Column | None:
+    """A number that sorts as the column does, None for types without one."""
+    kind = dict(df.dtypes)[c]
     if kind == "date":
-        value = F.unix_date(at).cast("double")
-    elif kind.startswith("timestamp"):
-        value = F.unix_micros(at.cast("timestamp")).cast("double")
-    else:
-        value = at.cast("double")
-    steps = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(value, steps, 1000).alias("cuts")).scalar()
-    held = df.withColumn("__cuts", cuts).withColumn("__value", value)
-    number = F.size(F.filter("__cuts", lambda cut: cut < F.col("__value")))
-    unknown = F.col("__value").isNull() | F.col("__cuts").isNull()
-    return held.withColumn(_SLICE, F.when(unknown, -1).otherwise(number)).drop("__cuts", "__value")
+        return F.unix_date(F.col(c)).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(c).cast("double")
+    return None
+
+
+def _position(value: Column, cuts: Column, per_range: int) -> Column:
+    """Slot of a value: its quantile range, then its even share of that range.
+
+    The last slot of a range is kept for values equal to a repeated quantile.
+    """
+    before = F.size(F.filter(F.slice(cuts, 2, RANGES - 1), lambda c: c < value))
+    low, high = F.get(cuts, before), F.get(cuts, before + 1)
+    share = F.floor(F.try_divide(value - low, high - low) * per_range).cast("int")
+    inside = F.greatest(F.lit(0), F.least(F.lit(per_range - 1), F.coalesce(share, F.lit(0))))
+    return before * (per_range + 1) + F.when(_repeated(value, cuts), per_range).otherwise(inside)
+
+
+def _repeated(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c == value)) > 1
+
+
+def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+    """Add the slice number of the order columns (monotone in their order)."""
+    slices = slices or default_slices(df)
+    per_range = max(1, -(-slices // RANGES))
+    slots = RANGES * (per_range + 1)
+    lead = _number(df, order[0])
+    if lead is None:
+        raise TypeError(f"cannot slice by {order[0]}: its type has no numeric order")
+    second = _number(df, order[1]) if len(order) > 1 else None
+    steps = [i / RANGES for i in range(RANGES + 1)]
+    quantiles = [F.percentile_approx(lead, steps, 2000).alias("a")]
+    if second is not None:
+        quantiles.append(F.percentile_approx(second, steps, 2000).alias("b"))
+    cuts = df.agg(F.struct(*quantiles).alias("cuts")).scalar()
+    held = df.withColumns({"__cuts": cuts, "__lead": lead})
+    a = F.col("__cuts.a")
+    number = _position(F.col("__lead"), a, per_range) * F.lit(slots + 1).cast("bigint")
+    if second is not None:
+        held = held.withColumn("__second", second)
+        within = F.coalesce(_position(F.col("__second"), F.col("__cuts.b"), per_range) + 1, F.lit(0))
+        number = number + F.when(_repeated(F.col("__lead"), a), within).otherwise(0)
+    unknown = F.col("__lead").isNull() | a.isNull()
+    return held.withColumn(_SLICE, F.when(unknown, -1).otherwise(number)).drop("__cuts", "__lead", "__second")
 
 
 def _slice_summary(df: DataFrame, keys: list[str], summaries: dict[str, Column]) -> DataFrame:
@@ -56,9 +102,9 @@ def _all(conditions: list[Column]) -> Column:
     return result
 
 
-def running_number(df: DataFrame, keys: list[str], order: list[str], name: str, slices: int = 64) -> DataFrame:
+def running_number(df: DataFrame, keys: list[str], order: list[str], name: str, slices: int | None = None) -> DataFrame:
     """1, 2, 3 ... per key in the given order (which must be total)."""
-    cut = sliced(df, order[0], slices)
+    cut = sliced(df, order, slices)
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = _slice_summary(cut, keys, {"__n": F.count(F.lit(1))}).withColumn(
         "__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))
@@ -71,10 +117,10 @@ def running_number(df: DataFrame, keys: list[str], order: list[str], name: str,
 
 
 def best_before(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = 64
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int | None = None
 ) -> DataFrame:
     """Largest value among the earlier rows of the key; NULL for the first row."""
-    cut = sliced(df, order[0], slices)
+    cut = sliced(df, order, slices)
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = _slice_summary(cut, keys, {"__top": F.max(value)}).withColumn(
         "__carried", F.max("__top").over(before)
@@ -89,10 +135,10 @@ def best_before(
 
 
 def next_row(
-    df: DataFrame, keys: list[str], order: list[str], carry: list[str], name: str, slices: int = 64
+    df: DataFrame, keys: list[str], order: list[str], carry: list[str], name: str, slices: int | None = None
 ) -> DataFrame:
     """A struct of ``carry`` columns of the next row of the key, NULL for the last row."""
-    cut = sliced(df, order[0], slices)
+    cut = sliced(df, order, slices)
     held = F.struct(*carry)
     first = F.min(F.struct(F.struct(*order).alias("o"), held.alias("v")))["v"]
     after = Window.partitionBy(*keys).orderBy(_SLICE)

@@ -114,7 +114,7 @@ def decide_trials(
     initial: str,
     target: float,
     failed: str | None = None,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """Replay keep / reject decisions over a trial log.
 
