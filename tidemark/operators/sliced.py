@@ -42,27 +42,37 @@ def _number(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _position(value: Column, cuts: Column, per_range: int) -> Column:
-    """Slot of a value: its quantile range, then its even share of that range.
+def _placed(df: DataFrame, value: str, cuts: str, per_range: int, name: str) -> DataFrame:
+    """Add the slot of a value and whether the value is a repeated quantile.
 
-    The last slot of a range is kept for values equal to a repeated quantile.
+    A slot is the quantile range and an even share of that range; the last slot
+    of a range is kept for repeated quantiles. The range is found by comparing
+    with every eighth cut and then with the cuts between, as plain arithmetic
+    that Spark compiles.
     """
-    before = F.size(F.filter(F.slice(cuts, 2, RANGES - 1), lambda c: c < value))
-    low, high = F.get(cuts, before), F.get(cuts, before + 1)
-    share = F.floor(F.try_divide(value - low, high - low) * per_range).cast("int")
+    v, c = F.col(value), F.col(cuts)
+    step, below, equal = f"{name}_step", f"{name}_below", f"{name}_repeated"
+
+    def smaller(*indexes) -> Column:
+        flags = [(F.get(c, i if isinstance(i, Column) else F.lit(i)) < v).cast("int") for i in indexes]
+        return sum(flags[1:], flags[0])
+
+    searched = df.withColumn(step, smaller(*range(8, RANGES, 8)) * 8)
+    searched = searched.withColumn(below, F.col(step) + smaller(*[F.col(step) + i for i in range(1, 8)]))
+    low, high, after = (F.get(c, F.col(below) + i) for i in (0, 1, 2))
+    # the cuts are sorted: a repeated one meets its equal right beside it
+    twice = F.coalesce((high == v) & (after == v), F.lit(False)) | F.coalesce((low == v) & (high == v), F.lit(False))
+    share = F.floor(F.try_divide(v - low, high - low) * per_range).cast("int")
     inside = F.greatest(F.lit(0), F.least(F.lit(per_range - 1), F.coalesce(share, F.lit(0))))
-    return before * (per_range + 1) + F.when(_repeated(value, cuts), per_range).otherwise(inside)
-
-
-def _repeated(value: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c == value)) > 1
+    return searched.withColumn(equal, twice).withColumn(
+        name, F.col(below) * (per_range + 1) + F.when(F.col(equal), per_range).otherwise(inside)
+    )
 
 
 def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
     """Add the slice number of the order columns (monotone in their order)."""
     slices = slices or default_slices(df)
     per_range = max(1, -(-slices // RANGES))
-    slots = RANGES * (per_range + 1)
     lead = _number(df, order[0])
     if lead is None:
         raise TypeError(f"cannot slice by {order[0]}: its type has no numeric order")
@@ -73,14 +83,17 @@ def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFr
         quantiles.append(F.percentile_approx(second, steps, 2000).alias("b"))
     cuts = df.agg(F.struct(*quantiles).alias("cuts")).scalar()
     held = df.withColumns({"__cuts": cuts, "__lead": lead})
-    a = F.col("__cuts.a")
-    number = _position(F.col("__lead"), a, per_range) * F.lit(slots + 1).cast("bigint")
+    placed = _placed(held, "__lead", "__cuts.a", per_range, "__p")
+    number = F.col("__p") * F.lit(RANGES + 3).cast("bigint")
     if second is not None:
-        held = held.withColumn("__second", second)
-        within = F.coalesce(_position(F.col("__second"), F.col("__cuts.b"), per_range) + 1, F.lit(0))
-        number = number + F.when(_repeated(F.col("__lead"), a), within).otherwise(0)
-    unknown = F.col("__lead").isNull() | a.isNull()
-    return held.withColumn(_SLICE, F.when(unknown, -1).otherwise(number)).drop("__cuts", "__lead", "__second")
+        # searched only for rows with a repeated first value
+        placed = placed.withColumn("__second", second)
+        within = F.size(F.filter("__cuts.b", lambda cut: cut < F.col("__second"))) + 1
+        known = F.col("__p_repeated") & F.col("__second").isNotNull()
+        number = number + F.when(known, within).otherwise(0)
+    unknown = F.col("__lead").isNull() | F.col("__cuts.a").isNull()
+    helpers = [c for c in placed.columns if c not in df.columns]
+    return placed.withColumn(_SLICE, F.when(unknown, -1).otherwise(number)).drop(*helpers)
 
 
 def _slice_summary(df: DataFrame, keys: list[str], summaries: dict[str, Column]) -> DataFrame:
