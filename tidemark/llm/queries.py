@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import fingerprints, mixing, packing, token_files, url_filter
 from tidemark.llm.common import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,3 +27,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@registered("op2_url_filter", url_filter.ORACLE_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judged(pages, url_filter.rules_frame(spark))
+
+
+@registered("op6_fingerprints")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@registered("op7_best_fit_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+@registered("op8_token_files")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_files.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
