@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, packing, token_files, url_filter
+from tidemark.llm import embedding_dedup, fingerprints, mixing, packing, pii, quality, token_files, toxicity, url_filter
 from tidemark.llm.common import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -51,3 +51,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_files.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@registered("op3_embedding_links")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@registered("op1_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.scored(table(spark, folder, "documents").select("doc_id", "text"), labels)
+
+
+@registered("op4_personal_data")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.tagged(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@registered("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.scored(table(spark, folder, "documents").select("doc_id", "text"), labels)
