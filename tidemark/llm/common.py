@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SETTINGS = {
     # whole texts travel in these batches: few rows keep a worker's memory small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, fingerprints, mixing, packing, pii, quality, token_files, toxicity, url_filter
+from tidemark.llm import embedding_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, token_files, toxicity, url_filter
 from tidemark.llm.common import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -73,3 +73,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.scored(table(spark, folder, "documents").select("doc_id", "text"), labels)
+
+
+@registered("op9_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes_of(table(spark, folder, "documents").select("doc_id", "text"))

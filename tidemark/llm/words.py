@@ -51,8 +51,11 @@ class Segment:
     starts: np.ndarray  # where each piece begins in data
 
 
-def segments(texts: pa.Array, limit: int = SEGMENT_BYTES) -> Iterator[Segment]:
-    """A column of texts (NULL as empty) in pieces of bounded size, in order."""
+def segments(texts: pa.Array, limit: int = SEGMENT_BYTES, whole: bool = False) -> Iterator[Segment]:
+    """A column of texts (NULL as empty) in pieces of bounded size, in order.
+
+    With ``whole`` a longer text is one piece.
+    """
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
     texts = texts.fill_null("")
@@ -69,7 +72,7 @@ def segments(texts: pa.Array, limit: int = SEGMENT_BYTES) -> Iterator[Segment]:
             continue
         end = offsets[row + 1]
         while begin < end:
-            cut = min(begin + limit, end)
+            cut = end if whole else min(begin + limit, end)
             if cut < end:
                 blanks = np.flatnonzero(KINDS[data[begin + 1 : cut]] == SPACE)
                 cut = begin + 1 + blanks[-1] if len(blanks) else cut
