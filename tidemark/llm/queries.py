@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import embedding_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, token_files, toxicity, url_filter
 from tidemark.llm.common import table
 
@@ -78,3 +79,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op9_near_duplicates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes_of(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@registered("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
