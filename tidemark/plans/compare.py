@@ -77,40 +77,67 @@ def _with_values(df: DataFrame, cells: str) -> DataFrame:
     return matched.withColumn("__values", values).drop("__folded", "__matched")
 
 
-def _shown(value: Column, tolerance: float, shift: float) -> Column:
-    """Key text of a value; a number shows its bucket of width ``tolerance``."""
-    number = value["number"]
-    bucket = number if tolerance == 0 else F.rint(number / tolerance + shift)
+def _shown(value: Column, rules: Leniency, shift: float) -> Column:
+    """Key text of a value; a number shows its bucket of width ``tolerance``.
+
+    With a relative tolerance numbers are bent first: near zero as they are, far
+    from it as their logarithm, so that one bucket spans the same share of each.
+    """
+    number, tolerance = value["number"], rules.tolerance
+    if tolerance == 0:
+        bucket = number
+    else:
+        if rules.relative > 0:
+            bend = tolerance / rules.relative
+            number = F.signum(number) * F.log1p(F.abs(number) / bend) * bend
+        bucket = F.rint(number / tolerance + shift)
     # + 0.0 turns minus zero into zero
     return F.coalesce(
         F.concat(F.lit("#"), (bucket + 0.0).cast("string")), F.concat(F.lit("v"), value["text"]), F.lit("n")
     )
 
 
-def _row_key(tolerance: float, shift: float, *lead: Column) -> Column:
+def _row_key(rules: Leniency, shift: float, *lead: Column) -> Column:
     """128-bit digest of a row, so wide rows travel as 16 bytes."""
-    shown = F.transform("__values", lambda v: _shown(v, tolerance, shift))
+    shown = F.transform("__values", lambda v: _shown(v, rules, shift))
     parts = F.concat(F.array(*[x.cast("string") for x in lead]).cast("array<string>"), shown) if lead else shown
     return F.unhex(F.md5(F.array_join(parts, "\x1f")))
 
 
+# grids start here, so that values of a few decimals do not lie on their borders
+_GRID_START = (5**0.5 - 1) / 10
+
+
 @dataclass(frozen=True)
 class Leniency:
     """How far two results may differ and still pass.
 
-    ``tolerance``           cells within half of it always meet, cells more than
-                            it apart never do; in between, one numeric cell per
-                            row always meets, several may not
+    ``tolerance``           numeric cells more than it apart never meet; rows
+                            with d numeric cells, each within tolerance / (d + 1)
+                            of the other's, always share a bucket
+    ``relative``            share by which large numbers may differ besides,
+                            0 for none
     ``ordered``             rows must also agree by position
     ``max_missing_share``   share of the larger side that may be missing, if all
                             rows of the smaller side are found
     """
 
     tolerance: float = 0.01
+    relative: float = 0.0
     ordered: bool = False
     max_missing_share: float = 0.0
 
 
+#: rounding of large numbers and small differences in the number of rows pass
+LENIENT = Leniency(relative=1e-6, max_missing_share=0.05)
+
+
+def numeric_cells(df: DataFrame, cells: str = "cells") -> DataFrame:
+    """The most numeric cells in a row (one row)."""
+    numbers = F.size(F.filter(cells, lambda c: _plain(c).rlike(_NUMBER)))
+    return df.agg(F.coalesce(F.max(numbers), F.lit(0)).alias("n"))
+
+
 def compare_results(
     expected: DataFrame,
     actual: DataFrame,
@@ -118,71 +145,91 @@ def compare_results(
     cells: str = "cells",
     position: str = "row_no",
     rules: Leniency = Leniency(),
+    pairs: DataFrame | None = None,
+    grids: int | None = None,
 ) -> DataFrame:
     """One verdict row per pair: counts of matched, missing and extra rows.
 
-    Numbers are put in buckets of the tolerance's width on two grids, half a
-    bucket apart, so near values that fall on both sides of one grid's border
-    share a bucket of the other. Rows meet by counts per bucket: first in both
-    grids, then in the first, then the rest in the second.
+    Numbers are put in buckets of the tolerance's width on d + 1 grids, moved
+    against each other by equal steps, d being the most numeric cells of a row.
+    A difference smaller than a step crosses a border of one grid at most, so d
+    such cells leave a grid on which the rows agree. Rows meet by counts: those
+    that agree on all grids first, then what is left grid by grid.
+
+    ``pairs`` names all pairs: one whose results are both empty passes. ``grids``
+    sets the number of grids where it is known; else one pass counts cells.
     """
     lead = [F.col(position)] if rules.ordered else []
+    if rules.tolerance == 0:
+        grids = 1
+    elif grids is None:
+        held = numeric_cells(expected, cells).unionAll(numeric_cells(actual, cells))
+        grids = held.agg(F.max("n")).first()[0] + 1
+    shifts = [_GRID_START + g / grids for g in range(grids)]
+    keys = [f"k{g}" for g in range(grids)]
 
     def side(df: DataFrame, is_expected: int) -> DataFrame:
         return _with_values(df, cells).select(
             F.col(pair),
-            _row_key(rules.tolerance, 0.0, *lead).alias("k1"),
-            _row_key(rules.tolerance, 0.5, *lead).alias("k2"),
+            *[_row_key(rules, shift, *lead).alias(k) for k, shift in zip(keys, shifts)],
             F.lit(is_expected).alias("e"),
             F.lit(1 - is_expected).alias("a"),
         )
 
     # one grouping serves as the join of both sides and combines copies on the map side
-    grouped = side(expected, 1).unionAll(side(actual, 0)).groupBy(pair, "k1", "k2").agg(
-        F.sum("e").alias("e"), F.sum("a").alias("a")
-    )
+    grouped = side(expected, 1).unionAll(side(actual, 0)).groupBy(pair, *keys).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     met = F.least("e", "a")
-    fine = grouped.groupBy(pair).agg(
-        F.sum("e").alias("expected_rows"), F.sum("a").alias("actual_rows"), F.sum(met).alias("matched")
-    )
     nothing = F.lit(0).cast("bigint")
-    parts = [fine]
-    if rules.tolerance > 0:
+    parts = [
+        grouped.groupBy(pair).agg(
+            F.sum("e").alias("expected_rows"), F.sum("a").alias("actual_rows"), F.sum(met).alias("matched_rows")
+        )
+    ]
+    if grids > 1:
         rest = grouped.filter(F.col("e") != F.col("a")).select(
-            pair, "k1", "k2", (F.col("e") - met).alias("e"), (F.col("a") - met).alias("a")
+            pair, *keys, (F.col("e") - met).alias("e"), (F.col("a") - met).alias("a"), nothing.alias("m")
         )
-        # a first-grid bucket holds few second-grid buckets: 2 per numeric cell
-        bucket = Window.partitionBy(pair, "k1")
-        before = bucket.orderBy("k2").rowsBetween(Window.unboundedPreceding, -1)
-        within = F.least(F.sum("e").over(bucket), F.sum("a").over(bucket))
-        taken = {
-            s: F.greatest(nothing, F.least(F.col(s), F.col("m") - F.coalesce(F.col(f"{s}_before"), nothing)))
-            for s in ("e", "a")
-        }
-        settled = rest.select(
-            pair, "k2", "e", "a", within.alias("m"),
-            F.sum("e").over(before).alias("e_before"), F.sum("a").over(before).alias("a_before"),
-        ).select(pair, "k2", "e", "a", taken["e"].alias("te"), taken["a"].alias("ta"))
-        coarse = settled.groupBy(pair).agg(F.sum("te").alias("matched"))
-        last = (
-            settled.groupBy(pair, "k2")
-            .agg(F.sum(F.col("e") - F.col("te")).alias("e"), F.sum(F.col("a") - F.col("ta")).alias("a"))
-            .groupBy(pair)
-            .agg(F.sum(met).alias("matched"))
+        for k in keys:
+            rest = _met_on(rest, pair, k, keys)
+        parts.append(
+            rest.groupBy(pair).agg(nothing.alias("expected_rows"), nothing.alias("actual_rows"), F.sum("m").alias("matched_rows"))
         )
-        for extra in (coarse, last):
-            parts.append(extra.select(pair, nothing.alias("expected_rows"), nothing.alias("actual_rows"), "matched"))
+    if pairs is not None:
+        parts.append(pairs.select(pair, *[nothing.alias(c) for c in ("expected_rows", "actual_rows", "matched_rows")]).distinct())
     totals = parts[0]
     for extra in parts[1:]:
         totals = totals.unionByName(extra)
     return _verdicts(totals, pair, rules)
 
 
+def _met_on(rest: DataFrame, pair: str, key: str, keys: list[str]) -> DataFrame:
+    """Let rows that agree on one grid meet; ``m`` counts the expected rows met so far.
+
+    A bucket of one grid holds few buckets of the others, so its window is short.
+    """
+    bucket = Window.partitionBy(pair, key)
+    before = bucket.orderBy(*[k for k in keys if k != key]).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.least(F.sum("e").over(bucket), F.sum("a").over(bucket))
+    nothing = F.lit(0).cast("bigint")
+
+    def taken(s: str) -> Column:
+        left = F.col("__within") - F.coalesce(F.col(f"__{s}_before"), nothing)
+        return F.greatest(nothing, F.least(F.col(s), left))
+
+    seen = rest.withColumns(
+        {"__within": within, "__e_before": F.sum("e").over(before), "__a_before": F.sum("a").over(before)}
+    )
+    return seen.select(
+        pair, *keys, (F.col("e") - taken("e")).alias("e"), (F.col("a") - taken("a")).alias("a"),
+        (F.col("m") + taken("e")).alias("m"),
+    )
+
+
 def _verdicts(totals: DataFrame, pair: str, rules: Leniency) -> DataFrame:
     rows = totals.groupBy(pair).agg(
         F.sum("expected_rows").alias("expected_rows"),
         F.sum("actual_rows").alias("actual_rows"),
-        F.sum("matched").alias("matched_rows"),
+        F.sum("matched_rows").alias("matched_rows"),
     )
     larger = F.greatest("expected_rows", "actual_rows").cast("double")
     found = F.col("matched_rows") == F.least("expected_rows", "actual_rows")
@@ -213,7 +260,7 @@ def column_order(expected: DataFrame, actual: DataFrame, pair: str = "pair_id",
     """
 
     def profile(df: DataFrame, name: str) -> DataFrame:
-        shown = F.transform("__values", lambda v: _shown(v, 0, 0))
+        shown = F.transform("__values", lambda v: _shown(v, Leniency(tolerance=0), 0))
         opened = _with_values(df, cells).select(pair, F.posexplode(shown).alias(name, "value"))
         return opened.groupBy(pair, name, "value").agg(F.count(F.lit(1)).alias(f"n_{name}"))
 
@@ -294,18 +341,18 @@ def compare_sql(pairs: DataFrame, expected: str, actual: str) -> DataFrame:
     def listed(text: str) -> Column:
         return F.array(F.lit(text))
 
-    plain = "Simple SQL string comparison"
+    plain = "Query texts compared after normalization"
     return pairs.withColumns(
         {
             "passed": pick(F.lit(False), F.lit(False), F.lit(True), F.lit(False)),
             "confidence": pick("high", "low", "medium", "low"),
-            "reasoning": pick("No SQL was generated", "No expected SQL to compare against", plain, plain),
+            "reasoning": pick("There is no query to judge", "There is no expected query", plain, plain),
             "differences": pick(
-                listed("No SQL generated"),
-                listed("Missing expected SQL"),
+                listed("query absent"),
+                listed("expected query absent"),
                 F.array().cast("array<string>"),
-                listed("SQLs differ after normalization"),
+                listed("normalized texts differ"),
             ),
-            "semantic_equivalence": pick("No output", "Unknown", "Exact match", "Different"),
+            "semantic_equivalence": pick("none", "unknown", "same text", "other text"),
         }
     )

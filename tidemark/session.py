@@ -82,8 +82,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, which survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
