@@ -83,6 +83,33 @@ def test_apply_plan_outcomes_and_relations(spark, models):
     assert relations["snippets"].count() == 0 and relations["examples"].count() == 0
 
 
+def test_outcomes_belong_to_their_model(spark):
+    second = json.loads(json.dumps(DOC))
+    second["data_sources"]["tables"][0]["column_configs"][0]["synonyms"] = ["other"]
+    second["instructions"]["example_question_sqls"] = []
+    second["instructions"]["sql_snippets"]["filters"] = []
+    second["instructions"]["join_specs"] = []
+    df = spark.createDataFrame([(1, json.dumps(DOC)), (2, json.dumps(second))], "model_id bigint, d string")
+    both = model.read_documents(df, "d")
+    rows = [
+        {"fix_category": "metadata_delete", "fix_type": "delete_synonym", "table_ref": "orders", "column_name": "total", "synonym": "sum"},
+        {"fix_category": "sample_queries_delete", "fix_type": "delete_example_query", "pattern_name": "top"},
+        {"fix_category": "sql_snippets_delete", "fix_type": "delete_filter", "display_name": "big"},
+        {"fix_category": "join_specs_delete", "fix_type": "delete_join_spec", "left_table": "main.s.orders", "right_table": "main.s.order_items"},
+    ]
+    # fix ids restart in each model
+    every = [r | {"model_id": m, "fix_id": i} for m in (1, 2) for i, r in enumerate(rows)]
+    _, report = model.apply_plan(both, make_fixes(spark, every))
+    got = sorted((r.model_id, r.fix_id, r.applied) for r in report.collect())
+    assert got == [(1, i, True) for i in range(4)] + [(2, i, False) for i in range(4)]
+
+
+def test_an_empty_description_is_missing(spark, models):
+    fix = {"fix_category": "metadata_add", "fix_type": "add_table_description", "table_ref": "orders", "description": [""]}
+    _, got = outcomes(spark, models, [fix])
+    assert got[0] == (False, model.MISSING)
+
+
 def test_dry_run_changes_nothing(spark, models):
     fix = {"fix_category": "metadata_add", "fix_type": "add_synonym", "table_ref": "orders", "column_name": "total", "synonym": "sales"}
     relations, report = model.apply_plan(models, make_fixes(spark, [fix]), dry_run=True)

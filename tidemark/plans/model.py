@@ -286,6 +286,12 @@ def _outcome(fixes: DataFrame, applied: Column, reason: Column) -> DataFrame:
     return fixes.select("model_id", "fix_id", "fix_type", done.alias("applied"), F.when(~done, reason).alias("reason"))
 
 
+def _judged(fixes: DataFrame, hits: DataFrame) -> DataFrame:
+    """Mark the fixes (model_id, fix_id) that hit something; a fix is known by both, as ids restart per model."""
+    hit = hits.select("model_id", "fix_id").distinct().withColumn("__hit", F.lit(True))
+    return fixes.join(hit, ["model_id", "fix_id"], "left")
+
+
 def _with_table(fixes: DataFrame, models: DataFrame) -> DataFrame:
     return fixes.join(resolve_tables(fixes, models), ["model_id", "table_ref"], "left")
 
@@ -305,10 +311,12 @@ def apply_metadata_adds(
     Of several descriptions of one target the latest fix counts.
     """
     mine = _with_table(fixes.filter(_type(*ALLOWED_TYPES["metadata_add"])), models)
+    # an empty description is as good as none
+    described = F.coalesce(F.exists("description", lambda d: F.length(d) > 0), F.lit(False))
     complete = (
         F.when(_type("add_synonym"), _filled("table_ref", "column_name", "synonym"))
-        .when(_type("add_column_description"), _filled("table_ref", "column_name") & F.col("description").isNotNull())
-        .otherwise(_filled("table_ref") & F.col("description").isNotNull())
+        .when(_type("add_column_description"), _filled("table_ref", "column_name") & described)
+        .otherwise(_filled("table_ref") & described)
     )
     usable = mine.filter(complete & F.col("table_pos").isNotNull())
     outcome = _outcome(
@@ -317,12 +325,12 @@ def apply_metadata_adds(
     no_text = F.lit(None).cast("array<string>")
 
     # existing rows count as fix -1: any fix is newer
-    described = relations["columns"].withColumn("__fix", F.lit(-1).cast("bigint"))
+    older = relations["columns"].withColumn("__fix", F.lit(-1).cast("bigint"))
     touched = usable.filter(_type("add_synonym", "add_column_description")).select(
         "model_id", "table_pos", "column_name", F.col("fix_id").alias("__fix"),
         F.when(_type("add_column_description"), F.col("description")).otherwise(no_text).alias("description"),
     )
-    merged = described.unionByName(touched, allowMissingColumns=True)
+    merged = older.unionByName(touched, allowMissingColumns=True)
     latest = F.max(F.when(F.col("description").isNotNull(), F.struct("__fix", "description")))["description"]
     first = F.min("__fix")
     columns = merged.groupBy("model_id", "table_pos", "column_name").agg(
@@ -361,9 +369,9 @@ def apply_metadata_deletes(
     complete = _filled("table_ref", "column_name", "synonym")
     first = mine.filter(complete).groupBy(*key).agg(F.min("fix_id").alias("__first"))
     hits = relations["synonyms"].select(*key).distinct().join(first, key)
-    judged = mine.join(hits.select("__first").distinct(), F.col("fix_id") == F.col("__first"), "left")
+    judged = _judged(mine, hits.select("model_id", F.col("__first").alias("fix_id")))
     reason = F.when(~complete, MISSING).when(F.col("table_pos").isNull(), NO_TABLE).otherwise(NOTHING)
-    outcome = _outcome(judged, F.col("__first").isNotNull(), reason)
+    outcome = _outcome(judged, F.col("__hit"), reason)
     kept = relations["synonyms"].join(hits.select(*key), key, "left_anti")
     return {**relations, "synonyms": kept}, outcome
 
@@ -406,9 +414,9 @@ def apply_examples(
     numbered = F.transform(F.col("examples"), lambda e, i: F.struct(i.alias("i"), e["id"].alias("id"), e["question"].alias("question")))
     aimed = wanted.join(listed, "model_id").withColumn("pos", F.get(F.filter(numbered, fits), F.lit(0))["i"])
     hits = aimed.filter(F.col("pos").isNotNull()).groupBy("model_id", "pos").agg(F.min("fix_id").alias("__first"))
-    judged = deletes.join(hits.select("__first"), F.col("fix_id") == F.col("__first"), "left")
+    judged = _judged(deletes, hits.select("model_id", F.col("__first").alias("fix_id")))
     outcome = _outcome(
-        judged, F.col("__first").isNotNull(), F.when(_filled("pattern_name"), NOTHING).otherwise(MISSING)
+        judged, F.col("__hit"), F.when(_filled("pattern_name"), NOTHING).otherwise(MISSING)
     )
     old = relations["examples"]
     gone = hits.select("model_id", "pos")
@@ -450,9 +458,8 @@ def _first_delete(items: DataFrame, deletes: DataFrame, keys: list[dict[str, str
 
 
 def _delete_outcome(deletes: DataFrame, removed: DataFrame, complete: Column) -> DataFrame:
-    hit = removed.select(F.col("fix_id").alias("__hit")).distinct()
-    judged = deletes.join(hit, F.col("fix_id") == F.col("__hit"), "left")
-    return _outcome(judged, F.col("__hit").isNotNull(), F.when(complete, NOTHING).otherwise(MISSING))
+    judged = _judged(deletes, removed.select("model_id", "fix_id"))
+    return _outcome(judged, F.col("__hit"), F.when(complete, NOTHING).otherwise(MISSING))
 
 
 def apply_snippets(
