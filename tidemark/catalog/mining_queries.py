@@ -45,7 +45,29 @@ def n03(v):
        select b.term, b.c as column_ref, b.n as queries, round(b.n::double * (select count(*) from part) / (tc.n::double * cc.n), 4) as lift from b join tc on tc.term = b.term join cc on cc.c = b.c""",
 )
 def n04(v):
-    return mining.mine_synonyms(v.sql_text, "question", "sql")
+    return mining.mine_synonyms(v.sql_text, "question", "sql", columns=mining.measured_columns)
+
+
+@query(
+    "n04_mine_all_columns",
+    """with x as (select p_partkey as q, lower(p_type) as kind, p_size % 3 as m from part),
+       t as (select q, m, unnest(list_distinct(list_filter(regexp_split_to_array('count of ' || kind, '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 1))) as term from x),
+       c as (select q, unnest(['user_' || m, 'region', 'day', 'k', 'amount']) as column_ref from x),
+       b as (select term, column_ref, count(*) as n from t join c on t.q = c.q group by 1, 2 having count(*) >= 2),
+       tc as (select term, count(*) as n from t group by 1), cc as (select column_ref, count(*) as n from c group by 1)
+       select b.term, b.column_ref, b.n as queries, round(b.n::double * (select count(*) from part) / (tc.n::double * cc.n), 4) as lift
+       from b join tc on tc.term = b.term join cc on cc.column_ref = b.column_ref""",
+)
+def n04_all(v):
+    """Columns in COUNT(DISTINCT), SELECT, WHERE, ON and GROUP BY, with aliases."""
+    asked = v.part.select(
+        F.concat(F.lit("Count of "), F.lower("p_type")).alias("question"),
+        F.concat(
+            F.lit("SELECT a.region, COUNT(DISTINCT a.User_"), (F.col("p_size") % 3).cast("string"),
+            F.lit(") FROM main.sales a JOIN dim AS d ON a.k = d.k WHERE d.day >= '2024-01-01 note' AND amount > 5 GROUP BY region ORDER BY 2 DESC"),
+        ).alias("sql"),
+    )
+    return mining.mine_synonyms(asked, "question", "sql")
 
 
 @query(
@@ -56,6 +78,23 @@ def n05(v):
     return mining.mine_joins(v.sql_text, "sql")
 
 
+@query(
+    "n05_mine_join_chains",
+    """with p as (select p_size % 5 as a, p_size % 4 as b from part)
+       select 'main.t' || a as left_table, 'd' || b as right_table, 'main.t' || a || '.j=d' || b || '.j and main.t' || a || '.k=d' || b || '.k' as condition, count(*) as queries from p group by 1, 2, 3
+       union all select 'd' || b, 'e', 'd' || b || '.y=e.y', count(*) from p group by 1, 2, 3
+       union all select 'e', 'f', 'using(z,w)', count(*) from p group by 1, 2, 3""",
+)
+def n05_chains(v):
+    """Chains of joins with aliases, composite and turned conditions and USING."""
+    a, b = ((F.col("p_size") % n).cast("string") for n in (5, 4))
+    sql = F.concat(
+        F.lit("SELECT count(*) FROM main.T"), a, F.lit(" x JOIN d"), b,
+        F.lit(" AS y ON x.k = y.k AND y.j = x.j LEFT JOIN e ON y.y = e.y JOIN f USING (z, w) WHERE x.note = 'a.b = c.d'"),
+    )
+    return mining.mine_joins(v.part.select(sql.alias("sql")), "sql")
+
+
 @query(
     "n06_relationship_type",
     """with l as (select max(n) as n from (select o_custkey, count(*) as n from orders group by 1) x), r as (select max(n) as n from (select c_custkey, count(*) as n from customer group by 1) x)

@@ -22,7 +22,15 @@ DEFAULTED = r"(?i)(COALESCE\(SUM\([^)]*\),\s*0\))"
 AGGREGATE = r"(?i)\b((?:SUM|COUNT|AVG|MIN|MAX)\((?:DISTINCT\s+)?[^()]*\))"
 CASE = r"(?i)(CASE\s+WHEN[\s\S]*?END)"
 TABLE = rf"(?i)\b(?:FROM|JOIN)\s+({NAME})"
-JOIN = rf"(?i)\bJOIN\s+({NAME})(?:\s+(?:AS\s+)?(?!ON\b){NAME})?\s+ON\s+({NAME}\s*=\s*{NAME})"
+_NO_ALIAS = "ON|USING|WHERE|JOIN|LEFT|RIGHT|INNER|OUTER|FULL|CROSS|NATURAL|GROUP|ORDER|LIMIT|HAVING|UNION|SET"
+SOURCE = rf"(?i)\b(?:FROM|JOIN)\s+({NAME})(?:\s+(?:AS\s+)?(?!(?:{_NO_ALIAS})\b)([A-Za-z_]\w*))?"
+EQUALITY = rf"({NAME}\.\w+)\s*=\s*({NAME}\.\w+)"
+USING = rf"(?i)\bJOIN\s+({NAME})(?:\s+(?:AS\s+)?(?!USING\b)\w+)?\s+USING\s*\(([^)]*)\)"
+# words of a query that are no columns
+KEYWORDS = (
+    "select from where group order by having limit join on using inner left right full outer cross and or not in is null "
+    "as distinct case when then else end between like asc desc union all interval date timestamp true false over partition with exists"
+).split()
 
 
 def _all(c: str | Column, pattern: str, group: int = 1) -> Column:
@@ -107,26 +115,90 @@ def mine_tables(df: DataFrame, sql: str) -> DataFrame:
     return named.groupBy("table_name").agg(F.count(F.lit(1)).alias("queries"))
 
 
+def _sources(sql: str | Column) -> Column:
+    """Tables of a query in order: (name, alias), the alias being the last part of the name where none is given."""
+    found = F.arrays_zip(_all(sql, SOURCE, 1).alias("name"), _all(sql, SOURCE, 2).alias("given"))
+    last = lambda t: F.regexp_extract(t["name"], r"([^.]*)$", 1)
+    return F.transform(
+        found,
+        lambda t: F.struct(
+            F.lower(t["name"]).alias("name"),
+            F.lower(F.when(F.coalesce(t["given"], F.lit("")) != "", t["given"]).otherwise(last(t))).alias("alias"),
+        ),
+    )
+
+
 def mine_joins(df: DataFrame, sql: str) -> DataFrame:
-    """Frequency of joined tables with their condition."""
-    first = F.lower(F.regexp_extract(to_col(sql), rf"(?i)\bFROM\s+({NAME})", 1))
-    pairs = F.arrays_zip(_all(sql, JOIN, 1).alias("right_table"), _all(sql, JOIN, 2).alias("condition"))
-    opened = df.select(first.alias("left_table"), F.explode(pairs).alias("j"))
-    return opened.groupBy(
-        "left_table",
-        F.lower("j.right_table").alias("right_table"),
-        F.lower(F.regexp_replace("j.condition", r"\s+", "")).alias("condition"),
-    ).agg(F.count(F.lit(1)).alias("queries"))
-
-
-def mine_synonyms(df: DataFrame, question: str, sql: str, min_count: int = 2) -> DataFrame:
+    """Frequency of joined table pairs with their condition.
+
+    Both tables of a pair come from the names in an equality, aliases resolved;
+    the table named first in the query is the left one. All equalities of a pair
+    make one condition. ``USING`` joins a table to the one named before it.
+    """
+    held = df.select(_sources(sql).alias("t"), F.regexp_replace(to_col(sql), r"'[^']*'", "''").alias("q"))
+    equal = F.arrays_zip(_all("q", EQUALITY, 1).alias("l"), _all("q", EQUALITY, 2).alias("r"))
+
+    def place(name: Column) -> Column:
+        owner = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
+        return F.array_position(F.transform("t", lambda t: (t["alias"] == owner) | (t["name"] == owner)), True).cast("int")
+
+    def shown(at: Column, name: Column) -> Column:
+        return F.concat(F.get("t", at - 1)["name"], F.lit("."), F.lower(F.regexp_extract(name, r"([^.]*)$", 1)))
+
+    def side(x: Column) -> Column:
+        return F.struct(place(x["l"]).alias("i"), place(x["r"]).alias("j"), x["l"].alias("l"), x["r"].alias("r"))
+
+    def oriented(x: Column) -> Column:
+        first, second = shown(x["i"], x["l"]), shown(x["j"], x["r"])
+        swap = x["i"] > x["j"]
+        text = F.when(swap, F.concat(second, F.lit("="), first)).otherwise(F.concat(first, F.lit("="), second))
+        return F.struct(F.least(x["i"], x["j"]).alias("i"), F.greatest(x["i"], x["j"]).alias("j"), text.alias("c"))
+
+    known = F.filter(F.transform(equal, side), lambda x: (x["i"] > 0) & (x["j"] > 0) & (x["i"] != x["j"]))
+    using = F.arrays_zip(_all("q", USING, 1).alias("l"), _all("q", USING, 2).alias("r"))
+
+    def shared(x: Column) -> Column:
+        at = F.array_position(F.transform("t", lambda t: t["name"] == F.lower(x["l"])), True).cast("int")
+        columns = F.lower(F.regexp_replace(x["r"], r"\s+", ""))
+        return F.struct((at - 1).alias("i"), at.alias("j"), F.concat(F.lit("using("), columns, F.lit(")")).alias("c"))
+
+    parts = held.withColumn("e", F.concat(F.transform(known, oriented), F.transform(using, shared)))
+    pairs = F.array_distinct(F.transform("e", lambda x: F.struct("t", x["i"].alias("i"), x["j"].alias("j"))))
+    opened = parts.select("e", F.explode(pairs).alias("p"))
+    mine = F.filter("e", lambda x: (x["i"] == F.col("p.i")) & (x["j"] == F.col("p.j")))
+    named = opened.filter("p.i > 0").select(
+        F.get("p.t", F.col("p.i") - 1)["name"].alias("left_table"),
+        F.get("p.t", F.col("p.j") - 1)["name"].alias("right_table"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["c"]))), " and ").alias("condition"),
+    )
+    return named.groupBy("left_table", "right_table", "condition").agg(F.count(F.lit(1)).alias("queries"))
+
+
+def measured_columns(sql: str | Column) -> Column:
+    """Columns within aggregates."""
+    return _all(sql, r"(?i)(?:SUM|AVG|MIN|MAX|COUNT)\(\s*(?:DISTINCT\s+)?([A-Za-z_][\w.]*)\s*\)")
+
+
+def used_columns(sql: str | Column) -> Column:
+    """Columns anywhere in a query: names that are no keyword, function, table or alias; qualifiers are dropped."""
+    text = F.regexp_replace(to_col(sql), r"'[^']*'", "''")
+    names = F.transform(_all(text, r"([A-Za-z_][\w.]*+)(?!\s*\()"), F.lower)
+    sources = _sources(sql)
+    tables = F.concat(F.transform(sources, lambda t: t["name"]), F.transform(sources, lambda t: t["alias"]))
+    wanted = F.filter(names, lambda n: ~n.isin(*KEYWORDS) & ~F.array_contains(tables, n))
+    return F.transform(wanted, lambda n: F.regexp_extract(n, r"([^.]*)$", 1))
+
+
+def mine_synonyms(df: DataFrame, question: str, sql: str, min_count: int = 2, columns=used_columns) -> DataFrame:
     """Term and column co-occurrence with its lift over chance.
 
     Terms and columns are paired within one query only, each distinct per query.
+    ``columns`` says which columns of a query count: all it uses, or
+    ``measured_columns``.
     """
     terms = F.array_distinct(F.filter(F.split(F.lower(question), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
-    columns = F.array_distinct(F.transform(_all(sql, r"(?i)(?:SUM|AVG|MIN|MAX|COUNT)\(\s*([A-Za-z_][\w.]*)\s*\)"), F.lower))
-    held = df.select(terms.alias("terms"), columns.alias("columns"))
+    named = F.array_distinct(F.transform(columns(sql), F.lower))
+    held = df.select(terms.alias("terms"), named.alias("columns"))
     queries = held.agg(F.count(F.lit(1)).alias("n")).scalar()
     pairs = held.select(F.explode("terms").alias("term"), "columns").select("term", F.explode("columns").alias("column_ref"))
     together = pairs.groupBy("term", "column_ref").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_count)
