@@ -77,13 +77,9 @@ def test_sliced_handles_empty_and_null_order(spark):
     assert {r.id: r.n for r in got} == {1: 1, 3: 2, 2: 3}
 
 
-def test_collect_parts_keeps_every_value_of_a_hot_group(spark, rows):
+def test_value_counts_of_a_hot_group(spark, rows):
     df = spark.createDataFrame(rows, "key string, at bigint, id bigint, value bigint")
-    parts = aggregates.collect_parts(df, ["key"], "id", "ids", part_size=100).collect()
-    hot = [p for p in parts if p.key == "hot"]
-    assert len(hot) > 10
-    assert sorted(i for p in hot for i in p.ids) == sorted(r[2] for r in rows if r[0] == "hot")
-    assert sum(p.occurrences for p in parts) == len(rows)
+    assert aggregates.value_counts(df, ["key", "id"]).agg({"occurrences": "sum"}).first()[0] == len(rows)
 
 
 def test_first_examples_by_frequency(spark):
@@ -92,6 +88,14 @@ def test_first_examples_by_frequency(spark):
     assert aggregates.first_examples(df, ["g"], "w", 3, "e").first().e == ["b", "c", "d"]
 
 
+def test_first_examples_cut_before_the_shuffle(spark):
+    df = spark.range(5000).selectExpr("'hot' as g", "cast(id as string) as w")
+    found = aggregates.first_examples(df, ["g"], "w", 2, "e")
+    assert found.first().e == ["0", "1"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "collect_list" in plan
+
+
 def test_latest_record_ignores_row_order(spark):
     data = [(1, "2024-01-01", 5), (1, "2024-01-03", 2), (1, "2024-01-03", 9), (2, None, 1)]
     df = spark.createDataFrame(data, "id int, at string, votes int")

@@ -163,8 +163,9 @@ def m07(v):
 
 @query(
     "m08_failure_patterns",
-    """select run_id, iteration_number, failure_category, cast(0 as bigint) as part, count(*) as occurrence_count, list(distinct question order by question) as example_questions
-       from bench_result where not passed group by 1, 2, 3""",
+    """select run_id, iteration_number, failure_category, question, count(*) as occurrences,
+         cast(sum(count(*)) over (partition by run_id, iteration_number, failure_category) as bigint) as occurrence_count
+       from bench_result where not passed group by 1, 2, 3, 4""",
 )
 def m08(v):
     return tracking.failure_patterns(v.bench_result)
@@ -288,8 +289,7 @@ def m19(v):
 
 @query(
     "m20_plan_by_category",
-    """with p as (select run_id, change_type as fix_category, target_table as fix_details, count(*) as n from change_row group by 1, 2, 3)
-       select run_id, fix_category, cast(0 as bigint) as part, cast(sum(n) as bigint) as occurrences, list(fix_details order by fix_details) as fixes from p group by 1, 2""",
+    "select run_id, change_type as fix_category, target_table as fix_details, count(*) as occurrences from change_row group by 1, 2, 3",
 )
 def m20(v):
     plan = v.change_row.select("run_id", F.col("change_type").alias("fix_category"), F.col("target_table").alias("fix_details"))

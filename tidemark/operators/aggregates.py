@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,36 +75,19 @@ def recurring(df: DataFrame, keys: list[str], at_least: int, name: str = "fail_c
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) >= at_least)
 
 
-def collect_parts(df: DataFrame, keys: list[str], value: str, name: str, part_size: int = 10_000) -> DataFrame:
-    """Distinct values per group as sorted lists of bounded length.
-
-    A group with up to ``part_size`` distinct values gives one row with part 0.
-    A larger group gives several rows: values are spread over
-    ceil(count / part_size) parts by hash, so no task or cell ever holds a whole
-    hot group and no value is lost.
-    """
-    values = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__copies"))
-    sizes = values.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__size"))
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = same if on is None else on & same
-    parts = F.ceil(F.col("__size") / F.lit(float(part_size))).cast("bigint")
-    placed = values.join(sizes, on).withColumn("part", F.pmod(F.xxhash64(value), parts))
-    return placed.groupBy(*keys, "part").agg(
-        F.sum("__copies").alias("occurrences"), F.array_sort(F.collect_list(value)).alias(name)
-    )
+def value_counts(df: DataFrame, keys: list[str], name: str = "occurrences") -> DataFrame:
+    """One row per combination of keys with its number of rows, however large a group is."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
 def first_examples(df: DataFrame, keys: list[str], value: str, n: int, name: str) -> DataFrame:
     """Up to ``n`` example values per group, most frequent first.
 
-    Two steps of top-n: per (group, slice of the values), then per group, so a
-    hot group is never collected whole.
+    The limit on the row number holds below the shuffle as well: each task passes
+    on n values of a group at most, and lists are made of those alone.
     """
     counts = df.groupBy(*keys, value).agg((-F.count(F.lit(1))).alias("__n"))
-    item = F.struct("__n", F.col(value).alias("v"))
-    sliced = counts.withColumn("__slice", F.pmod(F.xxhash64(value), F.lit(64)))
-    inner = sliced.groupBy(*keys, "__slice").agg(F.slice(F.array_sort(F.collect_list(item)), 1, n).alias("__top"))
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("__top"))), 1, n)
-    return inner.groupBy(*keys).agg(F.transform(merged, lambda s: s["v"]).alias(name))
+    order = Window.partitionBy(*keys).orderBy("__n", F.col(value).asc_nulls_first())
+    top = counts.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("__rank", F.col(value).alias("v"))))
+    return top.groupBy(*keys).agg(F.transform(listed, lambda s: s["v"]).alias(name))

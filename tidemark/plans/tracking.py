@@ -14,7 +14,7 @@ from tidemark.functions.labels import progress_label
 from tidemark.functions.numbers import success_rate
 from tidemark.functions.text import details_map, joined_text, stable_id
 from tidemark.operators import joins
-from tidemark.operators.aggregates import collect_parts, count_map, recurring, score_rollup, top_category
+from tidemark.operators.aggregates import count_map, recurring, score_rollup, top_category, value_counts
 from tidemark.operators.ranking import latest_n
 from tidemark.operators.windows import latest_record
 
@@ -156,18 +156,17 @@ def change_distribution(changes: DataFrame) -> DataFrame:
     )
 
 
-def failure_patterns(results: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Failures per iteration and category with their questions.
+def failure_patterns(results: DataFrame) -> DataFrame:
+    """A row per iteration, category and question with its failures, and those of the whole category.
 
-    Distinct questions come in lists of bounded length; ``occurrence_count`` is
-    the count of the whole category, repeated on each part.
+    Totals are summed from the counted questions, so a hot category is combined
+    on the map side and no list of questions is built.
     """
     keys = [*RUN, "failure_category"]
-    failed = results.filter(~F.col("passed"))
-    lists = collect_parts(failed, keys, "question", "example_questions", part_size).drop("occurrences")
-    counts = failed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(_rows().alias("occurrence_count"))
+    asked = value_counts(results.filter(~F.col("passed")), [*keys, "question"])
+    totals = asked.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("occurrences").alias("occurrence_count"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return lists.join(counts, on[0] & on[1] & on[2]).drop(*[f"__{k}" for k in keys])
+    return asked.join(totals, on[0] & on[1] & on[2]).drop(*[f"__{k}" for k in keys])
 
 
 def rollback_points(iterations: DataFrame) -> DataFrame:
@@ -252,9 +251,9 @@ def stage_timing(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return joined.withColumns({"status": status, "duration_seconds": seconds})
 
 
-def plan_by_category(plan: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Planned fixes per run and category, in lists of bounded length."""
-    return collect_parts(plan, ["run_id", "fix_category"], "fix_details", "fixes", part_size)
+def plan_by_category(plan: DataFrame) -> DataFrame:
+    """A row per run, category and planned fix with how often it is planned."""
+    return value_counts(plan, ["run_id", "fix_category", "fix_details"])
 
 
 def fixes_to_rows(plans: DataFrame) -> DataFrame:
