@@ -57,7 +57,7 @@ def test_gradients_as_differences():
 
 
 def test_long_text_in_parts_finds_its_window(monkeypatch):
-    texts, label = sample(200)
+    texts, label = sample(600)
     net = tx.train(tx.sample_windows(pa.array(texts), label), np.ones(len(texts)))
     fresh, y = sample(100, seed=2)
     assert ((tx.doc_logits(net, pa.array(fresh)) > 0) == y).mean() > 0.9

@@ -94,8 +94,9 @@ class Network:
     def run(self, inputs: np.ndarray, start: np.ndarray, length: np.ndarray, keep: bool = False):
         """Logit of each window; with ``keep`` also what the way back needs."""
         w, h, n = self.w, HIDDEN, len(start)
-        x = w["e"][inputs].sum(1) if len(inputs) else np.zeros((0, INPUT), np.float32)
-        x = np.vstack([x, np.zeros((1, INPUT), np.float32)])  # read beyond a window's end, then masked
+        x = np.zeros((len(inputs) + 1, INPUT), w["e"].dtype)  # the last row is read beyond a window's end, then masked
+        for column in inputs.T:
+            x[:-1] += w["e"][column]
         at = [np.where(t < length, start + t, len(x) - 1) for t in range(WINDOW)]
         on = [(t < length)[:, None].astype(np.float32) for t in range(WINDOW)]
         states = np.zeros((WINDOW, n, 2 * h), np.float32)
@@ -230,7 +231,8 @@ def train(sample: Sample, weight: np.ndarray, rounds: int = 6, least_steps: int
     steps, docs = 0, len(np.unique(sample.doc))
     rounds = max(rounds, least_steps * 128 // (docs + docs // 2 + 128))
     for round_ in range(rounds):
-        logit = net.run(sample.inputs, sample.start, sample.length)
+        blocks = np.array_split(np.arange(len(sample.doc)), len(sample.doc) // 2048 + 1)
+        logit = np.concatenate([net.run(*_only(sample, block), sample.length[block]) for block in blocks])
         order = np.lexsort((-logit, sample.doc))
         top = order[np.flatnonzero(np.diff(sample.doc[order], prepend=-1))]
         # one more window of each clean document: none of its windows is toxic
