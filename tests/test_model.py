@@ -143,13 +143,43 @@ def test_old_field_replaces_new(spark, models):
     assert column.enable_format_assistance is True and column.get_example_values is None
 
 
-def test_sections_of_a_large_model_are_split_without_loss(spark, models):
+def test_items_of_a_large_model(spark):
     many = {"synonyms": spark.range(500).select(
         F.lit(1).cast("bigint").alias("model_id"), F.lit(0).alias("table_pos"), F.lit("c").alias("column_name"),
         F.col("id").cast("string").alias("synonym"), F.col("id").cast("int").alias("pos"), F.lit(None).cast("bigint").alias("added_by"),
     )}
-    parts = model.assemble_model(many, part_size=50).collect()
-    assert len(parts) > 5 and sorted(json.loads(i)["synonym"] for p in parts for i in p["items"]) == sorted(map(str, range(500)))
+    rows = model.section_items(many).collect()
+    assert sorted(json.loads(r["item"])["synonym"] for r in rows) == sorted(map(str, range(500)))
+
+
+def shown(documents):
+    return {r.model_id: json.loads(r.d) for r in documents.select("model_id", F.to_json(F.struct(*[c for c in documents.columns if c != "model_id"])).alias("d")).collect()}
+
+
+def test_documents_there_and_back(spark, models):
+    again = model.to_documents(model.explode_model(models), models)
+    assert again.schema.simpleString() == models.schema.simpleString()
+    first = shown(again)[1]
+    assert first["data_sources"]["tables"] == [
+        {"identifier": "main.s.orders", "column_configs": [{"column_name": "total", "synonyms": ["sum", "amount"], "get_example_values": True}]},
+        {"identifier": "main.s.order_items", "column_configs": []},
+    ]
+    assert first["instructions"]["join_specs"] == DOC["instructions"]["join_specs"]
+    assert first["instructions"]["example_question_sqls"] == DOC["instructions"]["example_question_sqls"]
+    assert shown(model.to_documents(model.explode_model(again), again)) == shown(again)
+
+
+def test_apply_then_validate(spark, models):
+    relations, _ = model.apply_plan(models, make_fixes(spark, [
+        {"fix_category": "metadata_add", "fix_type": "add_synonym", "table_ref": "orders", "column_name": "total", "synonym": "sales"},
+        {"fix_category": "join_specs_delete", "fix_type": "delete_join_spec", "left_table": "main.s.orders", "right_table": "main.s.order_items"},
+    ]))
+    new = model.to_documents(relations, models)
+    first = shown(new)[1]
+    assert first["data_sources"]["tables"][0]["column_configs"][0]["synonyms"] == ["sum", "amount", "sales"]
+    assert first["instructions"]["join_specs"] == []
+    before, after = ({(r.model_id, r.message) for r in model.validate_models(d).collect()} for d in (models, new))
+    assert {m for _, m in before - after} == {f"Join {'2' * 32} missing relationship type marker"} and not after - before
 
 
 def test_diff_sees_added_removed_changed(spark, models):

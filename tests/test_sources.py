@@ -22,9 +22,12 @@ def test_markdown_directory(spark, tmp_path):
     full = "## 1. 제목 하나 ✅\n\n**Question:** What?\n\n```sql\nSELECT 1\nFROM t\n```\n"
     (tmp_path / "a.md").write_text("# Top\n\n" + full + "\n### 2. no question\n```sql\nSELECT 2\n```\n")
     (tmp_path / "b.md").write_text(full)
+    (tmp_path / "sub folder").mkdir()
+    (tmp_path / "sub folder" / "a.md").write_text(full)
     strict = benchmarks.ingest_dir(spark, str(tmp_path))
-    assert {r.source_file: r.row_count for r in benchmarks.rows_per_file(strict).collect()} == {"a.md": 1, "b.md": 1}
-    row = strict.filter("source_file = 'a.md'").first()
+    found = {r.source_file.split(f"{tmp_path}/")[1]: r.row_count for r in benchmarks.rows_per_file(strict).collect()}
+    assert found == {"a.md": 1, "b.md": 1, "sub folder/a.md": 1}
+    row = strict.filter("source_file like '%/a.md' and source_file not like '%sub folder%'").first()
     assert (row.question, row.korean_question, row.expected_sql, row.question_number) == ("What?", "제목 하나", "SELECT 1\nFROM t", 1)
     loose = benchmarks.ingest_dir(spark, str(tmp_path), require_question=False)
     assert loose.filter("question = 'no question'").count() == 1

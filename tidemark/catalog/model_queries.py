@@ -270,21 +270,42 @@ def l01_examples(v):
 
 
 @query(
-    "l01_assemble_sections",
+    "l01_section_items",
     f"""with {DOCS}, n as (select model_id, 'tables' as section, count(*) as n from mt group by 1 union all select model_id, 'columns', count(*) from mc group by 1
           union all select model_id, 'synonyms', count(*) from ms group by 1 union all select c_custkey, 'examples', 3 from customer union all select c_custkey, 'snippets', 4 from customer
           union all select c_custkey, 'joins', 1 from customer union all select c_custkey, 'instructions', case when c_nationkey = 5 then 2 else 1 end from customer where c_acctbal > 0 or c_nationkey = 5)
-        select model_id, section, cast(0 as bigint) as part, cast(n as integer) as items, case section when 'tables' then (select string_agg(identifier, ' ' order by lower(identifier)) from mt where mt.model_id = n.model_id)
+        select model_id, section, n as items, case section when 'tables' then (select string_agg(identifier, ' ' order by lower(identifier)) from mt where mt.model_id = n.model_id)
            when 'synonyms' then (select string_agg(synonym, ' ' order by lower(synonym)) from ms where ms.model_id = n.model_id) end as keys from n""",
 )
-def l01_assemble(v):
-    sections = model.assemble_model(model.explode_model(documents(v)))
-    path = F.when(F.col("section") == "tables", "$.identifier").when(F.col("section") == "synonyms", "$.synonym")
-    keys = F.transform("items", lambda i: F.when(F.col("section") == "tables", F.get_json_object(i, "$.identifier")).otherwise(F.get_json_object(i, "$.synonym")))
-    return sections.select(
-        "model_id", "section", "part", F.size("items").alias("items"),
-        F.when(path.isNotNull(), F.array_join(keys, " ")).alias("keys"),
+def l01_items(v):
+    items = model.section_items(model.explode_model(documents(v)))
+    shown = F.when(F.col("section") == "tables", F.get_json_object("item", "$.identifier")).when(
+        F.col("section") == "synonyms", F.get_json_object("item", "$.synonym")
     )
+    listed = F.array_sort(F.collect_list(F.struct("item_key", "added_by", "pos", shown.alias("k"))))
+    grouped = items.groupBy("model_id", "section").agg(F.count(F.lit(1)).alias("items"), listed.alias("l"))
+    named = F.col("section").isin("tables", "synonyms")
+    return grouped.select(
+        "model_id", "section", "items", F.when(named, F.array_join(F.transform("l", lambda x: x["k"]), " ")).alias("keys")
+    )
+
+
+@query("l01_round_trip", "select c_custkey as model_id, true as same from customer")
+def l01_round_trip(v):
+    """Documents written back from their relations, twice: the second time nothing changes, and no list loses an item."""
+    docs = stored_documents(v)
+    once = materialize(model.to_documents(model.explode_model(docs), docs), "models")
+    twice = model.to_documents(model.explode_model(once), once)
+
+    def text(df, name):
+        kept = [c for c in df.columns if c != "model_id"]
+        # a missing list and an empty one are alike
+        shown = F.regexp_replace(F.to_json(F.struct(*kept)), r'"[a-z_]+":\[\],?', "")
+        return df.select("model_id", F.regexp_replace(shown, r",\}", "}").alias(name))
+
+    given = text(model.canonical_sort(docs), "a").join(text(model.canonical_sort(once), "b"), "model_id")
+    both = given.join(text(model.canonical_sort(twice), "c"), "model_id")
+    return both.select("model_id", ((F.col("a") == F.col("b")) & (F.col("b") == F.col("c"))).alias("same"))
 
 
 @query("l02_resolve_tables", f"with {FIXES}, {DOCS}, {RESOLVED} select distinct f.model_id, f.ref as table_ref, rs.tp as table_pos, mt.identifier from pl f join rs on rs.fix_id = f.fix_id left join mt on mt.model_id = f.model_id and mt.table_pos = rs.tp where f.ref is not null")

@@ -73,10 +73,13 @@ def window_join(
 
 
 def bounded_by(df: DataFrame, c: str, spikes: DataFrame, spike_date: str, pad: int) -> DataFrame:
-    """Rows between the first and the last spike date, padded (two scalar subqueries)."""
-    first = spikes.agg(F.date_sub(F.min(spike_date), pad).alias("lo")).scalar()
-    last = spikes.agg(F.date_add(F.max(spike_date), pad).alias("hi")).scalar()
-    return df.filter((F.col(c) >= first) & (F.col(c) <= last))
+    """Rows between the first and the last spike date, padded.
+
+    Both bounds are fields of one scalar subquery, so the spikes are found once.
+    """
+    ends = F.struct(F.date_sub(F.min(spike_date), pad).alias("lo"), F.date_add(F.max(spike_date), pad).alias("hi"))
+    bounds = spikes.agg(ends.alias("bounds")).scalar()
+    return df.filter((F.col(c) >= bounds["lo"]) & (F.col(c) <= bounds["hi"]))
 
 
 def literal_dim(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:

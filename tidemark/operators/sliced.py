@@ -18,18 +18,13 @@ from pyspark.sql import functions as F
 
 _SLICE = "__slice"
 RANGES = 64  # quantile ranges; finer slices come from even cuts within a range
+SLICE_ROWS = 200_000  # rows that a slice is meant to hold
 
 
 def _order(columns: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
-def default_slices(df: DataFrame) -> int:
-    """As many slices as the session shuffles into partitions, 64 at least."""
-    set_to = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(RANGES, int(set_to)) if set_to.isdigit() else 1000
-
-
 def _number(df: DataFrame, c: str) -> Column | None:
     """A number that sorts as the column does, None for types without one."""
     kind = dict(df.dtypes)[c]
@@ -42,7 +37,7 @@ def _number(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _placed(df: DataFrame, value: str, cuts: str, per_range: int, name: str) -> DataFrame:
+def _placed(df: DataFrame, value: str, cuts: str, per_range: Column, name: str) -> DataFrame:
     """Add the slot of a value and whether the value is a repeated quantile.
 
     A slot is the quantile range and an even share of that range; the last slot
@@ -63,26 +58,30 @@ def _placed(df: DataFrame, value: str, cuts: str, per_range: int, name: str) ->
     # the cuts are sorted: a repeated one meets its equal right beside it
     twice = F.coalesce((high == v) & (after == v), F.lit(False)) | F.coalesce((low == v) & (high == v), F.lit(False))
     share = F.floor(F.try_divide(v - low, high - low) * per_range).cast("int")
-    inside = F.greatest(F.lit(0), F.least(F.lit(per_range - 1), F.coalesce(share, F.lit(0))))
+    inside = F.greatest(F.lit(0), F.least(per_range - 1, F.coalesce(share, F.lit(0))))
     return searched.withColumn(equal, twice).withColumn(
         name, F.col(below) * (per_range + 1) + F.when(F.col(equal), per_range).otherwise(inside)
     )
 
 
 def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
-    """Add the slice number of the order columns (monotone in their order)."""
-    slices = slices or default_slices(df)
-    per_range = max(1, -(-slices // RANGES))
+    """Add the slice number of the order columns (monotone in their order).
+
+    Without ``slices`` their number follows the number of rows, which comes with
+    the quantiles from one pass.
+    """
     lead = _number(df, order[0])
     if lead is None:
         raise TypeError(f"cannot slice by {order[0]}: its type has no numeric order")
     second = _number(df, order[1]) if len(order) > 1 else None
     steps = [i / RANGES for i in range(RANGES + 1)]
-    quantiles = [F.percentile_approx(lead, steps, 2000).alias("a")]
+    quantiles = [F.percentile_approx(lead, steps, 2000).alias("a"), F.count(F.lit(1)).alias("n")]
     if second is not None:
         quantiles.append(F.percentile_approx(second, steps, 2000).alias("b"))
     cuts = df.agg(F.struct(*quantiles).alias("cuts")).scalar()
     held = df.withColumns({"__cuts": cuts, "__lead": lead})
+    wanted = F.lit(slices) if slices else F.col("__cuts.n") / SLICE_ROWS
+    per_range = F.greatest(F.lit(1), F.ceil(wanted / RANGES).cast("int"))
     placed = _placed(held, "__lead", "__cuts.a", per_range, "__p")
     number = F.col("__p") * F.lit(RANGES + 3).cast("bigint")
     if second is not None:

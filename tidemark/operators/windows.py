@@ -74,11 +74,17 @@ def rank_by(df: DataFrame, name: str, order: Column, partition: list[str] | None
     return df.withColumn(name, F.rank().over(_window(partition, [order])))
 
 
-def share(df: DataFrame, c: str, name: str, partition: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """Percent of the grand total (scalar subquery) or of the partition total."""
+def share(
+    df: DataFrame, c: str, name: str, partition: list[str] | None = None, digits: int = 2, few: bool = False
+) -> DataFrame:
+    """Percent of the grand total or of the partition total.
+
+    The grand total is a scalar subquery. Where ``df`` is already one row per
+    label, ``few`` sums it in place instead of reading its facts a second time.
+    """
     value = F.col(c).cast("double")
-    if partition:
-        total = F.sum(c).over(Window.partitionBy(*partition)).cast("double")
+    if partition or few:
+        total = F.sum(c).over(Window.partitionBy(*(partition or []))).cast("double")
     else:
         total = df.agg(F.sum(c).cast("double").alias("total")).scalar()
     return df.withColumn(name, F.round(F.try_divide(value * 100.0, total), digits))

@@ -129,7 +129,7 @@ def explode_model(models: DataFrame) -> dict[str, DataFrame]:
         "tables": tables.drop("column_configs"),
         "columns": columns.select(
             "model_id", "table_pos", "pos", none, "x.column_name", "x.description",
-            "x.enable_format_assistance", "x.enable_entity_matching",
+            "x.enable_format_assistance", "x.enable_entity_matching", "x.get_example_values", "x.build_value_dictionary",
         ),
         "synonyms": columns.select(
             "model_id", "table_pos", "x.column_name", F.posexplode("x.synonyms").alias("pos", "synonym"), none
@@ -147,29 +147,74 @@ SECTION_KEY = {
 }
 
 
-def assemble_model(relations: dict[str, DataFrame], part_size: int = 10_000) -> DataFrame:
-    """Relations back as document sections: (model_id, section, part, items).
+def section_items(relations: dict[str, DataFrame]) -> DataFrame:
+    """Relations as document items: (model_id, section, item_key, added_by, pos, item), a row per item.
 
-    Items are JSON texts sorted by their key, ignoring case. A section of up to
-    ``part_size`` items is one row with part 0; a larger one is spread over
-    several rows, so no cell or task holds a hot model's section whole.
+    ``item_key``, ``added_by`` and ``pos`` give the canonical order of a section.
     """
     rows = None
     for section, frame in relations.items():
-        key = F.lower(F.coalesce(F.col(SECTION_KEY[section]), F.lit("")))
         kept = [c for c in frame.columns if c not in ("model_id", "pos", "added_by")]
         item = frame.select(
-            "model_id", F.lit(section).alias("section"), key.alias("k"),
-            F.coalesce("added_by", F.lit(-1)).alias("a") if "added_by" in frame.columns else F.lit(-1).alias("a"),
-            F.coalesce(F.col("pos"), F.lit(0)).alias("p") if "pos" in frame.columns else F.col("table_pos").alias("p"),
+            "model_id", F.lit(section).alias("section"),
+            F.lower(F.coalesce(F.col(SECTION_KEY[section]), F.lit(""))).alias("item_key"),
+            F.coalesce("added_by", F.lit(-1)).alias("added_by") if "added_by" in frame.columns else F.lit(-1).cast("bigint").alias("added_by"),
+            F.coalesce(F.col("pos"), F.lit(0)).alias("pos") if "pos" in frame.columns else F.col("table_pos").alias("pos"),
             F.to_json(F.struct(*kept)).alias("item"),
         )
         rows = item if rows is None else rows.unionByName(item)
-    sizes = rows.groupBy("model_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(float(part_size))).cast("bigint")
-    placed = rows.join(sizes, ["model_id", "section"]).withColumn("part", F.pmod(F.xxhash64("item"), parts))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "a", "p", "item")))
-    return placed.groupBy("model_id", "section", "part").agg(F.transform(ordered, lambda s: s["item"]).alias("items"))
+    return rows
+
+
+def _listed(frame: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:
+    """Items of each key in document order: those that were there, then the added ones."""
+    order = [F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("added_by", "pos", "table_pos") if c in frame.columns and c not in keys]
+    listed = F.array_sort(F.collect_list(F.struct(*order, item.alias("item"))))
+    return frame.groupBy(*keys).agg(F.transform(listed, lambda s: s["item"]).alias(name))
+
+
+def to_documents(relations: dict[str, DataFrame], models: DataFrame) -> DataFrame:
+    """Documents written back from their relations.
+
+    What has no relation (version, metric views, sample questions) comes from
+    ``models``; a list without items comes back empty. A document is one value
+    by nature, so its items are gathered in its row.
+    """
+    place = ["model_id", "table_pos"]
+    synonyms = _listed(relations["synonyms"], [*place, "column_name"], F.col("synonym"), "synonyms").alias("s")
+    named = relations["columns"].alias("c").join(
+        synonyms, F.expr("c.model_id = s.model_id and c.table_pos = s.table_pos and c.column_name <=> s.column_name"), "left"
+    ).select("c.*", "s.synonyms")
+    config = F.struct(
+        "column_name", "description", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"),
+        "get_example_values", "build_value_dictionary", "enable_format_assistance", "enable_entity_matching",
+    )
+    configs = _listed(named, place, config, "column_configs")
+    tables = relations["tables"].join(configs, place, "left")
+    table = F.struct("identifier", "description", F.coalesce("column_configs", F.array().cast(f"array<{_COLUMN}>")).alias("column_configs"))
+    join = F.struct(
+        "id", F.struct(F.col("left_table").alias("identifier"), F.col("left_alias").alias("alias")).alias("left"),
+        F.struct(F.col("right_table").alias("identifier"), F.col("right_alias").alias("alias")).alias("right"), "sql", "comment",
+    )
+    snippet = F.struct("id", "sql", "display_name", "synonyms", "alias")
+    lists = {
+        "tables": (tables, table, _TABLE),
+        "text_instructions": (relations["instructions"], F.struct("id", "content"), _TEXT),
+        "example_question_sqls": (relations["examples"], F.struct("id", "question", "sql", "parameters", "usage_guidance"), _EXAMPLE),
+        "join_specs": (relations["joins"], join, _JOIN),
+    } | {kind: (relations["snippets"].filter(F.col("kind") == kind), snippet, _SNIPPET) for kind in SNIPPET_KINDS.values()}
+    held = models
+    for name, (frame, item, kind) in lists.items():
+        held = held.join(_listed(frame, ["model_id"], item, f"__{name}"), "model_id", "left").withColumn(
+            f"__{name}", F.coalesce(F.col(f"__{name}"), F.array().cast(f"array<{kind}>"))
+        )
+    kinds = F.struct(*[F.col(f"__{k}").alias(k) for k in SNIPPET_KINDS.values()])
+    source = F.struct(F.col("__tables").alias("tables"), F.col("data_sources.metric_views").alias("metric_views"))
+    instructions = F.struct(
+        F.col("__text_instructions").alias("text_instructions"), F.col("__example_question_sqls").alias("example_question_sqls"),
+        kinds.alias("sql_snippets"), F.col("__join_specs").alias("join_specs"),
+    )
+    return held.withColumns({"data_sources": source, "instructions": instructions}).select(*models.columns)
 
 
 def _columns_of(table: Column, change) -> Column:
@@ -337,8 +382,7 @@ def apply_metadata_adds(
         F.min("pos").alias("pos"),
         F.when(first >= 0, first).alias("added_by"),
         latest.alias("description"),
-        F.max("enable_format_assistance").alias("enable_format_assistance"),
-        F.max("enable_entity_matching").alias("enable_entity_matching"),
+        *[F.max(c).alias(c) for c in ("enable_format_assistance", "enable_entity_matching", "get_example_values", "build_value_dictionary")],
     )
 
     added = usable.filter(_type("add_synonym")).select(

@@ -299,7 +299,7 @@ def sentiment_ratio(c: Community, longer_than: int = 5) -> DataFrame:
     by_flag = c.review.groupBy("voted_up").agg(
         F.countDistinct("recommendationid").alias("n"), F.sum("votes_up").alias("v")
     )
-    shared = windows.share(by_flag, "n", "percentage")
+    shared = windows.share(by_flag, "n", "percentage", few=True)
     steam = shared.agg(
         F.sum("n").alias("total_count"),
         F.sum("v").alias("total_reactions"),
@@ -314,7 +314,7 @@ def keyword_sentiment(c: Community, text: str, positive: list[str], negative: li
     mix = c.messages().groupBy(label).agg(
         _rows().alias("message_count"), F.sum("reaction_count").alias("total_reactions")
     )
-    return windows.share(mix, "message_count", "percentage")
+    return windows.share(mix, "message_count", "percentage", few=True)
 
 
 def review_sentiment(review: DataFrame, apps: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def review_sentiment(review: DataFrame, apps: DataFrame) -> DataFrame:
         F.sum("votes_up").alias("total_upvotes"),
         F.round(F.avg(F.col("weighted_vote_score").cast("decimal(9,4)")), 4).cast("double").alias("avg_weighted_score"),
     )
-    return windows.share(mix, "review_count", "percentage")
+    return windows.share(mix, "review_count", "percentage", few=True)
 
 
 def negative_ratio_jumps(review: DataFrame, over: float) -> DataFrame:
@@ -370,7 +370,7 @@ def game_response(c: Community, games: DataFrame) -> DataFrame:
 def platform_share(c: Community) -> DataFrame:
     """Each platform's share of all reactions."""
     volume = content_volume(c, longer_than=-1).filter(F.col("platform") != "steam_comment")
-    return windows.share(volume, "total_reactions", "reaction_percentage")
+    return windows.share(volume, "total_reactions", "reaction_percentage", few=True)
 
 
 def event_periods(c: Community, start: str, end: str) -> DataFrame:

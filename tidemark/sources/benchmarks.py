@@ -43,8 +43,12 @@ def extract_qa_sections(df: DataFrame, text: str, source: str, require_question:
 
 
 def ingest_dir(spark: SparkSession, path: str, require_question: bool = True) -> DataFrame:
-    """All sections of all markdown files below a path, tagged with their file."""
-    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    """All sections of all markdown files below a path, tagged with their file's path.
+
+    Files of one name in several folders stay apart.
+    """
+    path_of = F.url_decode(F.col("_metadata.file_path"))
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", path_of.alias("file"))
     return extract_qa_sections(texts, "value", "file", require_question)
 
 

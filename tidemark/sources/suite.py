@@ -23,8 +23,9 @@ def run_sql_suite(
 ) -> DataFrame:
     """Status, row count, columns and error of each text; errors become rows.
 
-    Each text is one distributed job in its own scheduler pool; only counts come
-    back. With ``into`` the result rows are written below that folder in the
+    Each text is one distributed job; only counts come back. The jobs name a
+    scheduler pool each, which shares the cluster between them only where the
+    session runs with ``spark.scheduler.mode=FAIR``. With ``into`` the result rows are written below that folder in the
     (pair_id, cells) shape that result comparison reads, one folder per text.
     """
 
