@@ -11,17 +11,20 @@ from tidemark.llm import token_files as tf
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 ENCODER = tf.Encoder(PATH)
-TEXTS = ["", None, "Hello  world", "a <|endoftext|> b", "  \n\n x\t1234'll won't ÄÖ 漢字 \U0001f600", " " * 9, "it's", "x" * 5000]
+TEXTS = ["", None, "Hello  world", "a <|endoftext|> b", "  \n\n x\t1234'll won't ÄÖ 漢字 \U0001f600", " " * 9, "it's", "x" * 5000, "a\x1cb\x85c\xa0d ²½ ª_ __x' 'S 'll\n", "é Ā×÷ŉ ĸ\t \r\n  end"]
 
 
 def ids_of(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text())
+PLAIN = st.text(st.characters(max_codepoint=0x17F))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(), PLAIN, st.text("'sdlmtvre1_ \n\té.,", max_size=20)))
 def test_words_encode_as_the_whole_text(text):
-    assert ENCODER.encode(text).tolist() == ids_of(text)
+    assert ENCODER.encode_all([text, None])[0].tolist() == ids_of(text)
 
 
 @given(st.lists(st.integers(0, 2**64 - 1)), st.integers(0, 5))
@@ -54,3 +57,11 @@ def test_files_round_trip(spark, tmp_path):
         start += len(ids)
     assert got == expected
     assert tf.encoded(docs.where("false"), PATH).count() == 0
+
+
+def test_small_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tf, "CACHE_WORDS", 10)
+    encoder = tf.Encoder(PATH)
+    for _ in range(3):
+        assert [x.tolist() for x in encoder.encode_all(TEXTS)] == [ids_of(t) for t in TEXTS]
+        assert [x.tolist() for x in encoder.encode_all(["a b c", "b"])] == [ids_of("a b c"), ids_of("b")]

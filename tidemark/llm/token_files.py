@@ -3,10 +3,12 @@
 Texts are encoded with the tokenizers library and written in ascending doc_id
 order as shards of bounded size. A shard file holds
 
-    magic, version, number of documents, number of ids       header, 4 x uint64
+    magic, version, documents, ids, bytes of an id            header, 5 x uint64
     doc ids                                                   Elias-Fano
     ends of the documents in the id array                     Elias-Fano
-    ids                                                       uint32, little endian
+    ids                                                       little endian
+
+with ids of two bytes where the vocabulary allows, else four.
 
 An Elias-Fano sequence stores the low bits of each value as a packed array and
 the high bits in unary, about 2 + log2(range / n) bits a value; ``select`` finds
@@ -24,9 +26,13 @@ comes first and is stored with a mark; an empty table has an empty manifest.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,55 +43,82 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path
 
-MAGIC, VERSION = 0x5444544B494453, 1
-SHARD_IDS = 4_000_000  # ids in a shard, 16 MB
-CACHE_WORDS = 200_000  # words whose ids a worker keeps
+MAGIC, VERSION = 0x5444544B494453, 2
+SHARD_IDS = 4_000_000  # ids in a shard, 8 or 16 MB
+CACHE_WORDS = 1_000_000  # words whose ids a worker keeps, about 200 MB
+TEXTS = 200  # texts encoded at once
 SAMPLE = 256  # every so many set bits the select structure keeps a position
 NO_ID = -(1 << 63)  # marks a NULL doc_id
 END_ID = 0
 
 # Fixed value: how the vocabulary's byte-level splitter cuts a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# the same for texts of printable ASCII, tabs, line ends and the letters from U+00C0 to U+017F, where the
+# standard library's faster classes mean the same
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*+").fullmatch
+_PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
 MANIFEST_SCHEMA = "path string, first_id bigint, part int, shard int, n_docs bigint, n_ids bigint"
 
 
 class Encoder:
-    """Ids of whole texts. The library encodes every distinct word once while the cache holds it."""
+    """Ids of whole texts. The library encodes every distinct word, once while the cache holds it.
+
+    The cache has a young and an old half: a word used again moves to the young
+    one; when that is full, the old one goes.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        # Spark runs a task on each core; threads of the library would only compete with them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4")
+        self.width = 2 if max(end_id, *self.library.get_vocab().values()) < 1 << 16 else 4
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.end = np.array([end_id], self.kind)
         self.split = regex.compile(SPLIT).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for word, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text and the end id."""
-        if not text:
-            return self.end
-        if any(s in text for s in self.special):  # these cut a text before it is split
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-            return np.concatenate([ids, self.end])
-        words = self.split(text)
-        known = self.known
-        try:
-            joined = b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                new = list(set(words))
-            self._learn(new)
-            joined = b"".join([self.known[w] for w in words])
-        return np.concatenate([np.frombuffer(joined, "<u4"), self.end])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _know(self, words: set[str]) -> dict[str, bytes]:
+        """A cache that holds all the words."""
+        if len(self.young) + len(words) > CACHE_WORDS // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = words.difference(young)
+        young.update((w, old[w]) for w in fresh.intersection(old))
+        new = list(fresh.difference(old))
+        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            young[word] = array(self.code, got.ids).tobytes()
+        return young
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        split, words = [], set()
+        for text in texts:
+            if text and any(s in text for s in self.special):  # these cut a text before it is split
+                split.append(None)
+                continue
+            split.append((_PLAIN_SPLIT(text) if _PLAIN(text) else self.split(text)) if text else [])
+            words.update(split[-1])
+        known = self._know(words)
+        tail = self.end.tobytes()
+        out = []
+        for text, parts in zip(texts, split):
+            if parts is None:
+                whole = self.library.encode(text, add_special_tokens=False).ids
+                out.append(np.concatenate([np.array(whole, self.kind), self.end]))
+            else:
+                out.append(np.frombuffer(b"".join([known[w] for w in parts]) + tail, self.kind))
+        return out
+
+
+@lru_cache(2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder to a worker process, which keeps the words it knows from task to task."""
+    return Encoder(path)
 
 
 def ef_encode(values: np.ndarray) -> bytes:
@@ -152,7 +185,8 @@ def pack_shard(doc_ids: list[int | None], arrays: list[np.ndarray]) -> bytes:
     named = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
     ordered = (named.view(np.uint64) ^ np.uint64(1 << 63)).astype(np.uint64)  # signed order as unsigned order
     ends = np.cumsum([len(a) for a in arrays]).astype(np.uint64)
-    head = np.array([MAGIC, VERSION, len(named), int(ends[-1]) if len(ends) else 0], "<u8")
+    width = arrays[0].itemsize if arrays else 4
+    head = np.array([MAGIC, VERSION, len(named), int(ends[-1]) if len(ends) else 0, width], "<u8")
     return b"".join([head.tobytes(), ef_encode(ordered), ef_encode(ends), *[a.tobytes() for a in arrays]])
 
 
@@ -161,14 +195,14 @@ class Shard:
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        head = np.frombuffer(view, "<u8", 4)
+        head = np.frombuffer(view, "<u8", 5)
         if int(head[0]) != MAGIC or int(head[1]) != VERSION:
             raise ValueError("not a token id shard")
         self.n_docs, self.n_ids = int(head[2]), int(head[3])
-        self.names = EliasFano(view[32:])
-        self.ends = EliasFano(view[32 + self.names.bytes :])
-        at = 32 + self.names.bytes + self.ends.bytes
-        self.ids = np.frombuffer(view, "<u4", self.n_ids, at)
+        self.names = EliasFano(view[40:])
+        self.ends = EliasFano(view[40 + self.names.bytes :])
+        at = 40 + self.names.bytes + self.ends.bytes
+        self.ids = np.frombuffer(view, f"<u{int(head[4])}", self.n_ids, at)
 
     def offsets(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -213,14 +247,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_ids: i
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py())
-                names.append(doc_id)
-                arrays.append(ids)
-                held += len(ids)
-                if held >= shard_ids:
-                    yield flush()
+            encoder = encoder or encoder_for(tokenizer_path)
+            for low in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(low, TEXTS)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist())):
+                    names.append(doc_id)
+                    arrays.append(ids)
+                    held += len(ids)
+                    if held >= shard_ids:
+                        yield flush()
         if names:
             yield flush()
 
@@ -245,7 +280,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ends = shard.ends.range(low, min(low + step, shard.n_docs)).astype(np.int64)
                     starts = np.concatenate([[start], ends[:-1]])
                     start = int(ends[-1])
-                    crcs = [zlib.crc32(shard.ids[a:b].tobytes()) for a, b in zip(starts, ends)]
+                    crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pa.array(names[low : low + step], pa.int64()),
                         "start": pa.array(starts + row["before"], pa.int64()),
