@@ -88,13 +88,15 @@ def got(df):
 
 
 def test_whole_table_as_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     classes = brute(rows)
     assert got(nd.classes_of(docs)) == sorted((d, classes[i], classes[i] == d) for i, (d, _) in enumerate(rows))
 
 
-def test_large_group_with_far_members(spark):
+def test_large_group_with_far_members(spark, monkeypatch):
+    monkeypatch.setattr(nd, "MINOR_BLOCK", 5)
+    monkeypatch.setattr(nd, "MEMBER_BLOCK", 20)
     draw = random.Random(4)
     base = [f"w{i}" for i in range(200)]
 
@@ -104,7 +106,8 @@ def test_large_group_with_far_members(spark):
             w[draw.randrange(len(w))] = f"x{draw.random()}"
         return " ".join(w)
 
-    rows = [(i, edited(draw.choice([1, 2, 3, 4, 5]))) for i in range(150)]
+    # about the threshold from the text they were made from, below it from each other
+    rows = [(i, edited(draw.choice([1, 2, 3, 4, 5, 6]))) for i in range(150)]
     rows += [(1000 + i, " ".join(f"y{i}{j}" for j in range(50)) + " " + " ".join(base[:60])) for i in range(40)]
     draw.shuffle(rows)
     classes = brute(rows)
@@ -113,7 +116,7 @@ def test_large_group_with_far_members(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (2, " \n"), (5, "A b  c"), (4, "a b c"), (4, "a b c"), (4, "a b c"), (None, "a B c"), (9, "a b d"), (None, None), (7, "z " * 200_000), (8, "z " * 200_001)]
+    rows = [(1, None), (2, ""), (2, " \n"), (5, "A b  c"), (4, "a b c"), (4, "a b c"), (4, "a b c"), (None, "a B c"), (9, "a b d"), (None, None), (7, "z " * 60_000), (8, "z " * 60_001)]
     docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, tag int")
     found = [(r.doc_id, r.class_id, r.kept) for r in nd.classes_of(docs).collect()]
     assert len(found) == len(rows)

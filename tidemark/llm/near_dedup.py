@@ -14,10 +14,11 @@ missing, which is the width of the band. As labels are unique, the alignment is
 the longest increasing run of matched places.
 
 Groups of copies are never expanded to pairs. Texts of equal words are one class
-from the start. In each bucket every member is compared with one centre, drawn
-anew for each bucket; links give components. Only members that are still in
-another component than others of their bucket are compared with those. So no
-link between members of a bucket is lost, and work follows what is unresolved.
+from the start. In each bucket every member is compared with one centre, the
+member that shares most buckets; links give components. Only members that are
+still in another component than others of their bucket are compared with those,
+in blocks. So no link between members of a bucket is lost, and work follows
+what is unresolved.
 
 Defined results: a text without words (also NULL or empty) is a class of its
 own; a text of fewer than five words is one shingle; of repeated rows with equal
@@ -30,6 +31,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ KEPT = 2  # shingles that one hash function samples
 ROWS = 3  # samples in a band
 BANDS = 32  # a pair at the threshold meets in none of them once in about 15,000
 FUNCTIONS = ROWS * BANDS
-FIRST_BANDS = 4  # their stars are compared first
+MINOR_BLOCK, MEMBER_BLOCK = 128, 512  # members of a bucket that meet in one group
 _PLACE = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 FILTER_BITS = 8 * MAX_FILTER_BYTES // 8  # 8 MB
@@ -122,7 +124,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     if len(i) / (n + m - len(i)) < threshold:
         return 0.0
     width = (n + m) * (1 - threshold) / (1 + threshold)  # at most so many shingles have no partner
-    near = np.abs(i - j) <= width
+    near = np.abs(i - j) <= width + 1e-6
     i, j = i[near], j[near]
     j = j[np.argsort(i)]
     if len(j) and (np.diff(j) > 0).all():
@@ -236,38 +238,67 @@ def _named(df: DataFrame, stars: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(labels, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _crossed(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components.
+
+    ``open_`` has (key, node, of, major). Members apart from the bucket's largest
+    component meet all others, in blocks of bounded size; only links leave a
+    block, one for each member and component.
+    """
+    minor = F.col("of") != F.col("major")
+    sizes = open_.groupBy("key").agg(
+        F.ceil(F.count_if(minor) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("others")
+    )
+    held = open_.join(texts, "node").join(sizes, "key").withColumn("is_major", ~minor)
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    group, kept = ["key", "x", "y"], ["node", "of", "is_major", "shingles"]
+    asking = held.where(minor).withColumn("x", own("minors")).withColumn("y", every("others")).select(*group, *kept)
+    others = held.withColumn("y", own("others")).withColumn("x", every("minors"))
+    others = others.select(*[F.col(c).alias(f"o_{c}") for c in (*group, *kept)])
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        members = [(n, of, major, np.frombuffer(t, np.uint32)) for n, of, major, t in zip(right.o_node, right.o_of, right.o_is_major, right.o_shingles)]
+        for node, of, text in zip(left.node, left.of, left.shingles):
+            mine, linked = np.frombuffer(text, np.uint32), {of}
+            for other, other_of, is_major, theirs in members:
+                if other_of not in linked and (is_major or node < other) and similarity(mine, theirs, threshold) > 0:
+                    linked.add(other_of)
+                    found.append((node, other))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    met = asking.groupBy(*group).cogroup(others.groupBy(*[f"o_{c}" for c in group]))
+    return met.applyInPandas(meet, "a bigint, b bigint")
+
+
 def _components_of(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the classes that have a link."""
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    # the centre of a bucket is drawn by a hash of bucket and node
-    drawn = F.struct(F.xxhash64("key", "node"), F.col("node"))
-    buckets = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"), F.min(drawn).alias("centre")).where("size > 1")
-    starred = members.join(buckets.select("key", F.col("centre.node").alias("centre"), "size"), "key")
-    starred = materialize(starred.select("key", "band", "node", "centre", "size"), "buckets")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    starred = materialize(members.join(shared, "key").select("key", "band", "node", "size"), "buckets")
+    # the text that the others of a group were made from shares most buckets with most of them: it makes the best centre
+    central = starred.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = starred.join(central, "node")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node"), "node")).alias("top"))
+    starred = materialize(starred.join(centres.select("key", F.col("top.node").alias("centre")), "key"), "stars")
     used = classes.join(starred.select("node").distinct(), "node", "left_semi").select("node", "low", "a", "b")
     texts = materialize(_texts_of(docs, used), "candidate-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(_verified(pairs.distinct(), texts, threshold), "verified")
-
-    links = verified(starred.where((F.col("band") < FIRST_BANDS) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    stars = components(links)
-    # the other buckets' stars, as far as their ends are still apart
-    rest = starred.where((F.col("band") >= FIRST_BANDS) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    apart = _named(_named(rest, stars, "a", "a_of"), stars, "b", "b_of").where("a_of != b_of").select("a", "b")
-    links = links.unionByName(verified(apart))
+    rays = starred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = materialize(_verified(rays.distinct(), texts, threshold), "verified")
     stars = components(links)
-    # members that are apart from the largest component of their bucket meet all others there that they are apart from
+    # members that are apart from the largest component of their bucket meet all others there
     placed = _named(starred.where("size > 2"), stars, "node", "of")
     parts = placed.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n"))
     major = parts.groupBy("key").agg(F.max(F.struct("n", "of")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = materialize(
-        placed.where("node != centre").join(major.select("key", F.col("top.of").alias("major")), "key").select("key", "node", "of", "major"), "open-buckets"
-    )
-    minor = open_.where("of != major").select("key", F.col("node").alias("a"), F.col("of").alias("a_of"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("of").alias("b_of"), (F.col("of") == F.col("major")).alias("is_major"))
-    crossed = minor.join(other, "key").where("a_of != b_of and (is_major or a < b)").select("a", "b")
-    more = verified(crossed)
+    open_ = placed.where("node != centre").join(major.select("key", F.col("top.of").alias("major")), "key")
+    more = materialize(_crossed(open_.select("key", "node", "of", "major"), texts, threshold), "crossed")
     if more.isEmpty():
         return stars
     return components(links.unionByName(more))
