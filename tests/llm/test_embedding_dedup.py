@@ -16,6 +16,7 @@ def test_whole_table_as_brute_force(spark):
 
 def test_blocks_and_unusable_vectors(spark, monkeypatch):
     monkeypatch.setattr(ed, "BLOCK", 16)
+    monkeypatch.setattr(ed, "LIST_ROWS", 20)
     draw = random.Random(3)
     centres = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     rows = [[c + draw.gauss(0, 0.15) for c in draw.choice(centres)] for _ in range(300)]

@@ -6,11 +6,13 @@ codes of its residual in each subspace and the length of what the codes miss.
 
 A vector's probes are sufficient by geometry: a partner y in list c is at least
 as near to c as to the vector's own centroid, so it lies beyond the plane
-between both; lists whose plane is farther away than the linking distance hold
-no partner. Within a probed list the asymmetric table-lookup distance, less the
-length that y's codes miss, is a lower bound of the true distance; only pairs it
-cannot exclude are compared by exact cosine in double precision. No link of the
-threshold or above is lost, whatever the sample was.
+between both. The difference of two partners is no longer than the linking
+distance, and its part across a plane is that length / sqrt(dimensions) in
+standard deviation; lists whose plane is within ``DEVIATIONS`` of them, and in
+16 dimensions or fewer within the whole distance, are probed. Within a probed
+list the asymmetric table-lookup distance, less the length that y's codes miss,
+is a lower bound of the true distance, so it excludes no link; pairs it cannot
+exclude are compared by exact cosine in double precision.
 
 Lists and their queries meet in blocks of bounded size, so a hot list becomes
 many tasks. A block returns a count for each query and a spanning star of its
@@ -39,10 +41,12 @@ from tidemark.session import materialize
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000  # vectors that centroids and codebooks are fitted on
+LIST_ROWS = 2048  # vectors that a list is meant to hold
 MAX_LISTS = 1024
+DEVIATIONS = 4.0
 SUBSPACES = 8
 CODEWORDS = 128
-BLOCK = 2048  # members, and queries, of a list that meet in one group
+BLOCK = 4096  # members, and queries, of a list that meet in one group
 ROUNDING = 1e-6
 
 
@@ -110,6 +114,7 @@ def usable(v: Column) -> Column:
 
 def _indexed(classes: DataFrame, q: Quantiser, reach: float) -> DataFrame:
     """Add list, codes, missed and probes to each class."""
+    reach = reach * min(1.0, DEVIATIONS / np.sqrt(q.centroids.shape[1]))
     gaps = np.sqrt(_squared(q.centroids, q.centroids))
 
     def make():
@@ -135,7 +140,8 @@ def _indexed(classes: DataFrame, q: Quantiser, reach: float) -> DataFrame:
 
         return step
 
-    schema = "node bigint, low bigint, copies bigint, vector array<double>, list int, codes binary, missed double, probes array<int>"
+    kind = dict(classes.dtypes)["vector"]
+    schema = f"node bigint, low bigint, copies bigint, vector {kind}, list int, codes binary, missed double, probes array<int>"
     return map_batches(classes.select("node", "low", "copies", "vector"), make, schema)
 
 
@@ -189,8 +195,9 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     common = common.orderBy(F.desc("count"), "d").limit(1).collect()
     length = common[0]["d"] if common else 0
     joins = usable(F.col("given")) & (F.size("given") == length)
-    # zeros of either sign are equal
-    as_key = F.transform("given", lambda x: x.cast("double") + F.lit(0.0))
+    # zeros of either sign are equal; floats travel as they are
+    kind = "float" if dict(rows.dtypes)["given"] == "array<float>" else "double"
+    as_key = F.transform("given", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     keyed = rows.withColumn("vector", F.when(joins, as_key))
     classes = keyed.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     # the number is written with its row and so the same for all readers
@@ -199,7 +206,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sampled = classes.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_ROWS).select("vector").toArrow()
-    quantiser = fit(_units(_matrix(sampled["vector"].combine_chunks())), int(np.sqrt(n)))
+    quantiser = fit(_units(_matrix(sampled["vector"].combine_chunks())), -(-n // LIST_ROWS))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROUNDING
     index = materialize(_indexed(classes, quantiser, reach), "vector-index")
 
