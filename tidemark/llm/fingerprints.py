@@ -28,6 +28,7 @@ from tidemark.session import materialize
 TABLE_CELLS = 32  # cells in each of the three tables
 GROWTH = 4  # sketches of a pair are multiplied so at each retry
 MAX_TRIES = 16
+PART_ROWS = 5000  # documents whose cells one task holds
 _SLICE = "__slice"
 
 
@@ -177,7 +178,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = materialize(rows, "paragraph-keys")
     row = ["slice", "n"]
     n_keys = [F.size(F.get("keys", F.lit(v))) for v in (OWN, EDITED, NEXT)]
-    placed = rows.repartition(*row)
+    # a set number: the keys of few bytes grow to many cells, which sizes in bytes do not show
+    placed = rows.repartition(-(-rows.count() // PART_ROWS) or 1, *row)
     versions = placed.select(*row, F.posexplode("keys").alias("version", "list"))
     keys = versions.select(*row, "version", F.explode("list").alias("key"))
     cells = _cells(keys, [*row, "version"])
