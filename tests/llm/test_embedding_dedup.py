@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import embedding_dedup as ed
 from tidemark.llm.components import components
 
@@ -29,6 +31,20 @@ def test_blocks_and_unusable_vectors(spark, monkeypatch):
     assert got(ed.linked(vectors)) == ed.brute_force(exact)
 
 
+def test_many_lists_on_vectors_of_low_rank(spark, monkeypatch):
+    monkeypatch.setattr(ed, "LIST_ROWS", 30)
+    draw = np.random.default_rng(5)
+    for dimensions, rank in ((64, 4), (384, 8)):
+        plane = np.linalg.qr(draw.normal(size=(dimensions, rank)))[0].T
+        low = draw.normal(size=(1500, rank))
+        low /= np.linalg.norm(low, axis=1, keepdims=True)
+        step = draw.normal(size=low.shape)
+        step /= np.linalg.norm(step, axis=1, keepdims=True)
+        near = low + step * draw.uniform(0, 0.3, (1500, 1))
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([low, near]) @ plane)]
+        assert got(ed.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == ed.brute_force(rows)
+
+
 def test_odd_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert ed.linked(spark.createDataFrame([], schema)).count() == 0

@@ -4,15 +4,15 @@ Equal vectors are made one class first. Coarse centroids and residual codebooks
 are fitted on a bounded sample; every class is indexed: its inverted list, the
 codes of its residual in each subspace and the length of what the codes miss.
 
-A vector's probes are sufficient by geometry: a partner y in list c is at least
-as near to c as to the vector's own centroid, so it lies beyond the plane
-between both. The difference of two partners is no longer than the linking
-distance, and its part across a plane is that length / sqrt(dimensions) in
-standard deviation; lists whose plane is within ``DEVIATIONS`` of them, and in
-16 dimensions or fewer within the whole distance, are probed. Within a probed
-list the asymmetric table-lookup distance, less the length that y's codes miss,
-is a lower bound of the true distance, so it excludes no link; pairs it cannot
-exclude are compared by exact cosine in double precision.
+Probes are sufficient by geometry: two partners in different lists lie on
+opposite sides of the plane between the lists' centroids, and their distances to
+it sum to at most the linking distance, so one of them is within half of it. A
+vector probes its own list and those whose plane is within half the linking
+distance. A pair that meets from both ends is compared by its lower node alone,
+any other pair by the end that probes, and a link counts for both its ends.
+Within a probed list the asymmetric table-lookup distance, less the length that
+y's codes miss, is a lower bound of the true distance, so it excludes no link;
+pairs it cannot exclude are compared by exact cosine in double precision.
 
 Lists and their queries meet in blocks of bounded size, so a hot list becomes
 many tasks. A block returns a count for each query and a spanning star of its
@@ -43,7 +43,6 @@ THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000  # vectors that centroids and codebooks are fitted on
 LIST_ROWS = 2048  # vectors that a list is meant to hold
 MAX_LISTS = 1024
-DEVIATIONS = 4.0
 SUBSPACES = 8
 CODEWORDS = 128
 BLOCK = 4096  # members, and queries, of a list that meet in one group
@@ -114,7 +113,6 @@ def usable(v: Column) -> Column:
 
 def _indexed(classes: DataFrame, q: Quantiser, reach: float) -> DataFrame:
     """Add list, codes, missed and probes to each class."""
-    reach = reach * min(1.0, DEVIATIONS / np.sqrt(q.centroids.shape[1]))
     gaps = np.sqrt(_squared(q.centroids, q.centroids))
 
     def make():
@@ -122,9 +120,8 @@ def _indexed(classes: DataFrame, q: Quantiser, reach: float) -> DataFrame:
             units = _units(_matrix(batch.column("vector")))
             squared = _squared(units, q.centroids)
             own = squared.argmin(1)
-            gap = gaps[own]
-            to_plane = (squared - squared.min(1)[:, None]) / np.where(gap > 0, 2 * gap, np.inf)
-            probed = to_plane <= reach
+            # the distance to a plane is this excess / (2 * gap); half of reach is the limit
+            probed = squared - squared.min(1)[:, None] <= reach * gaps[own] + ROUNDING
             residuals = units - q.centroids[own]
             codes = q.codes(residuals)
             missed = np.sqrt(((residuals - q.decoded(codes)) ** 2).sum(1))
@@ -156,36 +153,34 @@ def _met(members: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, threshold:
     missed = members["missed"].to_numpy()
     copies = members["copies"].to_numpy()
     y_nodes, x_nodes = members["node"].to_numpy(), queries["asker"].to_numpy()
+    homes, weights = queries["home"].to_numpy(), queries["weight"].to_numpy()
+    asks = np.zeros((len(y), len(q.centroids)), bool)  # the lists that each member probes itself
+    asks[np.repeat(np.arange(len(y)), members["probes"].map(len)), np.concatenate(members["probes"].to_numpy())] = True
     own = q.centroids[members["list"].iloc[0]]
     bound = (reach + missed + ROUNDING) ** 2
-    counts, rows, cols = np.zeros(len(x), np.int64), [], []
+    rows, cols = [], []
     for at in range(0, len(x), 256):
         part = x[at : at + 256]
         looked_up = np.zeros((len(part), len(y)))
         for i, table in enumerate(q.tables(part - own)):
             looked_up += table[:, codes[:, i]]
         possible = looked_up <= bound
-        if possible.mean() > 0.05:
-            linked = possible & (part @ y.T >= threshold)
-            r, c = np.nonzero(linked)
-        else:
-            r, c = np.nonzero(possible)
+        dense = possible.mean() > 0.05
+        r, c = np.nonzero(possible & (part @ y.T >= threshold) if dense else possible)
+        mine = (x_nodes[at + r] < y_nodes[c]) | ~asks[c, homes[at + r]]
+        r, c = r[mine], c[mine]
+        if not dense:
             cosine = np.concatenate([np.einsum("ij,ij->i", part[r[s : s + 50_000]], y[c[s : s + 50_000]]) for s in range(0, len(r), 50_000)] or [np.zeros(0)])
             r, c = r[cosine >= threshold], c[cosine >= threshold]
-        other = y_nodes[c] != x_nodes[at + r]
-        r, c = r[other], c[other]
-        counts[at : at + len(part)] += np.bincount(r, copies[c], len(part)).astype(np.int64)
         rows.append((at + r).astype(np.int32))
         cols.append(c.astype(np.int32))
     r, c = np.concatenate(rows), np.concatenate(cols)
     nodes, place = np.unique(np.concatenate([x_nodes, y_nodes]), return_inverse=True)
-    low = local_stars(len(nodes), place[: len(x)][r], place[len(x) :][c])
-    moved = np.flatnonzero(low != np.arange(len(nodes)))
-    found = counts > 0
-    return pd.concat([
-        pd.DataFrame({"node": x_nodes[found], "n": counts[found], "other": x_nodes[found]}),
-        pd.DataFrame({"node": nodes[moved], "n": 0, "other": nodes[low[moved]]}),
-    ]).astype("int64")
+    x_place, y_place = place[: len(x)][r], place[len(x) :][c]
+    counts = np.bincount(x_place, copies[c], len(nodes)) + np.bincount(y_place, weights[r], len(nodes))
+    low = local_stars(len(nodes), x_place, y_place)
+    found = np.flatnonzero(counts > 0)
+    return pd.DataFrame({"node": nodes[found], "n": counts[found], "other": nodes[low[found]]}).astype("int64")
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -210,7 +205,10 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROUNDING
     index = materialize(_indexed(classes, quantiser, reach), "vector-index")
 
-    queries = index.select(F.col("node").alias("asker"), F.col("vector").alias("asked"), F.explode("probes").alias("list"))
+    queries = index.select(
+        F.col("node").alias("asker"), F.col("vector").alias("asked"), F.col("copies").alias("weight"),
+        F.col("list").alias("home"), F.explode("probes").alias("list"),
+    )
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m_blocks"))
     asked = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks"))
     blocks = sizes.join(asked, "list")  # a row per list, MAX_LISTS at most
@@ -222,7 +220,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     key = ["list", "m_block", "q_block"]
-    members = index.select("list", "node", "copies", "vector", "codes", "missed").join(blocks, "list")
+    members = index.select("list", "node", "copies", "vector", "codes", "missed", "probes").join(blocks, "list")
     members = members.withColumn("m_block", block("node", "m_blocks")).withColumn("q_block", every("q_blocks")).drop("m_blocks", "q_blocks")
     asking = queries.join(blocks, "list").withColumn("q_block", block("asker", "q_blocks")).withColumn("m_block", every("m_blocks")).drop("m_blocks", "q_blocks")
 
