@@ -101,3 +101,22 @@ def test_word_inputs_share_prefixes():
     inputs, _ = tx.word_inputs(segment)
     same = inputs[0] == inputs[1]
     assert same[2:5].all() and not same[0] and not same[5]  # the first 2 to 4 bytes, but not 5
+
+
+def test_every_character_of_a_run_is_read():
+    def grams(text):
+        [segment] = words.segments(pa.array([text]))
+        inputs, _ = tx.word_inputs(segment)
+        return [int(x) for x in inputs[:, tx.TABLES + 1 :].ravel() if x != tx.NO_GRAM]
+
+    term = grams("clown")[:3]  # clo, low, own
+    assert any(grams("abcdefgclownhijklmnopq")[i : i + 3] == term for i in range(20))
+    run = "".join(chr(0x4E00 + i) for i in range(2000))
+    assert len(grams(run)) == 2000 and len(grams("a " + run + " b")) == 2002
+    for at in (0, 14, 15, 16, 1000, 1999):  # also across the cuts of a run
+        changed = run[:at] + "\u9fa0" + run[at + 1 :]
+        assert [i for i, (a, b) in enumerate(zip(grams(run), grams(changed))) if a != b] == list(range(max(0, at - 2), at + 1))
+    [segment] = words.segments(pa.array([run]))
+    assert len(tx.word_inputs(segment)[0]) == -(-2000 // tx.LONGEST)
+    [segment] = words.segments(pa.array([" \n "]))
+    assert len(tx.word_inputs(segment)[0]) == 0

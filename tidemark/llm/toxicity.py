@@ -1,8 +1,9 @@
 """Toxicity from a bidirectional gated recurrent network with attention pooling.
 
-A text is read as words. A word's input is the sum of learned vectors for the
-word itself and for its characters: its first 2 to 7 bytes, its last three and
-its length. Windows of ``WINDOW`` words overlap, so every word but those at the
+A text is read as words; a run without spaces is cut every ``LONGEST``
+characters. A word's input is the sum of learned vectors for the word itself, its
+first 2 to 7 bytes, its last three, its length and, from each of its characters
+on, ``GRAM`` characters of the run, also across a cut. Windows of ``WINDOW`` words overlap, so every word but those at the
 ends of a text is read in more than one place or with context on both sides. In
 each window a forward and a backward recurrent layer are pooled by attention;
 a document's score is that of its most toxic window, and all windows are scored.
@@ -41,14 +42,32 @@ TRAIN_CHARACTERS = 50_000  # a longer document is not learned from
 FOLDS, HELD_OUT = 5, 0  # rows whose crc32 of the id leaves HELD_OUT are not learned from
 SEGMENT = 1 << 19
 TABLES = 2 + len(PREFIXES)
+LONGEST, GRAM = 16, 3  # characters of a word, and of a run of them
+GRAM_ROWS = 1 << 14  # rows of the table of character runs, shared by hash
+GRAMS = TABLES * ROWS + 32  # where it begins
+NO_GRAM = GRAMS + GRAM_ROWS  # for characters that a word does not have; stays zero
+INPUTS = TABLES + 1 + LONGEST
 
 
 def word_inputs(segment: words.Segment) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the input tables for each word [n, TABLES + 1] and the word's piece."""
+    """Rows of the input tables for each word [n, INPUTS] and the word's piece."""
     starts, ends, piece = words.spans(segment)
     data = words.LOWER[segment.data]
     hasher = words.Hasher(data)
-    out = np.empty((len(starts), TABLES + 1), np.int32)
+    # the characters of all words, each with its run and its place there
+    lead = (data & 0xC0) != 0x80
+    lead[starts] = True
+    at = np.flatnonzero(lead)
+    run = np.searchsorted(starts, at, "right") - 1
+    held = (run >= 0) & (at < ends[run]) if len(starts) else np.zeros(len(at), bool)
+    at, run = at[held], run[held]
+    nth = np.arange(len(at)) - np.searchsorted(run, np.arange(len(starts)))[run]
+    grams = hasher.of(at, np.minimum(np.append(at[GRAM:], np.full(min(GRAM, len(at)), len(data))), ends[run]))
+    first = np.flatnonzero(nth % LONGEST == 0)
+    piece, ends = piece[run[first]], np.minimum(np.append(at[first[1:]], np.full(min(1, len(first)), len(data))), ends[run[first]])
+    starts = at[first]
+    out = np.full((len(starts), INPUTS), NO_GRAM, np.int32)
+    out[np.cumsum(nth % LONGEST == 0) - 1, TABLES + 1 + nth % LONGEST] = GRAMS + (grams % np.uint64(GRAM_ROWS)).astype(np.int32)
     parts = [(starts, ends), (np.maximum(starts, ends - 3), ends), *((starts, np.minimum(ends, starts + n)) for n in PREFIXES)]
     for i, (a, b) in enumerate(parts):
         # a prefix as long as the word or longer is marked by the length hashed with it
@@ -86,7 +105,8 @@ class Network:
         def matrix(*shape):
             return (draw.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        w = {"e": (0.1 * draw.normal(0, 1, (TABLES * ROWS + 32, INPUT))).astype(np.float32)}
+        w = {"e": (0.1 * draw.normal(0, 1, (NO_GRAM + 1, INPUT))).astype(np.float32)}
+        w["e"][NO_GRAM] = 0
         for d in "fb":
             w |= {f"{d}x": matrix(INPUT, 3 * h), f"{d}c": np.zeros(3 * h, np.float32), f"{d}u": matrix(h, 3 * h)}
         return Network(w | {"a": matrix(2 * h), "o": matrix(2 * h), "k": np.array([-1.0], np.float32)})
@@ -95,8 +115,11 @@ class Network:
         """Logit of each window; with ``keep`` also what the way back needs."""
         w, h, n = self.w, HIDDEN, len(start)
         x = np.zeros((len(inputs) + 1, INPUT), w["e"].dtype)  # the last row is read beyond a window's end, then masked
-        for column in inputs.T:
+        for column in inputs.T[: TABLES + 1]:
             x[:-1] += w["e"][column]
+        for column in inputs.T[TABLES + 1 :]:
+            given = np.flatnonzero(column != NO_GRAM)
+            x[given] += w["e"][column[given]]
         at = [np.where(t < length, start + t, len(x) - 1) for t in range(WINDOW)]
         on = [(t < length)[:, None].astype(np.float32) for t in range(WINDOW)]
         states = np.zeros((WINDOW, n, 2 * h), np.float32)
@@ -152,15 +175,15 @@ class Network:
             to_given[-1] = 0
             g[d + "u"], g[d + "x"], g[d + "c"] = gu, x.T @ to_given, to_given.sum(0)
             to_x += to_given @ w[d + "x"].T
-        rows = inputs.ravel()
-        by_word = np.repeat(to_x[:-1], inputs.shape[1], 0)
+        word, place = np.nonzero(inputs != NO_GRAM)
+        rows, by_word = inputs[word, place], to_x[word]
         g["e"] = np.stack([np.bincount(rows, by_word[:, i], len(w["e"])) for i in range(INPUT)], 1).astype(np.float32)
         return g
 
 
 def doc_logits(net: Network, texts: pa.Array) -> np.ndarray:
     """The highest window logit of each text."""
-    nothing = net.run(np.zeros((0, TABLES + 1), np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+    nothing = net.run(np.zeros((0, INPUTS), np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
     best = np.full(len(texts), -np.inf)
     for segment in words.segments(texts, SEGMENT):
         inputs, piece = word_inputs(segment)
@@ -199,7 +222,7 @@ def sample_windows(texts: pa.Array, label: np.ndarray) -> Sample:
         doc.append(segment.rows[of[chosen]])
         base += len(rows)
     if not inputs:
-        return Sample(np.zeros((0, TABLES + 1), np.int32), *[np.zeros(0, np.int64)] * 3, label)
+        return Sample(np.zeros((0, INPUTS), np.int32), *[np.zeros(0, np.int64)] * 3, label)
     return Sample(np.concatenate(inputs), np.concatenate(start), np.concatenate(length), np.concatenate(doc), label)
 
 
@@ -212,7 +235,7 @@ def _evidence(sample: Sample) -> np.ndarray:
         pairs.append(held)
         label.append(np.full(len(held), sample.label[doc]))
     rows, label = np.concatenate(pairs), np.concatenate(label)
-    size = TABLES * ROWS + 32
+    size = NO_GRAM + 1
     bad, all_docs = np.bincount(rows, label, size), np.bincount(rows, minlength=size)
     prior = sample.label.mean()
     return np.log((bad + 2 * prior) / (all_docs - bad + 2 * (1 - prior)) * (1 - prior) / prior)
@@ -226,7 +249,7 @@ def train(sample: Sample, weight: np.ndarray, rounds: int = 6, least_steps: int
     if len(sample.doc) == 0 or len(set(sample.label[np.unique(sample.doc)].tolist())) < 2:
         return None
     net, draw = Network.new(), np.random.default_rng(seed)
-    net.w["e"][:, 0] = 0.25 * np.clip(_evidence(sample), -4, 4)
+    net.w["e"][:NO_GRAM, 0] = np.where(np.arange(NO_GRAM) < GRAMS, 0.25, 0.05) * np.clip(_evidence(sample), -4, 4)[:NO_GRAM]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     steps, docs = 0, len(np.unique(sample.doc))
     rounds = max(rounds, least_steps * 128 // (docs + docs // 2 + 128))
