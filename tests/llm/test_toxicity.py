@@ -120,3 +120,14 @@ def test_every_character_of_a_run_is_read():
     assert len(tx.word_inputs(segment)[0]) == -(-2000 // tx.LONGEST)
     [segment] = words.segments(pa.array([" \n "]))
     assert len(tx.word_inputs(segment)[0]) == 0
+
+
+def test_all_windows_of_a_document_are_learned_from(monkeypatch):
+    s = tx.sample_windows(pa.array(["w " * 4800, "v"]), np.array([1, 0], np.float32))
+    seen = np.zeros(len(s.inputs), int)
+    for a, n in zip(s.start, s.length):
+        seen[a : a + n] += 1
+    assert len(seen) == 4801 and seen.min() == 1 and s.doc.max() == 1
+    monkeypatch.setattr(tx, "TRAIN_TEXT", {1: 5, 0: 3})
+    kept = tx.within_bound(pa.array(["aaaa", "bb", "cccc", None, "d", "ee"]), np.array([1, 0, 1, 0, 1, 0]))
+    assert kept.tolist() == [True, True, True, True, False, True]

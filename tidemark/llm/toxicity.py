@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ ROWS = 1 << 13  # rows of each table of input vectors, shared by hash
 PREFIXES = (2, 3, 4, 5, 6, 7)
 INPUT, HIDDEN = 12, 12
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2000  # labelled documents learned from, at most
-TRAIN_WINDOWS = 10  # windows of such a document, at most, evenly spread
 TRAIN_CHARACTERS = 50_000  # a longer document is not learned from
+TRAIN_TEXT = {1: 1_500_000, 0: 2_500_000}  # bytes of text by label after which no further document is learned from
 FOLDS, HELD_OUT = 5, 0  # rows whose crc32 of the id leaves HELD_OUT are not learned from
 SEGMENT = 1 << 19
 TABLES = 2 + len(PREFIXES)
@@ -205,6 +206,16 @@ class Sample:
     label: np.ndarray
 
 
+def within_bound(texts: pa.Array, label: np.ndarray) -> np.ndarray:
+    """The first documents of each label, whole, until ``TRAIN_TEXT`` is reached."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = np.zeros(len(size), bool)
+    for kind, most in TRAIN_TEXT.items():
+        mine = label == kind
+        kept[mine] = np.cumsum(size[mine]) - size[mine] < most
+    return kept
+
+
 def sample_windows(texts: pa.Array, label: np.ndarray) -> Sample:
     inputs, start, length, doc, base = [], [], [], [], 0
     for segment in words.segments(texts):
@@ -212,14 +223,10 @@ def sample_windows(texts: pa.Array, label: np.ndarray) -> Sample:
         if len(rows) == 0:
             continue
         s, n, of = windows(piece)
-        count = np.bincount(of)[of]
-        nth = np.arange(len(of)) - np.searchsorted(of, of)
-        # evenly spread windows of each document
-        chosen = (nth * TRAIN_WINDOWS // np.maximum(count, TRAIN_WINDOWS)) != ((nth - 1) * TRAIN_WINDOWS // np.maximum(count, TRAIN_WINDOWS))
         inputs.append(rows)
-        start.append(s[chosen] + base)
-        length.append(n[chosen])
-        doc.append(segment.rows[of[chosen]])
+        start.append(s + base)
+        length.append(n)
+        doc.append(segment.rows[of])
         base += len(rows)
     if not inputs:
         return Sample(np.zeros((0, INPUTS), np.int32), *[np.zeros(0, np.int64)] * 3, label)
@@ -287,7 +294,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Train on the labelled documents with the lowest hashes outside the held-out fold.
 
     At most TRAIN_TOXIC + TRAIN_CLEAN rows are broadcast, and their texts, each
-    below TRAIN_CHARACTERS, collected.
+    below TRAIN_CHARACTERS, collected. Of these the first by hash are learned
+    from with all their windows, as many as TRAIN_TEXT holds.
     """
     usable = labels.where(F.col("label").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
     hashed = [F.xxhash64("doc_id"), "doc_id"]
@@ -296,14 +304,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     shares = usable.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count_if(F.col("label") <= 0).alias("clean")).first()
     known = F.broadcast(toxic.unionByName(clean).select("doc_id", (F.col("label") > 0).cast("int").alias("label")).distinct())
     short = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARACTERS)
-    got = short.join(known, "doc_id").orderBy("doc_id", "label", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).toArrow()
+    got = short.join(known, "doc_id").orderBy(*hashed, "label", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).toArrow()
     if got.num_rows == 0 or not shares["toxic"] or not shares["clean"]:
         return None
-    label = got["label"].to_numpy().astype(np.float32)
+    texts, label = got["text"].combine_chunks(), got["label"].to_numpy().astype(np.float32)
+    kept = within_bound(texts, label)
+    texts, label = texts.filter(pa.array(kept)), label[kept]
     # documents stand for all labelled ones of their kind
     part = shares["toxic"] / (shares["toxic"] + shares["clean"])
     weight = np.where(label > 0, part / max(label.mean(), 1e-6), (1 - part) / max(1 - label.mean(), 1e-6))
-    return train(sample_windows(got["text"].combine_chunks(), label), weight)
+    return train(sample_windows(texts, label), weight)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
