@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import embedding_dedup, fingerprints, mixing, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filter
+from tidemark.llm import embedding_dedup, fingerprints, main_text, mixing, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filter
 from tidemark.llm.common import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -81,6 +81,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes_of(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@registered("op11_html_extraction")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = main_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 @registered("op12_periodic_runs")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.periodic(table(spark, folder, "documents").select("doc_id", "text"))
