@@ -9,7 +9,7 @@ WITH_SQL = [name for name, (_, sql) in ENTRIES.items() if sql]
 
 
 def test_every_operator_and_the_pipeline_are_registered():
-    assert {n.split("_")[0] for n in ENTRIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in ENTRIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert ENTRIES.keys() <= __spark_entry__.queries().keys()
     assert set(WITH_SQL) <= __spark_entry__.oracle_sql().keys()
 

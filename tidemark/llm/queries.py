@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import embedding_dedup, fingerprints, main_text, mixing, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filter
+from tidemark.llm import conversations, embedding_dedup, fingerprints, main_text, mixing, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filter
 from tidemark.llm.common import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -92,6 +92,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.periodic(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@registered("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 @registered("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
