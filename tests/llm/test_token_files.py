@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +25,41 @@ PLAIN = st.text(st.characters(max_codepoint=0x17F))
 @settings(max_examples=500, deadline=None)
 @given(st.one_of(st.text(), PLAIN, st.text("'sdlmtvre1_ \n\té.,", max_size=20)))
 def test_words_encode_as_the_whole_text(text):
-    assert ENCODER.encode_all([text, None])[0].tolist() == ids_of(text)
+    assert [a.tolist() for a in ENCODER.encode_all(pa.array([text, None, text + " "]))] == [ids_of(text), [0], ids_of(text + " ")]
+
+
+def test_special_tokens_and_neighbours():
+    texts = ["x <|endoftext|>", "<|endoftext|>", "y 's", "<|endof", "text|> z", "<|endoftext|><|endoftext|> \u4e2d"]
+    assert [a.tolist() for a in ENCODER.encode_all(pa.array(texts))] == [ids_of(t) for t in texts]
+
+
+def test_long_texts_are_cut_where_words_end(monkeypatch):
+    monkeypatch.setattr(tf, "SEGMENT_BYTES", 50)
+    texts = ["ab  'll c\n\n  don't " * 40, "x" * 500, " " * 300 + "y" + " \t\n" * 100, "é漢  字 " * 90, "a <|endoftext|> b " * 30]
+    assert [a.tolist() for a in ENCODER.encode_all(pa.array(texts))] == [ids_of(t) for t in texts]
+
+
+def test_a_full_table_is_emptied(monkeypatch):
+    monkeypatch.setattr(tf, "CACHE_BITS", 4)
+    monkeypatch.setattr(tf, "CACHE_WORDS", 5)
+    encoder = tf.Encoder(PATH)
+    for text in ("a b c", "d e f g", " ".join(map(str, range(300))), "a b c d"):
+        assert encoder.encode_all(pa.array([text]))[0].tolist() == ids_of(text)
+
+
+def test_a_text_beyond_a_batch(spark, tmp_path):
+    long = "".join(f"wörd {i} it's\n" for i in range(400_000))
+    docs = spark.createDataFrame([(1, "a"), (2, long), (3, "b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in tf.encoded(docs, PATH).collect()}
+    ids = np.array(ids_of(long), "<u4")
+    assert (got[2].n_tokens, got[2].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())) and got[3].start == got[2].start + len(ids)
+
+
+def test_reading_back_takes_many_tasks(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    manifest = tf.write_shards(docs, PATH, f"file://{tmp_path}", shard_ids=100)
+    read = tf.read_shards(manifest)
+    assert read.rdd.getNumPartitions() == -(-manifest.count() // tf.FILES_A_TASK) > 5
 
 
 @given(st.lists(st.integers(0, 2**64 - 1)), st.integers(0, 5))
@@ -63,5 +98,5 @@ def test_small_cache_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(tf, "CACHE_WORDS", 10)
     encoder = tf.Encoder(PATH)
     for _ in range(3):
-        assert [x.tolist() for x in encoder.encode_all(TEXTS)] == [ids_of(t) for t in TEXTS]
-        assert [x.tolist() for x in encoder.encode_all(["a b c", "b"])] == [ids_of("a b c"), ids_of("b")]
+        assert [x.tolist() for x in encoder.encode_all(pa.array(TEXTS))] == [ids_of(t) for t in TEXTS]
+        assert [x.tolist() for x in encoder.encode_all(pa.array(["a b c", "b"]))] == [ids_of("a b c"), ids_of("b")]

@@ -27,10 +27,8 @@ comes first and is stored with a mark; an empty table has an empty manifest.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,31 +39,133 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import KINDS, SEGMENT_BYTES, SPACE, Hasher, Segment, segments
 from tidemark.session import materialize, scratch_path
 
 MAGIC, VERSION = 0x5444544B494453, 2
 SHARD_IDS = 4_000_000  # ids in a shard, 8 or 16 MB
-CACHE_WORDS = 1_000_000  # words whose ids a worker keeps, about 200 MB
-TEXTS = 200  # texts encoded at once
+CACHE_BITS = 21  # slots of a worker's table of words, 2 to this power: 64 MB
+CACHE_WORDS = 1_000_000  # words that it holds before it is emptied
+FILES_A_TASK = 8  # files that one task reads back
 SAMPLE = 256  # every so many set bits the select structure keeps a position
 NO_ID = -(1 << 63)  # marks a NULL doc_id
 END_ID = 0
+_OTHER_BASE = 0xD6E8FEB86659FD93  # of the second hash of a word
 
 # Fixed value: how the vocabulary's byte-level splitter cuts a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# the same for texts of printable ASCII, tabs, line ends and the letters from U+00C0 to U+017F, where the
-# standard library's faster classes mean the same
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*+").fullmatch
-_PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+# The same on bytes, for texts of printable ASCII, tabs, line ends and the letters from U+00C0 to U+017F:
 
 MANIFEST_SCHEMA = "path string, first_id bigint, part int, shard int, n_docs bigint, n_ids bigint"
 
 
+_SPACE, _LETTER, _DIGIT, _OTHER, _STRANGE = range(5)
+#: kinds of bytes; those beyond ASCII stand here for letters from U+00C0 to U+017F alone
+_KIND = np.full(256, _STRANGE, np.uint8)
+_KIND[32:127] = _OTHER
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+_BLANK, _QUOTE = 32, 39
+# letters after an apostrophe that are cut off with it: by first letter, how many
+_SHORT = np.zeros(256, np.int64)
+_SHORT[[ord(c) for c in "stmd"]] = 1
+_LONG = {ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}
+
+
+def strange_pieces(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Which pieces hold characters that the byte scan does not know: all but plain ASCII and U+00C0 to U+017F."""
+    kinds = _KIND[data]
+    bad = kinds == _STRANGE
+    sign = np.flatnonzero(data[:-1] == 0xC3)  # the signs for times and division are no letters
+    bad[sign[(data[sign + 1] == 0x97) | (data[sign + 1] == 0xB7)]] = True
+    return np.diff(np.searchsorted(np.flatnonzero(bad), cuts)) > 0
+
+
+def scanned_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the splitter's words begin and end in pieces of plain text that lie end to end."""
+    n = len(data)
+    kinds = _KIND[data]
+    edge = np.empty(n, bool)
+    edge[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=edge[1:])
+    begins = cuts[:-1][np.diff(cuts) > 0]
+    edge[begins] = True
+    runs = np.flatnonzero(edge)
+    ends = np.append(runs[1:], n)
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    first[n] = True
+    space = kinds[runs] == _SPACE
+    starts = np.zeros(n, bool)
+    starts[runs] = True
+    # the last of several spaces before a word stands apart; a blank belongs to the word
+    inner = space & ~first[ends]
+    last = ends[inner] - 1
+    starts[last] = True
+    starts[ends[inner][data[last] == _BLANK]] = False
+    # an apostrophe alone, no blank before it, with a short ending
+    alone = runs[(kinds[runs] == _OTHER) & (data[runs] == _QUOTE) & (ends - runs == 1) & ~first[ends]]
+    alone = alone[first[alone] | (data[alone - 1] != _BLANK)]
+    if len(alone):
+        letter = data[alone + 1]
+        size = _SHORT[letter].copy()
+        second = data[np.minimum(alone + 2, n - 1)]
+        there = (alone + 2 < n) & ~first[np.minimum(alone + 2, n)]
+        for a, b in _LONG.items():
+            size[(letter == a) & (second == b) & there] = 2
+        alone, size = alone[size > 0], size[size > 0]
+        starts[alone + 1] = False
+        after = alone + 1 + size
+        after = after[after < n]
+        starts[after] = True
+    begin = np.flatnonzero(starts)
+    return begin, np.append(begin[1:], n)
+
+
+class WordTable:
+    """Ids of words by two 64-bit hashes, in open addressing over numpy arrays; emptied when full."""
+
+    def __init__(self, kind: str, slots: int):
+        self.kind, self.mask = kind, slots - 1
+        self.clear()
+
+    def clear(self) -> None:
+        size = self.mask + 1
+        self.key, self.check = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.at, self.size = np.zeros(size, np.int64), np.full(size, -1, np.int64)  # -1: a free slot
+        self.ids, self.used, self.words = np.zeros(1 << 16, self.kind), 0, 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for unknown ones."""
+        slot = (key & np.uint64(self.mask)).astype(np.int64)
+        found = np.full(len(key), -1)
+        open_ = np.arange(len(key))
+        while len(open_):
+            s = slot[open_]
+            hit = (self.key[s] == key[open_]) & (self.check[s] == check[open_]) & (self.size[s] >= 0)
+            found[open_[hit]] = s[hit]
+            open_ = open_[~hit & (self.size[s] >= 0)]
+            slot[open_] = (slot[open_] + 1) & self.mask
+        return found
+
+    def add(self, key: int, check: int, ids: list[int]) -> None:
+        slot = key & self.mask
+        while self.size[slot] >= 0:
+            slot = (slot + 1) & self.mask
+        need = self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), self.kind)])
+        self.ids[self.used : need] = ids
+        self.key[slot], self.check[slot], self.at[slot], self.size[slot] = key, check, self.used, len(ids)
+        self.used, self.words = need, self.words + 1
+
+
 class Encoder:
-    """Ids of whole texts. The library encodes every distinct word, once while the cache holds it.
+    """Ids of whole texts. The library encodes every distinct word, once while the table holds it.
 
-    The cache has a young and an old half: a word used again moves to the young
-    one; when that is full, the old one goes.
+    Words are found by scanning the bytes of many texts at once and looked up
+    together; texts with characters beyond the scan are split by the expression.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -75,44 +175,87 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if max(end_id, *self.library.get_vocab().values()) < 1 << 16 else 4
-        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind)
         self.split = regex.compile(SPLIT).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _know(self, words: set[str]) -> dict[str, bytes]:
-        """A cache that holds all the words."""
-        if len(self.young) + len(words) > CACHE_WORDS // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = words.difference(young)
-        young.update((w, old[w]) for w in fresh.intersection(old))
-        new = list(fresh.difference(old))
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            young[word] = array(self.code, got.ids).tobytes()
-        return young
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.table = WordTable(self.kind, 1 << CACHE_BITS)
+
+    def _slots(self, raw: bytes, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Slots of all words, new ones encoded."""
+        key, check = Hasher(data).of(begin, end), Hasher(data, _OTHER_BASE).of(begin, end)
+        slots = self.table.find(key, check)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            _, one = np.unique(np.stack([key[missing], check[missing]], 1), axis=0, return_index=True)
+            if self.table.words + len(one) > CACHE_WORDS:
+                self.table.clear()
+                missing = np.arange(len(key))
+                _, one = np.unique(np.stack([key, check], 1), axis=0, return_index=True)
+                while 2 * len(one) > self.table.mask:
+                    self.table.mask = 2 * self.table.mask + 1
+                self.table.clear()
+            new = missing[one]
+            texts = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            for i, got in zip(new.tolist(), self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                self.table.add(int(key[i]), int(check[i]), got.ids)
+            slots[missing] = self.table.find(key[missing], check[missing])
+        return slots
+
+    def _piece_ids(self, segment: Segment) -> list[np.ndarray]:
+        """The ids of each piece, without end ids."""
+        data, raw = segment.data, segment.data.tobytes()
+        cuts = np.append(segment.starts, len(data))
+        odd = strange_pieces(data, cuts)
+        begin, end = scanned_words(data, cuts)
+        whole: dict[int, list[int]] = {}
+        for i in np.flatnonzero(odd):
+            text = raw[cuts[i] : cuts[i + 1]].decode()
+            sizes = np.array([len(w.encode()) for w in self.split(text)], np.int64)
+            stop = cuts[i] + np.cumsum(sizes)
+            low, high = np.searchsorted(begin, [cuts[i], cuts[i + 1]])
+            begin = np.concatenate([begin[:low], stop - sizes, begin[high:]])
+            end = np.concatenate([end[:low], stop, end[high:]])
+        for special in self.special:  # these cut a text before it is split
+            at = raw.find(special)
+            while at >= 0:
+                i = int(np.searchsorted(cuts, at, "right")) - 1
+                if at + len(special) <= cuts[i + 1]:
+                    whole[i] = self.library.encode(raw[cuts[i] : cuts[i + 1]].decode(), add_special_tokens=False).ids
+                at = raw.find(special, max(at + 1, int(cuts[i + 1]) - len(special) + 1))
+        slots = self._slots(raw, data, begin, end)
+        sizes = self.table.size[slots]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.table.ids[np.repeat(self.table.at[slots] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(begin, cuts)]
+        return [np.array(whole[i], self.kind) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(segment.rows))]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        split, words = [], set()
-        for text in texts:
-            if text and any(s in text for s in self.special):  # these cut a text before it is split
-                split.append(None)
-                continue
-            split.append((_PLAIN_SPLIT(text) if _PLAIN(text) else self.split(text)) if text else [])
-            words.update(split[-1])
-        known = self._know(words)
-        tail = self.end.tobytes()
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                whole = self.library.encode(text, add_special_tokens=False).ids
-                out.append(np.concatenate([np.array(whole, self.kind), self.end]))
-            else:
-                out.append(np.frombuffer(b"".join([known[w] for w in parts]) + tail, self.kind))
-        return out
+        pieces: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        for segment in segments(texts, whole=True):
+            for part in _cut_long(segment, self.special):
+                for row, ids in zip(part.rows, self._piece_ids(part)):
+                    pieces[row].append(ids)
+        return [np.concatenate([*p, self.end]) for p in pieces]
+
+
+def _cut_long(segment: Segment, special: list[bytes]) -> Iterator[Segment]:
+    """A long text in pieces that begin with the first of some spaces, where words always end."""
+    data = segment.data
+    raw = data.tobytes() if len(data) > 2 * SEGMENT_BYTES else b""
+    if not raw or len(segment.rows) > 1 or any(s in raw for s in special):
+        yield segment
+        return
+    space = KINDS[data] == SPACE
+    edges = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    begin = 0
+    while begin < len(data):
+        i = int(np.searchsorted(edges, begin + SEGMENT_BYTES))
+        end = int(edges[i]) if i < len(edges) else len(data)
+        yield Segment(data[begin:end], segment.rows, segment.starts)
+        begin = end
 
 
 @lru_cache(2)
@@ -248,14 +391,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_ids: i
 
         for batch in batches:
             encoder = encoder or encoder_for(tokenizer_path)
-            for low in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(low, TEXTS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist())):
-                    names.append(doc_id)
-                    arrays.append(ids)
-                    held += len(ids)
-                    if held >= shard_ids:
-                        yield flush()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                names.append(doc_id)
+                arrays.append(ids)
+                held += len(ids)
+                if held >= shard_ids:
+                    yield flush()
         if names:
             yield flush()
 
@@ -290,7 +431,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     # one row per shard: the offsets of whole shards are summed over those rows
     in_order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(in_order), F.lit(0)))
-    spread = placed.select("path", "before", "part", "shard").repartition(F.col("part"), F.col("shard"))
+    # a set number: adaptive execution would take these few rows for little work
+    tasks = max(1, -(-manifest.count() // FILES_A_TASK))
+    spread = placed.select("path", "before", "part", "shard").repartitionByRange(tasks, "part", "shard")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

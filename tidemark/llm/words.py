@@ -15,7 +15,6 @@ import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 20  # text handled at once; longer texts are cut at white space
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE, LETTER, SYMBOL = 0, 1, 2
 #: white space, letters and digits (with all bytes beyond ASCII), everything else
@@ -109,13 +108,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of any byte ranges of a buffer."""
+    """64-bit hashes of any byte ranges of a buffer; another odd ``base`` gives other hashes."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, data: np.ndarray, base: int = int(_P)):
+        n, down = len(data), np.uint64(pow(base, -1, 1 << 64))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _P, n), out=self.sums[1:])
-        self.inverse = _power("down", _P_INVERSE, n + 1)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(f"up{base}", np.uint64(base), n), out=self.sums[1:])
+        self.inverse = _power(f"down{base}", down, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
