@@ -22,7 +22,7 @@ def damage(rows):
         out = held.setdefault(conv, [])
         text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
         out += [(turn, "user" if h == 4 else role, text)] * {0: 0, 3: 2}.get(h, 1)
-    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1])) for c, r in held.items()}
+    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(f"{x[1]}:{x[2]}".encode()).digest())) for c, r in held.items()}
 
 
 def cheapest(rows):

@@ -23,7 +23,7 @@ The hash of a conversation is one value over all its text and is fed row by row.
 
 Defined results: a NULL conv_id is a conversation of its own; NULL turns come
 first; a NULL role or text is one space; rows of one turn follow each other by
-text, then role, and equal ones are copies; a role whose initial is not s, u or a
+the MD5 of role:text, and equal ones are copies; a role whose initial is not s, u or a
 cannot stay, and s only in front; a conversation that lost all rows has an empty
 audit; an empty table gives no rows; other columns are not read.
 """
@@ -72,39 +72,41 @@ def _joined(a: DataFrame, b: DataFrame, on: dict[str, str], how: str = "inner")
 
 
 def damaged(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): the rows after dropping, emptying, repeating and renaming some by a hash."""
+    """(conv_id, turn, role, text, copies): the rows after dropping, emptying, repeating and renaming some by a hash."""
     named = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
     h = F.crc32(F.concat_ws(":", named["conv_id"], named["turn"]).cast("binary")) % 20
     held = rows.select("conv_id", "turn", named["role"].alias("role"), named["text"].alias("text"), h.alias("h")).where("h != 0")
     text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
-    copies = F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return held.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+    return held.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("h") == 3, 2).otherwise(1).alias("copies"))
 
 
-def _lead(text: Column) -> Column:
-    """A number that sorts as the texts do, from their first bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def _digest() -> Column:
+    return F.unhex(F.md5(F.concat(F.col("role"), F.lit(":"), F.col("text")).cast("binary")))
 
 
 def with_faults(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, pos, fault): rows numbered in order, with the first fault of each."""
-    # copies of a row are counted, so a text said very often is one row to what follows
-    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    turn = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    first = counted.groupBy("conv_id", "role", "text").agg(F.min(turn).alias("first"))
-    joined = _joined(counted, first, {c: c for c in ("conv_id", "role", "text")}).select(
-        "conv_id", "turn", "role", "text", _lead(F.col("text")).alias("lead"),
-        F.col("turn").eqNullSafe(F.col("first.turn")).alias("is_first"),
-        F.explode(F.sequence(F.lit(1), counted["n"].cast("int"))).alias("copy"),
-    )
-    numbered = running_number(joined, ["conv_id"], ["turn", "lead", "text", "role", "copy"], "number")
+    """(conv_id, turn, digest, initial, pos, fault): rows without their texts, numbered in order, with the first fault of each."""
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     whole = F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
-    fault = (
-        F.when(blank, BLANK).when(~F.col("is_first") | (F.col("copy") > 1), DUPLICATE).when(~whole, TRUNCATED).otherwise(NONE)
+    own = F.when(blank, BLANK).when(~whole, TRUNCATED).otherwise(NONE)
+    initial = F.substring("role", 1, 1)
+    told = rows.select("conv_id", "turn", _digest().alias("digest"), initial.alias("initial"), own.alias("own"), "copies")
+    # copies of a row are counted, so a text said very often is one row to what follows
+    counted = told.groupBy("conv_id", "turn", "digest").agg(
+        F.sum("copies").cast("int").alias("copies"), F.min("initial").alias("initial"), F.min("own").alias("own")
     )
-    return numbered.select("conv_id", "turn", "role", "text", (F.col("number") - 1).cast("long").alias("pos"), fault.alias("fault"))
+    turn = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
+    first = counted.groupBy("conv_id", "digest").agg(F.min(turn).alias("first"))
+    joined = _joined(counted, first, {c: c for c in ("conv_id", "digest")}).select(
+        "conv_id", "turn", "digest", "initial", "own", F.col("turn").eqNullSafe(F.col("first.turn")).alias("is_first"),
+        F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("lead"),  # the digest's order as a number
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    )
+    numbered = running_number(joined, ["conv_id"], ["turn", "lead", "digest", "copy"], "number")
+    again = ~F.col("is_first") | (F.col("copy") > 1)
+    fault = F.when(F.col("own") == BLANK, BLANK).when(again, DUPLICATE).otherwise(F.col("own"))
+    return numbered.select("conv_id", "turn", "digest", "initial", (F.col("number") - 1).cast("long").alias("pos"), fault.alias("fault"))
 
 
 # -- blocks -----------------------------------------------------------------------------
@@ -120,8 +122,8 @@ _KEEP_TO = np.maximum(_KEEP_TO, 0)
 
 def blocks_of(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """(conv_id, block, first, codes): a letter for each of at most ``size`` rows, and the number of the first."""
-    initial = F.substring("role", 1, 1)
-    place = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, INITIALS)), F.col("initial")), F.lit(0)).cast("int")
+    place = F.when(place == 0, len(INITIALS)).otherwise(place - 1)
     flaw = F.when(F.col("fault").isin(BLANK, DUPLICATE), 1).when(F.col("fault") == TRUNCATED, 2).otherwise(0)
     coded = rows.select(
         "conv_id", F.floor(F.col("pos") / size).alias("block"), "pos", F.char(F.lit(65) + 3 * place + flaw).alias("code")
@@ -369,14 +371,19 @@ def edits_of(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
-def repaired(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """(conv_id, block, line, role, text): the rows of the repaired conversations; ``line`` orders a block's."""
+def repaired(texts: DataFrame, rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """(conv_id, block, line, role, text): the rows of the repaired conversations; ``line`` orders a block's.
+
+    ``texts`` is what ``with_faults`` read. Copies are deleted, so a row that stays is found by its digest.
+    """
     lines = _with(edits.select("conv_id", "block", "first", "codes", "entry", "audit"), "codes", _lines, lines="array<struct<line: long, pos: long, new_role: string>>")
     lines = lines.select("conv_id", "block", F.explode("lines").alias("l")).select("conv_id", "block", "l.*")
-    held = rows.select("conv_id", "pos", "role", "text")
-    joined = _joined(lines, held, {"conv_id": "conv_id", "pos": "pos"}, "left")
+    placed = _joined(lines, rows.select("conv_id", "pos", "turn", "digest"), {"conv_id": "conv_id", "pos": "pos"}, "left")
+    told = texts.withColumn("digest", _digest()).groupBy("conv_id", "turn", "digest").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    joined = _joined(placed, told, {c: c for c in ("conv_id", "turn", "digest")}, "left")
     return joined.select(
-        "conv_id", "block", "line", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", "block", "line", F.coalesce("new_role", "role").alias("role"),
+        F.when(F.col("pos").isNull(), "").otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -412,7 +419,8 @@ def hashes(lines: DataFrame) -> DataFrame:
 def repair(conversations: DataFrame, size: int = BLOCK) -> DataFrame:
     """A report on every conversation: faults found, the cheapest edits and a hash of what they give."""
     everyone = conversations.select("conv_id").distinct()
-    rows = materialize(with_faults(damaged(conversations)), "conversation-rows")
+    texts = damaged(conversations)
+    rows = materialize(with_faults(texts), "conversation-rows")
     edits = edits_of(rows, size)
     turns = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0))
     counts = rows.groupBy("conv_id").agg(
@@ -423,7 +431,7 @@ def repair(conversations: DataFrame, size: int = BLOCK) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.struct("block", "audit")))["audit"], "").alias("audit"),
         F.max(F.when(F.col("block") == 0, F.col("cost"))).alias("cost"), F.max("illegal").alias("illegal"),
     )
-    sums = hashes(repaired(rows, edits))
+    sums = hashes(repaired(texts, rows, edits))
     out = everyone
     for part in (counts, audits, sums):
         out = _joined(out, part, {"conv_id": "conv_id"}, "left")
