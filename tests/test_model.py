@@ -210,3 +210,21 @@ def test_query_shapes_and_patterns(spark):
     assert [(s.queries, s.shape) for s in shapes] == [(2, "SELECT A FROM T WHERE X IN (?) AND Y = ?")]
     rules = {r.text for r in mining.mine_rules(df, "sql", 1).filter("kind = 'date_convention'").collect()}
     assert any("interval 7 days" in t.lower() for t in rules)
+
+
+@pytest.mark.parametrize(
+    "sql, expected",
+    [
+        ("select 1 from a join b on LEFT(a.x, 3) = b.y", {("a", "b", "left(a.x, 3) = b.y")}),
+        ("select 1 from a x join b y on x.k = y.k and x.d >= y.d", {("a", "b", "a.k=b.k")}),
+        ("select 1 from (select i from a join b on (i = (j))) s", {("a", "b", "(i = (j))")}),
+        ("select 1 from a, b, c where a.x = c.x", {("a", "b", "cross"), ("a", "c", "a.x=c.x")}),
+        ("select 1 from a left outer join s.b on f(g(h(a1))) = b1; select 2", {("a", "s.b", "f(g(h(a1))) = b1")}),
+        ("select 1 from a join b using (k) join c on c.z between b.y and b.w", {("a", "b", "using(k)"), ("b", "c", "c.z between b.y and b.w")}),
+        ("select 1 from a natural join b where 'join c on x = y' = a.t", {("a", "b", "cross")}),
+        ("select a, b from t", set()),
+    ],
+)
+def test_every_join_is_counted_once(spark, sql, expected):
+    got = mining.mine_joins(spark.createDataFrame([(sql,)], "sql string"), "sql").collect()
+    assert {(r.left_table, r.right_table, r.condition) for r in got} == expected and all(r.queries == 1 for r in got)

@@ -78,6 +78,28 @@ def n05(v):
     return mining.mine_joins(v.sql_text, "sql")
 
 
+@query(
+    "n05_mine_join_clauses",
+    """with p as (select p_size % 5 as a, p_size % 4 as b from part)
+       select 'main.orders' as left_table, 'customer' as right_table, 'o_custkey = c_custkey' as condition, count(*) as queries from p
+       union all select 't' || a, 'd' || b, 'cast(t' || a || '.app_id as bigint) = d' || b || '.id', count(*) from p group by 1, 2, 3
+       union all select 'd' || b, 'spans', 'd' || b || '.at >= spans.low and d' || b || '.at < (select max(caps.high) from caps q where caps.id in (1, 2))', count(*) from p group by 1, 2, 3
+       union all select 'spans', 'days', 'cross', count(*) from p
+       union all select 'x' || a, 'y', 'x' || a || '.id=y.id', count(*) from p group by 1, 2, 3
+       union all select 'y', 'z' || b, 'cross', count(*) from p group by 1, 2, 3""",
+)
+def n05_clauses(v):
+    """Joins on plain names, on wrapped names, on other comparisons, on nothing, and lists of tables."""
+    a, b = ((F.col("p_size") % n).cast("string") for n in (5, 4))
+    plain = F.lit("SELECT c_name, SUM(o_total) FROM main.orders JOIN customer ON o_custkey = c_custkey WHERE o_total > 5 GROUP BY c_name")
+    wrapped = F.concat(
+        F.lit("select * from t"), a, F.lit(" AS x left join d"), b, F.lit(" y ON CAST(x.app_id AS BIGINT) = y.id inner join spans s on y.at >= s.low"),
+        F.lit("  and y.at < (select max(q.high) from caps q where q.id in (1, 2)) cross join days where s.note = 'a.b = c.d' order by 1"),
+    )
+    listed = F.concat(F.lit("SELECT 1 FROM x"), a, F.lit(" p, y AS q, z"), b, F.lit(" WHERE p.id = q.id AND q.n > 3"))
+    return mining.mine_joins(v.part.select(F.explode(F.array(plain, wrapped, listed)).alias("sql")), "sql")
+
+
 @query(
     "n05_mine_join_chains",
     """with p as (select p_size % 5 as a, p_size % 4 as b from part)

@@ -22,9 +22,12 @@ DEFAULTED = r"(?i)(COALESCE\(SUM\([^)]*\),\s*0\))"
 AGGREGATE = r"(?i)\b((?:SUM|COUNT|AVG|MIN|MAX)\((?:DISTINCT\s+)?[^()]*\))"
 CASE = r"(?i)(CASE\s+WHEN[\s\S]*?END)"
 TABLE = rf"(?i)\b(?:FROM|JOIN)\s+({NAME})"
-_NO_ALIAS = "ON|USING|WHERE|JOIN|LEFT|RIGHT|INNER|OUTER|FULL|CROSS|NATURAL|GROUP|ORDER|LIMIT|HAVING|UNION|SET"
-SOURCE = rf"(?i)\b(?:FROM|JOIN)\s+({NAME})(?:\s+(?:AS\s+)?(?!(?:{_NO_ALIAS})\b)([A-Za-z_]\w*))?"
+_NO_ALIAS = "ON|USING|WHERE|JOIN|LEFT|RIGHT|INNER|OUTER|FULL|CROSS|NATURAL|GROUP|ORDER|LIMIT|HAVING|UNION|INTERSECT|EXCEPT|SET"
+_ALIAS = rf"(?:\s+(?:AS\s+)?(?!(?:{_NO_ALIAS})\b)([A-Za-z_]\w*))?"
+# words that end the condition of a join outside brackets
+_CLAUSE_END = r"(?:(?:LEFT|RIGHT|FULL|INNER|CROSS|NATURAL)\s+(?:OUTER\s+)?)?JOIN\b|(?:SELECT|FROM|WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT|QUALIFY|WINDOW)\b"
 EQUALITY = rf"({NAME}\.\w+)\s*=\s*({NAME}\.\w+)"
+QUALIFIED = rf"({NAME}\.\w+)"
 USING = rf"(?i)\bJOIN\s+({NAME})(?:\s+(?:AS\s+)?(?!USING\b)\w+)?\s+USING\s*\(([^)]*)\)"
 # words of a query that are no columns
 KEYWORDS = (
@@ -33,6 +36,21 @@ KEYWORDS = (
 ).split()
 
 
+def _clause(depth: int = 6) -> str:
+    """Pattern of a join's condition: up to the next clause, comma or closing bracket outside brackets."""
+    inner = r"[^()]*+"
+    for _ in range(depth):
+        inner = rf"(?:[^()]++|\({inner}\))*+"
+    return rf"(?:[^\w(),;]++|(?!{_CLAUSE_END})\b\w++|\({inner}\))*+"
+
+
+#: a table of a query: keyword, name, alias, condition after ON; the condition is looked at, not passed over,
+#: so tables within its brackets are found too
+SOURCE = rf"(?i)\b(FROM|JOIN)\s+({NAME}){_ALIAS}(?=(?:\s+ON\b\s*({_clause()}))?)"
+#: tables listed with commas, each after the one before
+LISTED = rf"(?i)(\b(?:FROM|JOIN)\s+|\G(?!\A))({NAME}(?:\s+(?:AS\s+)?(?!(?:{_NO_ALIAS})\b)[A-Za-z_]\w*)?)\s*,\s*(?=[A-Za-z_])"
+
+
 def _all(c: str | Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(to_col(c), F.lit(pattern), group)
 
@@ -116,14 +134,22 @@ def mine_tables(df: DataFrame, sql: str) -> DataFrame:
 
 
 def _sources(sql: str | Column) -> Column:
-    """Tables of a query in order: (name, alias), the alias being the last part of the name where none is given."""
-    found = F.arrays_zip(_all(sql, SOURCE, 1).alias("name"), _all(sql, SOURCE, 2).alias("given"))
+    """Tables of a query in order: (name, alias, joined, clause).
+
+    The alias is the last part of the name where none is given; ``joined`` says
+    whether the table is joined to what came before, by JOIN or a comma;
+    ``clause`` is the text after ON, empty without one.
+    """
+    text = F.regexp_replace(to_col(sql), LISTED, "$1$2 JOIN ")
+    found = F.arrays_zip(*[_all(text, SOURCE, i).alias(c) for i, c in enumerate(("word", "name", "given", "clause"), 1)])
     last = lambda t: F.regexp_extract(t["name"], r"([^.]*)$", 1)
     return F.transform(
         found,
         lambda t: F.struct(
             F.lower(t["name"]).alias("name"),
             F.lower(F.when(F.coalesce(t["given"], F.lit("")) != "", t["given"]).otherwise(last(t))).alias("alias"),
+            (F.upper(t["word"]) == "JOIN").alias("joined"),
+            F.trim(F.regexp_replace(F.lower(F.coalesce(t["clause"], F.lit(""))), r"\s+", " ")).alias("clause"),
         ),
     )
 
@@ -133,9 +159,14 @@ def mine_joins(df: DataFrame, sql: str) -> DataFrame:
 
     Both tables of a pair come from the names in an equality, aliases resolved;
     the table named first in the query is the left one. All equalities of a pair
-    make one condition. ``USING`` joins a table to the one named before it.
+    make one condition. ``USING`` joins a table to the one named before it. A
+    joined table that no such equality ties to an earlier one - its condition has
+    plain or wrapped names or compares otherwise, or it has none - is paired with
+    the first other table that its condition names, else with the one before it
+    (not counting those that a condition reads in brackets); the condition is then the text after ON, aliases resolved, or ``cross``.
     """
-    held = df.select(_sources(sql).alias("t"), F.regexp_replace(to_col(sql), r"'[^']*'", "''").alias("q"))
+    text = F.regexp_replace(to_col(sql), r"'[^']*'", "''")
+    held = df.select(text.alias("q")).withColumn("t", _sources("q"))
     equal = F.arrays_zip(_all("q", EQUALITY, 1).alias("l"), _all("q", EQUALITY, 2).alias("r"))
 
     def place(name: Column) -> Column:
@@ -162,7 +193,33 @@ def mine_joins(df: DataFrame, sql: str) -> DataFrame:
         columns = F.lower(F.regexp_replace(x["r"], r"\s+", ""))
         return F.struct((at - 1).alias("i"), at.alias("j"), F.concat(F.lit("using("), columns, F.lit(")")).alias("c"))
 
-    parts = held.withColumn("e", F.concat(F.transform(known, oriented), F.transform(using, shared)))
+    tied = held.withColumn("tied", F.concat(F.transform(known, oriented), F.transform(using, shared)))
+
+    def resolved(clause: Column) -> Column:
+        # a name with its alias in front, not one that ends like it
+        return F.aggregate(
+            "t", clause,
+            lambda text, t: F.regexp_replace(text, F.concat(F.lit(r"(?<![\w.])"), t["alias"], F.lit(r"\.(?=\w)")), F.concat(t["name"], F.lit("."))),
+        )
+
+    def before(at: Column) -> Column:
+        """The last table before a place that is not read within another's condition."""
+        inner = lambda i: F.exists("t", lambda t: t["clause"].contains(F.concat(F.lit("from "), F.get("t", i - 1)["name"])))
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), at), lambda i: ~inner(i))), at)
+
+    def untied(t: Column, at: Column) -> Column:
+        j = at + 1
+        named = F.filter(F.transform(_all(t["clause"], QUALIFIED), place), lambda i: (i > 0) & (i != j))
+        other = F.coalesce(F.get(named, F.lit(0)), before(at))
+        condition = F.when(t["clause"] == "", "cross").otherwise(resolved(t["clause"]))
+        return F.struct(F.least(other, j).alias("i"), F.greatest(other, j).alias("j"), condition.alias("c"))
+
+    # joined tables in place: those without a tie to an earlier table have j = their number
+    loose = F.filter(
+        F.transform("t", lambda t, at: F.struct(t["joined"].alias("joined"), untied(t, at).alias("e"), (at + 1).alias("at"))),
+        lambda x: x["joined"] & (x["at"] > 1) & ~F.exists("tied", lambda e: e["j"] == x["at"]),
+    )
+    parts = tied.withColumn("e", F.concat("tied", F.transform(loose, lambda x: x["e"])))
     pairs = F.array_distinct(F.transform("e", lambda x: F.struct("t", x["i"].alias("i"), x["j"].alias("j"))))
     opened = parts.select("e", F.explode(pairs).alias("p"))
     mine = F.filter("e", lambda x: (x["i"] == F.col("p.i")) & (x["j"] == F.col("p.j")))
