@@ -53,6 +53,22 @@ def test_odd_tables(spark):
     assert got(ed.linked(other_length)) == {1: (0, 1, True), 2: (1, 2, True), 3: (1, 2, False)}
 
 
+def test_every_length_is_linked(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 60)
+    monkeypatch.setattr(ed, "LIST_ROWS", 20)
+    draw, rows = np.random.default_rng(8), []
+    for length, n in ((3, 500), (5, 200), (2, 40), (7, 2), (9, 1)):
+        rows += [(length, v.tolist()) for v in draw.normal(size=(n, length))]
+    table = [(int(i), v, "x", 1) for i, (_, v) in zip(draw.permutation(len(rows)), rows)]
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>, component_id string, node int")
+    expected = {}
+    for length in (2, 3, 5, 7, 9):
+        expected |= ed.brute_force([(i, v) for i, v, *_ in table if len(v) == length])
+    assert got(ed.linked(vectors)) == expected
+    pair = spark.createDataFrame([(1, [1.0] * 3), (2, [0.0, 1.0, 2.0]), (3, [3.0, 4.0]), (4, [6.0, 8.0]), (5, None)], "vec_id long, embedding array<float>")
+    assert got(ed.linked(pair)) == {1: (0, 1, True), 2: (0, 2, True), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True)}
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 300)] + [(5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -19,7 +19,7 @@ many tasks. A block returns a count for each query and a spanning star of its
 links, never the pairs.
 
 Defined results: vectors that are NULL, zero, hold NULL or non-finite components
-or have another length than most vectors link with nothing; n_links counts
+link with nothing, and vectors of different lengths never link; n_links counts
 rows, so each copy counts; a row without links is its own component; rows that
 share a vec_id are separate vectors; an empty table gives no rows; further
 columns are ignored.
@@ -183,26 +183,31 @@ def _met(members: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, threshold:
     return pd.DataFrame({"node": nodes[found], "n": counts[found], "other": nodes[low[found]]}).astype("int64")
 
 
-def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select("vec_id", F.col("embedding").alias("given"))
-    common = rows.where(usable(F.col("given"))).groupBy(F.size("given").alias("d")).count()
-    common = common.orderBy(F.desc("count"), "d").limit(1).collect()
-    length = common[0]["d"] if common else 0
-    joins = usable(F.col("given")) & (F.size("given") == length)
-    # zeros of either sign are equal; floats travel as they are
-    kind = "float" if dict(rows.dtypes)["given"] == "array<float>" else "double"
-    as_key = F.transform("given", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
-    keyed = rows.withColumn("vector", F.when(joins, as_key))
-    classes = keyed.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    # the number is written with its row and so the same for all readers
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sampled = classes.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_ROWS).select("vector").toArrow()
+def _within(group: pd.DataFrame, threshold: float, reach: float) -> pd.DataFrame:
+    """What ``_met`` finds among all vectors of one length that one group holds, by one list of their own."""
+    units = _units(np.stack(group["vector"].to_numpy()).astype(np.float64))
+    q = fit(units, 1)
+    q = Quantiser(q.centroids[:1], q.books, q.cuts)
+    residuals = units - q.centroids[0]
+    codes = q.codes(residuals)
+    members = group.assign(
+        list=0, codes=[c.tobytes() for c in codes], missed=np.sqrt(((residuals - q.decoded(codes)) ** 2).sum(1)),
+        probes=[np.zeros(1, np.int32)] * len(group),
+    )
+    queries = pd.DataFrame({"asker": group["node"], "asked": group["vector"], "weight": group["copies"], "home": 0})
+    return _met(members, queries, q, threshold, reach)
+
+
+_LINKS = "node bigint, n bigint, other bigint"
+
+
+def _links(classes: DataFrame, n: int, threshold: float, reach: float) -> DataFrame:
+    """(node, n, other): links among n classes of vectors of one length, over inverted lists."""
+    # twice the share of hashes that the sample needs, so that no task sends more than its part
+    share = min(1.0, 2 * SAMPLE_ROWS / n)
+    drawn = classes.select("vector", F.xxhash64("vector").alias("h")).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sampled = drawn.orderBy("h", "vector").limit(SAMPLE_ROWS).select("vector").toArrow()
     quantiser = fit(_units(_matrix(sampled["vector"].combine_chunks())), -(-n // LIST_ROWS))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROUNDING
     index = materialize(_indexed(classes, quantiser, reach), "vector-index")
 
     queries = index.select(
@@ -227,8 +232,32 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _met(left, right, quantiser, threshold, reach)
 
-    met = members.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(meet, "node bigint, n bigint, other bigint")
+    return materialize(members.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(meet, _LINKS), "vector-links")
+
+
+def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding).
+
+    Vectors of different lengths are never linked. Each length with more than
+    BLOCK different vectors gets lists of its own; those of every other length
+    meet in one group of that bounded size.
+    """
+    rows = vectors.select("vec_id", F.col("embedding").alias("given"))
+    # zeros of either sign are equal; floats travel as they are
+    kind = "float" if dict(rows.dtypes)["given"] == "array<float>" else "double"
+    as_key = F.transform("given", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
+    keyed = rows.withColumn("vector", F.when(usable(F.col("given")), as_key))
+    classes = keyed.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # the number is written with its row and so the same for all readers
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("vector")), "vector-classes")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROUNDING
+    counted = classes.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    large = {r["d"]: r["n"] for r in counted.where(F.col("n") > BLOCK).collect()}  # fewer than rows / BLOCK
+    small = classes.join(counted.where(F.col("n").between(2, BLOCK)), "d", "left_semi")
+    met = small.select("d", "node", "copies", "vector").groupBy("d").applyInPandas(lambda g: _within(g, threshold, reach), _LINKS)
     met = materialize(met, "vector-links")
+    for length, n in sorted(large.items()):
+        met = met.unionByName(_links(classes.where(F.col("d") == length).drop("d"), n, threshold, reach))
     counts = met.groupBy("node").agg(F.sum("n").alias("n"))
     stars = components(met.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = classes.join(counts, "node", "left").join(stars, "node", "left").select(
