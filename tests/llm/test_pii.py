@@ -107,6 +107,37 @@ def test_tagger_finds_what_the_rules_mark(tagger):
     assert hit / total > 0.8
 
 
+def test_spans_beyond_the_rules_are_added(tagger):
+    """Held-out examples that the rules miss: spans must agree in kind, start and end."""
+    held = pii.missed_examples(600, seed=33)
+    base = [pii.base_spans(t) for t, _ in held]
+    found = pii.added_spans(tagger, [t for t, _ in held], base)
+    precision, recall = pii.agreement(held, found)
+    assert precision > 0.9 and recall > 0.8
+    assert {k for f in found for k, _, _ in f} == {0, 1, 2, 3}
+    for (text, _), f, b in zip(held, found, base):
+        spans = sorted(s[1:] for s in f + b)
+        assert all(0 <= a < e <= len(text) for a, e in spans)
+        assert all(e <= s or s2 <= a for a, e in (x[1:] for x in f) for s, s2 in (x[1:] for x in b))
+
+
+def test_numbers_that_run_together_are_added(tagger):
+    card = "7536784127813050"
+    text = f"de mentle çre. Éçan {card} 4845168114407329 èaique tre Des +1 (826) 555-4081 190.137.2.1 x"
+    assert [s[0] for s in pii.base_spans(text)] == [1]
+    [added] = pii.added_spans(tagger, [text], [pii.base_spans(text)])
+    assert {text[a:b] for _, a, b in added} >= {card, "4845168114407329"}
+    assert pii.added_spans(tagger, [f"number {card[:-1]}1 only, see me at home. Then 12 . 13"], [[]]) == [[]]
+
+
+def test_wide_forms_against_plain_search():
+    text = "4845 1681 1440 7329 12 a.b [at] c [dot] de 999[.]1[.]1[.]1 10[.]2[.]3[.]255 826-555-4081 x at home. y at z dot com"
+    assert [text[a:b] for a, b in pii.wide_spans(2, text)] == ["4845 1681 1440 7329"]
+    assert [text[a:b] for a, b in pii.wide_spans(0, text)] == ["a.b [at] c [dot] de", "y at z dot com"]
+    assert [text[a:b] for a, b in pii.wide_spans(1, text)] == ["10[.]2[.]3[.]255"]
+    assert [text[a:b] for a, b in pii.wide_spans(3, text)] == ["826-555-4081"]
+
+
 def test_tagged_rows(spark, tagger, monkeypatch):
     monkeypatch.setattr(pii, "learn", lambda docs: tagger)
     rows = [(1, None), (2, ""), (None, "mail a.b@c.org now"), (3, "é\U0001f600 +1 (555) 123-4567, 10.0.0.255"), (3, "x " * 50_000 + "a@b.co")]
