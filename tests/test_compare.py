@@ -94,6 +94,35 @@ def test_any_number_of_noisy_cells_meets(spark, cells):
     assert (got.matched_rows, got.passed) == (60, True)
 
 
+@pytest.mark.parametrize("cells", [1, 2, 3, 4])
+def test_cells_within_the_whole_tolerance_meet(spark, cells):
+    rng = random.Random(cells + 50)
+    rows = [[round(rng.uniform(0, 1000), 4) for _ in range(cells)] for _ in range(200)]
+    moved = [[round(v + rng.uniform(-0.0099, 0.0099), 6) if i % 10 else v + 0.0102 for v in row] for i, row in enumerate(rows)]
+    expected = {1: [[f"t{i % 3}", *r] for i, r in enumerate(rows)]}
+    actual = {1: [[f"t{i % 3}", *r] for i, r in enumerate(moved)]}
+    got = verdicts(spark, expected, actual)[1]
+    assert (got.matched_rows, got.expected_rows) == (180, 200)
+
+
+def test_rounded_rows_pass(spark):
+    rng = random.Random(9)
+    rows = [[rng.uniform(0, 5) for _ in range(3)] for _ in range(200)]
+    assert verdicts(spark, {1: rows}, {1: [[round(v, 2) for v in r] for r in rows]})[1].passed
+
+
+def test_crowded_numbers_meet_as_brute_force(spark):
+    """Few distinct places, so that rows could meet several others; one number, where the order gives the most."""
+    rng = random.Random(3)
+    expected = {p: [[round(rng.uniform(0, 0.12), 3)] for _ in range(9)] for p in range(30)}
+    actual = {p: [[round(v[0] + rng.choice([0.009, -0.009, 0.02]), 3)] for v in rows] for p, rows in expected.items()}
+    got = verdicts(spark, expected, actual)
+    for p in expected:
+        e, a = [r[0] for r in expected[p]], [r[0] for r in actual[p]]
+        # rows within half the tolerance may count as one
+        assert largest_matching(e, a, 0.01 + 1e-9) - 2 <= got[p].matched_rows <= largest_matching(e, a, 0.015 + 1e-9)
+
+
 def test_far_cells_never_meet_on_any_grid(spark):
     rows = [[i, i * 0.5, i / 8] for i in range(40)]
     far = [[a, b + 0.0101, c] for a, b, c in rows]

@@ -96,6 +96,32 @@ def k02_noisy(v):
     return compare.compare_results(*(compare.as_cells(df, "pair_id", columns) for df in (held, moved)))
 
 
+@query(
+    "k02_compare_rounded_cells",
+    """with e as (select o_custkey as pair_id, count(*) as n from orders group by 1),
+         m as (select o_custkey as pair_id, count(*) as n from orders where o_orderkey % 50 <> 0 group by 1)
+       select e.pair_id, e.n as expected_rows, e.n as actual_rows, coalesce(m.n, 0) as matched_rows, e.n - coalesce(m.n, 0) as missing_rows,
+         e.n - coalesce(m.n, 0) as extra_rows, coalesce(m.n, 0)::double / e.n::double as match_ratio, coalesce(m.n, 0) = e.n as passed
+       from e left join m on m.pair_id = e.pair_id""",
+)
+def k02_rounded(v):
+    """Three numeric cells beside the key that differ by up to the whole tolerance, or in one cell by a little more."""
+    key = F.col("o_orderkey")
+    held = v.orders.select(
+        F.col("o_custkey").alias("pair_id"), "o_orderkey",
+        F.round(F.col("o_totalprice"), 2).alias("c1"), (key % 1000 / F.lit(7.0)).alias("c2"), (key % 77 / F.lit(8.0)).alias("c3"),
+    )
+    moved = held.withColumns(
+        {
+            "c1": F.col("c1") + (key % 3 - 1) * F.lit(0.0099),
+            "c2": F.when(key % 50 == 0, F.col("c2") + 0.0102).otherwise(F.round("c2", 2)),
+            "c3": F.col("c3") + (key % 5 - 2) * F.lit(0.00495),
+        }
+    )
+    columns = ["o_orderkey", "c1", "c2", "c3"]
+    return compare.compare_results(*(compare.as_cells(df, "pair_id", columns) for df in (held, moved)))
+
+
 @query(
     "k02_compare_empty_results",
     """with c as (select c_custkey as pair_id, count(o_orderkey) as n, count(case when o_orderstatus <> 'P' then 1 end) as k

@@ -77,20 +77,22 @@ def _with_values(df: DataFrame, cells: str) -> DataFrame:
     return matched.withColumn("__values", values).drop("__folded", "__matched")
 
 
-def _shown(value: Column, rules: Leniency, shift: float) -> Column:
-    """Key text of a value; a number shows its bucket of width ``tolerance``.
+def _bent(number: Column, rules: Leniency) -> Column:
+    """The number on the scale on which ``tolerance`` holds.
 
-    With a relative tolerance numbers are bent first: near zero as they are, far
-    from it as their logarithm, so that one bucket spans the same share of each.
+    With a relative tolerance numbers are bent: near zero as they are, far from it
+    as their logarithm, so that one bucket spans the same share of each.
     """
-    number, tolerance = value["number"], rules.tolerance
-    if tolerance == 0:
-        bucket = number
-    else:
-        if rules.relative > 0:
-            bend = tolerance / rules.relative
-            number = F.signum(number) * F.log1p(F.abs(number) / bend) * bend
-        bucket = F.rint(number / tolerance + shift)
+    if rules.tolerance == 0 or rules.relative == 0:
+        return number
+    bend = rules.tolerance / rules.relative
+    return F.signum(number) * F.log1p(F.abs(number) / bend) * bend
+
+
+def _shown(value: Column, rules: Leniency, shift: float) -> Column:
+    """Key text of a value; a number shows its bucket of width ``tolerance``."""
+    number, tolerance = _bent(value["number"], rules), rules.tolerance
+    bucket = number if tolerance == 0 else F.rint(number / tolerance + shift)
     # + 0.0 turns minus zero into zero
     return F.coalesce(
         F.concat(F.lit("#"), (bucket + 0.0).cast("string")), F.concat(F.lit("v"), value["text"]), F.lit("n")
@@ -104,6 +106,16 @@ def _row_key(rules: Leniency, shift: float, *lead: Column) -> Column:
     return F.unhex(F.md5(F.array_join(parts, "\x1f")))
 
 
+def _text_key(*lead: Column) -> Column:
+    """Digest of a row without its numbers, which only keep their places."""
+    shown = F.transform("__values", lambda v: F.when(v["number"].isNotNull(), "#").otherwise(F.coalesce(F.concat(F.lit("v"), v["text"]), F.lit("n"))))
+    parts = F.concat(F.array(*[x.cast("string") for x in lead]).cast("array<string>"), shown) if lead else shown
+    return F.unhex(F.md5(F.array_join(parts, "\x1f")))
+
+
+# left-over rows that lie close in every number are matched in blocks of so many, in order
+CLUSTER_ROWS = 512
+_SLACK = 1e-9  # for sums of floats
 # grids start here, so that values of a few decimals do not lie on their borders
 _GRID_START = (5**0.5 - 1) / 10
 
@@ -112,9 +124,10 @@ _GRID_START = (5**0.5 - 1) / 10
 class Leniency:
     """How far two results may differ and still pass.
 
-    ``tolerance``           numeric cells more than it apart never meet; rows
-                            with d numeric cells, each within tolerance / (d + 1)
-                            of the other's, always share a bucket
+    ``tolerance``           rows meet if no numeric cell is more than it apart
+                            and all other cells are equal; rows within
+                            tolerance / (d + 1) in each of d numeric cells count
+                            as one when they are many
     ``relative``            share by which large numbers may differ besides,
                             0 for none
     ``ordered``             rows must also agree by position
@@ -154,7 +167,8 @@ def compare_results(
     against each other by equal steps, d being the most numeric cells of a row.
     A difference smaller than a step crosses a border of one grid at most, so d
     such cells leave a grid on which the rows agree. Rows meet by counts: those
-    that agree on all grids first, then what is left grid by grid.
+    that agree on all grids first, then what is left grid by grid. Rows left over
+    then meet by the whole tolerance, see ``_met_near``.
 
     ``pairs`` names all pairs: one whose results are both empty passes. ``grids``
     sets the number of grids where it is known; else one pass counts cells.
@@ -168,16 +182,24 @@ def compare_results(
     shifts = [_GRID_START + g / grids for g in range(grids)]
     keys = [f"k{g}" for g in range(grids)]
 
+    numbers = [f"v{i}" for i in range(grids - 1)]
+    texts = ["text_key"] if numbers else []
+
     def side(df: DataFrame, is_expected: int) -> DataFrame:
+        found = F.filter(F.transform("__values", lambda v: _bent(v["number"], rules)), lambda x: x.isNotNull())
         return _with_values(df, cells).select(
             F.col(pair),
             *[_row_key(rules, shift, *lead).alias(k) for k, shift in zip(keys, shifts)],
+            *[_text_key(*lead).alias(t) for t in texts],
+            *[F.get(found, F.lit(i)).alias(v) for i, v in enumerate(numbers)],
             F.lit(is_expected).alias("e"),
             F.lit(1 - is_expected).alias("a"),
         )
 
     # one grouping serves as the join of both sides and combines copies on the map side
-    grouped = side(expected, 1).unionAll(side(actual, 0)).groupBy(pair, *keys).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    grouped = side(expected, 1).unionAll(side(actual, 0)).groupBy(pair, *keys, *texts).agg(
+        F.sum("e").alias("e"), F.sum("a").alias("a"), *[F.min(v).alias(v) for v in numbers]
+    )
     met = F.least("e", "a")
     nothing = F.lit(0).cast("bigint")
     parts = [
@@ -187,12 +209,13 @@ def compare_results(
     ]
     if grids > 1:
         rest = grouped.filter(F.col("e") != F.col("a")).select(
-            pair, *keys, (F.col("e") - met).alias("e"), (F.col("a") - met).alias("a"), nothing.alias("m")
+            pair, *keys, *texts, *numbers, (F.col("e") - met).alias("e"), (F.col("a") - met).alias("a"), nothing.alias("m")
         )
         for k in keys:
-            rest = _met_on(rest, pair, k, keys)
+            rest = _met_on(rest, pair, k, keys, [*texts, *numbers])
+        near = _met_near(rest, pair, numbers, rules)
         parts.append(
-            rest.groupBy(pair).agg(nothing.alias("expected_rows"), nothing.alias("actual_rows"), F.sum("m").alias("matched_rows"))
+            near.groupBy(pair).agg(nothing.alias("expected_rows"), nothing.alias("actual_rows"), F.sum("m").alias("matched_rows"))
         )
     if pairs is not None:
         parts.append(pairs.select(pair, *[nothing.alias(c) for c in ("expected_rows", "actual_rows", "matched_rows")]).distinct())
@@ -202,7 +225,7 @@ def compare_results(
     return _verdicts(totals, pair, rules)
 
 
-def _met_on(rest: DataFrame, pair: str, key: str, keys: list[str]) -> DataFrame:
+def _met_on(rest: DataFrame, pair: str, key: str, keys: list[str], carried: list[str]) -> DataFrame:
     """Let rows that agree on one grid meet; ``m`` counts the expected rows met so far.
 
     A bucket of one grid holds few buckets of the others, so its window is short.
@@ -220,11 +243,65 @@ def _met_on(rest: DataFrame, pair: str, key: str, keys: list[str]) -> DataFrame:
         {"__within": within, "__e_before": F.sum("e").over(before), "__a_before": F.sum("a").over(before)}
     )
     return seen.select(
-        pair, *keys, (F.col("e") - taken("e")).alias("e"), (F.col("a") - taken("a")).alias("a"),
+        pair, *keys, *carried, (F.col("e") - taken("e")).alias("e"), (F.col("a") - taken("a")).alias("a"),
         (F.col("m") + taken("e")).alias("m"),
     )
 
 
+def _met_near(rest: DataFrame, pair: str, numbers: list[str], rules: Leniency) -> DataFrame:
+    """(pair, m): rows met so far and those that meet by the whole tolerance in every number.
+
+    Rows of equal texts are cut into clusters where a number leaves a gap wider
+    than the tolerance, number after number; no rows of different clusters meet.
+    All windows share one shuffle. In a cluster, expected rows in order take the
+    first rows left that are near in all numbers, which for one number meets as
+    many as can be.
+    """
+    is_open = (F.col("e") + F.col("a")) > 0
+    group = [pair, "text_key", "open"]
+    rows = rest.withColumn("open", is_open)
+    for i, v in enumerate(numbers):
+        ordered = Window.partitionBy(*group).orderBy(F.col(v).asc_nulls_first())
+        gap = F.coalesce((F.col(v) - F.lag(v).over(ordered) > rules.tolerance + _SLACK).cast("int"), F.lit(0))
+        so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn(f"gap{i}", gap).withColumn(f"c{i}", F.sum(f"gap{i}").over(so_far))
+        group.append(f"c{i}")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.col(v).asc_nulls_first() for v in numbers]))
+    rows = rows.withColumn("block", F.floor((place - 1) / CLUSTER_ROWS))
+    row = F.struct(F.array(*numbers).alias("n"), "e", "a")
+    clusters = rows.groupBy(*group, "block").agg(
+        F.sum("m").alias("m"), F.array_sort(F.collect_list(F.when(is_open, row))).alias("rows")
+    )
+    es = F.filter("rows", lambda r: r["e"] > 0)
+    cs = F.filter("rows", lambda r: r["a"] > 0)
+
+    def near(x: Column, y: Column) -> Column:
+        return F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) <= rules.tolerance + _SLACK, F.lit(True))), lambda ok: ok)
+
+    def give(x: Column, left: Column) -> Column:
+        """What is left of the actual rows after an expected row took its part."""
+        start = F.struct(x["e"].alias("want"), left.alias("left"))
+
+        def offer(s: Column, j: Column) -> Column:
+            there = F.get(s["left"], j)
+            taken = F.when(near(x["n"], there["n"]), F.least(s["want"], there["a"])).otherwise(F.lit(0).cast("bigint"))
+            after = F.transform(
+                s["left"],
+                lambda r, i: F.struct(r["n"].alias("n"), r["e"].alias("e"), (r["a"] - F.when(i == j, taken).otherwise(F.lit(0).cast("bigint"))).alias("a")),
+            )
+            return F.when(taken > 0, F.struct((s["want"] - taken).alias("want"), after.alias("left"))).otherwise(s)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(left) - 1), start, offer, lambda s: s["left"])
+
+    def total(listed: Column) -> Column:
+        return F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, r: n + r["a"])
+
+    both = (F.size("es") > 0) & (F.size("cs") > 0)
+    told = clusters.withColumns({"es": es, "cs": cs})
+    after = F.aggregate("es", F.col("cs"), lambda left, x: give(x, left))
+    return told.select(pair, (F.col("m") + F.when(both, total(F.col("cs")) - total(after)).otherwise(0)).alias("m"))
+
+
 def _verdicts(totals: DataFrame, pair: str, rules: Leniency) -> DataFrame:
     rows = totals.groupBy(pair).agg(
         F.sum("expected_rows").alias("expected_rows"),
