@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import mining, model
+from tidemark.session import materialize
 
 DOC = {
     "version": 1,
@@ -25,7 +26,7 @@ DOC = {
 @pytest.fixture(scope="module")
 def models(spark):
     df = spark.createDataFrame([(1, json.dumps(DOC)), (2, json.dumps({"version": 1}))], "model_id bigint, d string")
-    return model.read_documents(df, "d")
+    return materialize(model.read_documents(df, "d"), "models")
 
 
 def make_fixes(spark, rows):
@@ -90,7 +91,7 @@ def test_outcomes_belong_to_their_model(spark):
     second["instructions"]["sql_snippets"]["filters"] = []
     second["instructions"]["join_specs"] = []
     df = spark.createDataFrame([(1, json.dumps(DOC)), (2, json.dumps(second))], "model_id bigint, d string")
-    both = model.read_documents(df, "d")
+    both = materialize(model.read_documents(df, "d"), "models")
     rows = [
         {"fix_category": "metadata_delete", "fix_type": "delete_synonym", "table_ref": "orders", "column_name": "total", "synonym": "sum"},
         {"fix_category": "sample_queries_delete", "fix_type": "delete_example_query", "pattern_name": "top"},
@@ -228,3 +229,64 @@ def test_query_shapes_and_patterns(spark):
 def test_every_join_is_counted_once(spark, sql, expected):
     got = mining.mine_joins(spark.createDataFrame([(sql,)], "sql string"), "sql").collect()
     assert {(r.left_table, r.right_table, r.condition) for r in got} == expected and all(r.queries == 1 for r in got)
+
+
+def written(spark, documents, fixes, **more):
+    df = spark.createDataFrame(list(documents.items()), "id bigint, text string")
+    models, report = model.update_documents(df, "text", make_fixes(spark, fixes), model_id="id", **more)
+    return {r.id: r for r in models.collect()}, {(r.id, r.fix_id): (r.applied, r.reason) for r in report.collect()}
+
+
+STRANGE = {
+    "version": 1, "owner": {"a": [1, "x", None]}, "": "empty key", "quoted \"key\"": "line\nbreak é",
+    "data_sources": {"catalog": "c", "tables": [
+        {"identifier": "a.b.t", "tags": [True, 1.5], "column_configs": [
+            {"column_name": "k", "format": {"digits": 2}, "synonyms": "not a list"}, {"column_name": "m"},
+        ]},
+    ]},
+    "instructions": {"tone": "dry", "sql_functions": [{"id": "3" * 32, "identifier": "a.b.f", "cost": 7}],
+        "example_question_sqls": [{"id": "1" * 32, "question": ["q"], "sql": ["s"], "parameters": [{"name": "p", "least": 0}]}],
+        "join_specs": [{"id": "2" * 32, "left": {"identifier": "a.b.t", "alias": "t", "role": "fact"}, "right": {"identifier": "a.b.u", "alias": "u"},
+                        "sql": ["x", model.RELATION_MARK + "ONE--"], "weight": 1}]},
+    "config": {"sample_questions": [{"id": "4" * 32, "question": ["w"], "pin": True}], "language": "en"},
+}
+
+
+def without_empty(x):
+    if isinstance(x, dict):
+        return {k: without_empty(v) for k, v in x.items() if v not in ([], {"filters": [], "expressions": [], "measures": []})}
+    return [without_empty(v) for v in x] if isinstance(x, list) else x
+
+
+def test_other_keys_survive_the_relations(spark):
+    df = spark.createDataFrame([(1, json.dumps(STRANGE)), (2, "{}"), (3, "no json"), (4, None)], "model_id bigint, d string")
+    docs = materialize(model.read_documents(df, "d"), "models")
+    again = model.write_documents(model.to_documents(model.explode_model(docs), docs))
+    got = {r.model_id: without_empty(json.loads(r.document)) for r in again.collect()}
+    assert got[1] == STRANGE
+    assert set(got) == {1, 2, 3, 4}
+
+
+def test_a_plan_is_applied_checked_and_written(spark):
+    synonym = {"fix_category": "metadata_add", "fix_type": "add_synonym", "table_ref": "t", "column_name": "k", "synonym": "s"}
+    broken = {**STRANGE, "version": 2}
+    texts = {1: json.dumps(STRANGE), 2: json.dumps(broken), 3: json.dumps(STRANGE), 4: "no json", 5: None}
+    fixes = [
+        {**synonym, "model_id": 1}, {**synonym, "model_id": 2}, {**synonym, "model_id": 3, "table_ref": "nowhere"},
+        {"model_id": 4, "fix_category": "instruction_fix", "fix_type": "update_text_instruction", "content": ["c"]},
+    ]
+    models, report = written(spark, texts, fixes)
+    assert report == {
+        (1, 0): (True, None), (2, 1): (False, model.REFUSED), (3, 2): (False, model.NO_TABLE), (4, 3): (False, model.REFUSED),
+    }
+    assert {i: (r.applied, r.failed, r.updated) for i, r in models.items()} == {
+        1: (1, 0, True), 2: (0, 1, False), 3: (0, 1, False), 4: (0, 1, False), 5: (0, 0, False),
+    }
+    new = without_empty(json.loads(models[1].document))
+    # the fix replaces the list that could not be read; all else stays
+    wanted = json.loads(json.dumps(STRANGE))
+    wanted["data_sources"]["tables"][0]["column_configs"][0]["synonyms"] = ["s"]
+    assert new == wanted
+    assert all(models[i].document == texts[i] for i in (2, 3, 4, 5))
+    kept, dry = written(spark, {1: texts[1]}, [{**synonym, "model_id": 1}], dry_run=True)
+    assert kept[1].document == texts[1] and (kept[1].applied, kept[1].updated) == (1, False) and dry == {(1, 0): (True, None)}

@@ -35,12 +35,14 @@ def documents_json(v: Views):
         synonyms=_texts("amount", seg),
         get_example_values=F.when(old, True),
         enable_format_assistance=F.when(~old, False),
+        format=_struct(kind="money", digits=2),
     )
     order_id = _struct(
         column_name="o_id",
         synonyms=_texts("id", "key"),
         get_example_values=F.lit(None).cast("boolean"),
         enable_format_assistance=F.lit(None).cast("boolean"),
+        format=F.lit(None).cast("struct<kind:string,digits:int>"),
     )
     items = F.when(n == 3, F.concat(seg, F.lit(".items"))).otherwise(F.concat(F.lit("main."), seg, F.lit(".items")))
     item_columns = F.array(
@@ -58,9 +60,9 @@ def documents_json(v: Views):
         F.concat(
             F.lit('{"identifier":"'), t["identifier"], F.lit('"'),
             F.coalesce(F.concat(F.lit(',"description":'), F.to_json(t["description"])), F.lit("")),
-            F.lit(',"column_configs":'), t["column_configs"], F.lit("}"),
+            F.lit(',"column_configs":'), t["column_configs"], F.lit(more), F.lit("}"),
         )
-        for t in tables
+        for t, more in zip(tables, ['', ',"tags":["a",7,{"b":null}]', ',"description":"a text, not a list"'])
     ])
     text = _struct(id=made("t"), content=_texts("be exact"))
     texts = F.when(n == 5, F.array(text, _struct(id=made("t2"), content=_texts("be short")))).when(
@@ -83,23 +85,27 @@ def documents_json(v: Views):
     mark = "--rt=FROM_RELATIONSHIP_TYPE_MANY_TO_ONE--"
     join_sql = F.when(n == 6, _texts("o.id = i.id ")).otherwise(_texts("o.id = i.id ", mark))
     joins = F.array(
-        _struct(id=made("j"), left=_struct(identifier="main.shop.orders", alias="o"), right=_struct(identifier=items, alias="i"), sql=join_sql)
+        _struct(id=made("j"), left=_struct(identifier="main.shop.orders", alias="o", note=nation), right=_struct(identifier=items, alias="i"), sql=join_sql)
+    )
+    functions = F.when(n % 2 == 1, F.array(_struct(id=made("u"), identifier=F.concat(F.lit("main.udf.f"), nation))))
+    instructions = F.to_json(
+        _struct(text_instructions=texts, example_question_sqls=examples, sql_snippets=snippets, join_specs=joins, sql_functions=functions)
     )
-    instructions = F.to_json(_struct(text_instructions=texts, example_question_sqls=examples, sql_snippets=snippets, join_specs=joins))
     version = F.when(n == 7, '"version":2,').when(n == 8, "").otherwise('"version":1,')
     document = F.concat(
-        F.lit("{"), version, F.lit('"data_sources":{"tables":['), shown_tables, F.lit(']},"instructions":'), instructions, F.lit("}")
+        F.lit("{"), version, F.lit('"data_sources":{"tables":['), shown_tables, F.lit(']},"instructions":'), instructions,
+        F.lit(',"owner":{"team":"'), seg, F.lit('","size":'), nation, F.lit("}}"),
     )
     return v.customer.select(F.col("c_custkey").alias("model_id"), document.alias("document"))
 
 
 def documents(v: Views):
-    return model.read_documents(documents_json(v), "document")
+    return model.read_documents(documents_json(v), "document", more=False)
 
 
 def stored_documents(v: Views):
-    """Typed documents written once, for plans that read them many times."""
-    return materialize(documents(v), "models")
+    """Whole typed documents written once, for plans that read them many times."""
+    return materialize(model.read_documents(documents_json(v), "document"), "models")
 
 
 TYPES = [
@@ -269,11 +275,52 @@ def l01_examples(v):
     )
 
 
+@query(
+    "l01_explode_functions",
+    "select c_custkey as model_id, 0 as pos, md5(c_custkey || 'u') as id, 'main.udf.f' || c_nationkey as identifier from customer where c_nationkey % 2 = 1",
+)
+def l01_functions(v):
+    return model.explode_model(documents(v))["functions"].select("model_id", "pos", "id", "identifier")
+
+
+@query(
+    "l01_unknown_keys",
+    """select c_custkey as model_id, lower(c_mktsegment) as team, cast(c_nationkey as varchar) as size, '7' as tag, '2' as digits, cast(c_nationkey as varchar) as note,
+         'a text, not a list' as description from customer""",
+)
+def l01_unknown_keys(v):
+    """Keys without a field, read from documents that were written back from their relations."""
+    docs = stored_documents(v)
+    written = model.write_documents(model.to_documents(model.explode_model(docs), docs))
+    paths = {
+        "team": "$.owner.team", "size": "$.owner.size", "tag": "$.data_sources.tables[1].tags[1]",
+        "digits": "$.data_sources.tables[0].column_configs[1].format.digits",
+        "note": "$.instructions.join_specs[0].left.note", "description": "$.data_sources.tables[2].description",
+    }
+    return written.select("model_id", *[F.get_json_object("document", path).alias(name) for name, path in paths.items()])
+
+
+@query("l01_text_round_trip", "select c_custkey as model_id, true as same from customer")
+def l01_text_round_trip(v):
+    """Whole texts against the texts written back from their relations; a missing list and an empty one are alike."""
+    given = materialize(documents_json(v), "texts")
+    docs = materialize(model.read_documents(given, "document"), "models")
+    written = model.write_documents(model.to_documents(model.explode_model(docs), docs), "written")
+
+    def canonical(c: str) -> Column:
+        # objects of a variant have their keys in order
+        shown = F.regexp_replace(F.to_json(F.parse_json(c)), r'"[a-z_]+":\[\],?', "")
+        return F.regexp_replace(shown, r",\}", "}")
+
+    both = given.join(written, "model_id", "left")
+    return both.select("model_id", (canonical("document").eqNullSafe(canonical("written"))).alias("same"))
+
+
 @query(
     "l01_section_items",
     f"""with {DOCS}, n as (select model_id, 'tables' as section, count(*) as n from mt group by 1 union all select model_id, 'columns', count(*) from mc group by 1
           union all select model_id, 'synonyms', count(*) from ms group by 1 union all select c_custkey, 'examples', 3 from customer union all select c_custkey, 'snippets', 4 from customer
-          union all select c_custkey, 'joins', 1 from customer union all select c_custkey, 'instructions', case when c_nationkey = 5 then 2 else 1 end from customer where c_acctbal > 0 or c_nationkey = 5)
+          union all select c_custkey, 'joins', 1 from customer union all select c_custkey, 'functions', 1 from customer where c_nationkey % 2 = 1 union all select c_custkey, 'instructions', case when c_nationkey = 5 then 2 else 1 end from customer where c_acctbal > 0 or c_nationkey = 5)
         select model_id, section, n as items, case section when 'tables' then (select string_agg(identifier, ' ' order by lower(identifier)) from mt where mt.model_id = n.model_id)
            when 'synonyms' then (select string_agg(synonym, ' ' order by lower(synonym)) from ms where ms.model_id = n.model_id) end as keys from n""",
 )
@@ -458,6 +505,79 @@ def l11_dry(v):
     return kept["columns"].groupBy("model_id").agg(F.count(F.lit(1)).alias("columns"))
 
 
+_UPDATED = f"""{_OUTCOMES}, un as (select model_id, count(*) filter (where applied) as a, count(*) filter (where not applied) as f from oc group by 1),
+   st as (select c_custkey as model_id, c_nationkey as n, c_acctbal as bal, coalesce(a, 0) as a, coalesce(f, 0) as f,
+       cast(case when c_nationkey in (3, 5, 7, 8, 9) or (c_nationkey = 4 and c_custkey not in (select model_id from dx where pos = 0)) then 1 else 0 end as bigint) as errors,
+       cast(case when c_nationkey = 6 and c_custkey not in (select model_id from dj) then 1 else 0 end as bigint) as warnings
+     from customer left join un on un.model_id = c_custkey),
+   up as (select *, errors = 0 and a > 0 as updated from st),
+   uc as (select distinct us.model_id, tp, col from us join up on up.model_id = us.model_id and updated where k in (0, 2)),
+   ts as (select model_id, table_pos, column_name, synonym from ms union select us.model_id, tp, col, syn from us join up on up.model_id = us.model_id and updated where k = 0),
+   hs as (select ts.* from ts left join up on up.model_id = ts.model_id
+     where not updated or exists (select 1 from us where k = 0 and us.model_id = ts.model_id and us.tp = ts.table_pos and us.col = ts.column_name and us.syn = ts.synonym)
+       or not exists (select 1 from us where k = 1 and us.model_id = ts.model_id and us.tp = ts.table_pos and us.col = ts.column_name and us.syn = ts.synonym))"""
+
+_ADDED = "(select count(*) from pl where pl.model_id = up.model_id and updated and {})"
+
+
+@query(
+    "l11_update_models",
+    f"""{_UPDATED} select model_id, case when errors = 0 then a else 0 end as applied, case when errors = 0 then f else a + f end as failed, errors, warnings, updated,
+          4 + (select count(*) from uc where uc.model_id = up.model_id and not exists (select 1 from mc where mc.model_id = uc.model_id and mc.table_pos = uc.tp and mc.column_name = uc.col)) as columns,
+          (select count(*) from hs where hs.model_id = up.model_id) as synonyms,
+          3 - (select count(*) from dx where dx.model_id = up.model_id and updated) + {_ADDED.format("k = 4")} as examples,
+          4 - (select count(*) from ds where ds.model_id = up.model_id and updated) + {_ADDED.format("(k in (7, 9) or (k = 11 and fix_id % 2 = 0))")} as snippets,
+          1 - (select count(*) from dj where dj.model_id = up.model_id and updated) + {_ADDED.format("k = 13")} as joins,
+          cast(case when n = 5 then 2 when bal > 0 or {_ADDED.format("k = 6 and fix_id % 4 <> 0")} > 0 then 1 else 0 end as bigint) as instructions,
+          cast(n % 2 as bigint) as functions, lower(c_mktsegment) as team
+        from up join customer on c_custkey = model_id""",
+)
+def l11_update(v):
+    """The whole flow: texts read, fixes applied, results checked and written; items are counted in the new texts."""
+    given = materialize(documents_json(v), "texts")
+    models, _ = model.update_documents(given, "document", materialize(fixes(v), "fixes"))
+    models = materialize(models, "updated")
+    read = model.read_documents(models, "document", more=False)
+    configs = F.flatten("data_sources.tables.column_configs")
+
+    def items(*arrays) -> Column:
+        return sum(F.coalesce(F.size(a), F.lit(0)) for a in arrays).cast("bigint")
+
+    held = read.select(
+        "model_id", items(configs).alias("columns"),
+        F.aggregate(configs, F.lit(0).cast("bigint"), lambda n, c: n + items(c["synonyms"])).alias("synonyms"),
+        items("instructions.example_question_sqls").alias("examples"),
+        items(*[f"instructions.sql_snippets.{k}" for k in model.SNIPPET_KINDS.values()]).alias("snippets"),
+        items("instructions.join_specs").alias("joins"), items("instructions.text_instructions").alias("instructions"),
+        items("instructions.sql_functions").alias("functions"),
+    )
+    team = F.get_json_object("document", "$.owner.team").alias("team")
+    return models.select("model_id", "applied", "failed", "errors", "warnings", "updated", team).join(held, "model_id")
+
+
+@query(
+    "l11_update_outcomes",
+    f"""{_UPDATED} select oc.model_id, fix_id, fix_type, applied and coalesce(errors, 0) = 0 as applied,
+          case when not applied then why when errors > 0 then 'document not valid afterwards' end as reason from oc left join up on up.model_id = oc.model_id""",
+)
+def l11_outcomes(v):
+    given = materialize(documents_json(v), "texts")
+    return model.update_documents(given, "document", materialize(fixes(v), "fixes"))[1]
+
+
+@query(
+    "l11_update_dry_run",
+    f"""{_UPDATED} select model_id, case when errors = 0 then a else 0 end as applied, case when errors = 0 then f else a + f end as failed, errors, warnings, false as updated,
+          true as same from up""",
+)
+def l11_update_dry(v):
+    given = materialize(documents_json(v), "texts")
+    models, _ = model.update_documents(given, "document", materialize(fixes(v), "fixes"), dry_run=True)
+    same = (F.col("g.document") == F.col("m.document")).alias("same")
+    both = models.alias("m").join(given.alias("g"), "model_id")
+    return both.select("model_id", "applied", "failed", "errors", "warnings", "updated", same)
+
+
 @query(
     "l12_validate_models",
     """select c_custkey as model_id, 'error' as severity, 'Invalid table identifier: ' || lower(c_mktsegment) || '.items' as message from customer where c_nationkey = 3

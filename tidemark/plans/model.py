@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from tidemark.functions.dates import to_col
 from tidemark.functions.labels import position_in
@@ -23,26 +24,32 @@ from tidemark.operators.filters import PARAMETER_TYPES, TYPE_HINT_ALIASES
 from tidemark.operators.ranking import canonical_array
 from tidemark.session import materialize
 
+# at every level of a document: the keys the schema does not name, as the JSON text of one object
+MORE = "__more"
+_MORE = f"{MORE}:string"
 _COLUMN = (
     "struct<column_name:string,description:array<string>,synonyms:array<string>,get_example_values:boolean,"
-    "build_value_dictionary:boolean,enable_format_assistance:boolean,enable_entity_matching:boolean>"
+    f"build_value_dictionary:boolean,enable_format_assistance:boolean,enable_entity_matching:boolean,{_MORE}>"
 )
-_TABLE = f"struct<identifier:string,description:array<string>,column_configs:array<{_COLUMN}>>"
-_PARAMETER = "struct<name:string,type_hint:string,description:array<string>>"
+_TABLE = f"struct<identifier:string,description:array<string>,column_configs:array<{_COLUMN}>,{_MORE}>"
+_PARAMETER = f"struct<name:string,type_hint:string,description:array<string>,{_MORE}>"
 _EXAMPLE = (
     f"struct<id:string,question:array<string>,sql:array<string>,parameters:array<{_PARAMETER}>,"
-    "usage_guidance:array<string>>"
+    f"usage_guidance:array<string>,{_MORE}>"
 )
-_SNIPPET = "struct<id:string,sql:array<string>,display_name:string,synonyms:array<string>,alias:string>"
-_SIDE = "struct<identifier:string,alias:string>"
-_JOIN = f"struct<id:string,left:{_SIDE},right:{_SIDE},sql:array<string>,comment:array<string>>"
-_TEXT = "struct<id:string,content:array<string>>"
+_SNIPPET = f"struct<id:string,sql:array<string>,display_name:string,synonyms:array<string>,alias:string,{_MORE}>"
+_SIDE = f"struct<identifier:string,alias:string,{_MORE}>"
+_JOIN = f"struct<id:string,left:{_SIDE},right:{_SIDE},sql:array<string>,comment:array<string>,{_MORE}>"
+_TEXT = f"struct<id:string,content:array<string>,{_MORE}>"
+_FUNCTION = f"struct<id:string,identifier:string,{_MORE}>"
+_SNIPPETS = f"struct<filters:array<{_SNIPPET}>,expressions:array<{_SNIPPET}>,measures:array<{_SNIPPET}>,{_MORE}>"
+_QUESTION = f"struct<id:string,question:array<string>,{_MORE}>"
 
 DOCUMENT = (
-    f"version int, data_sources struct<tables:array<{_TABLE}>,metric_views:array<{_TABLE}>>, "
+    f"version int, data_sources struct<tables:array<{_TABLE}>,metric_views:array<{_TABLE}>,{_MORE}>, "
     f"instructions struct<text_instructions:array<{_TEXT}>,example_question_sqls:array<{_EXAMPLE}>,"
-    f"sql_snippets:struct<filters:array<{_SNIPPET}>,expressions:array<{_SNIPPET}>,measures:array<{_SNIPPET}>>,"
-    f"join_specs:array<{_JOIN}>>, config struct<sample_questions:array<struct<id:string,question:array<string>>>>"
+    f"sql_snippets:{_SNIPPETS},join_specs:array<{_JOIN}>,sql_functions:array<{_FUNCTION}>,{_MORE}>, "
+    f"config struct<sample_questions:array<{_QUESTION}>,{_MORE}>, {MORE} string"
 )
 
 # Categories in the order they are applied.
@@ -90,7 +97,7 @@ FIX_COLUMNS = (
     "model_id bigint, fix_id bigint, fix_category string, fix_type string, table_ref string, column_name string, "
     "synonym string, synonyms array<string>, description array<string>, content array<string>, "
     "question array<string>, sql array<string>, usage_guidance array<string>, "
-    f"parameters array<{_PARAMETER}>, ident string, alias string, display_name string, pattern_name string, "
+    "parameters array<struct<name:string,type_hint:string,description:array<string>>>, ident string, alias string, display_name string, pattern_name string, "
     "sql_expression string, on_clause string, left_table string, right_table string, left_alias string, "
     "right_alias string, relationship_type string, comment array<string>"
 )
@@ -99,9 +106,81 @@ FIX_COLUMNS = (
 # -- documents and relations -----------------------------------------------------------
 
 
-def read_documents(df: DataFrame, c: str, model_id: str = "model_id") -> DataFrame:
-    """Typed documents from JSON text."""
-    return df.select(model_id, F.from_json(c, DOCUMENT).alias("d")).select(model_id, "d.*")
+def _nested(kind: DataType) -> bool:
+    return isinstance(kind, StructType) or (isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType))
+
+
+def _with_more(typed: Column, raw: Column, kind: DataType) -> Column:
+    """A typed value with the keys of its raw value that the type does not hold.
+
+    A named key whose value does not fit its type counts as one of them, so it
+    is kept as it stands.
+    """
+    if isinstance(kind, ArrayType):
+        items = F.try_variant_get(raw, "$", "array<variant>")
+        return F.zip_with(typed, items, lambda x, r: F.when(x.isNotNull(), _with_more(x, r, kind.elementType)))
+    named = [f for f in kind.fields if f.name != MORE]
+    read = F.array_compact(F.array(*[F.when(typed[f.name].isNotNull(), F.lit(f.name)) for f in named]))
+    known = F.array(*[F.lit(f.name) for f in named])
+    others = F.map_filter(
+        F.try_variant_get(raw, "$", "map<string,variant>"),
+        lambda k, v: ~F.array_contains(read, k) & ~(F.array_contains(known, k) & F.is_variant_null(v)),
+    )
+    values = [
+        F.when(typed[f.name].isNotNull(), _with_more(typed[f.name], F.try_variant_get(raw, f"$.{f.name}", "variant"), f.dataType))
+        if _nested(f.dataType) else typed[f.name]
+        for f in named
+    ]
+    more = F.when(F.size(others) > 0, F.to_json(others))
+    return F.struct(*[v.alias(f.name) for v, f in zip(values, named)], more.alias(MORE))
+
+
+def read_documents(df: DataFrame, c: str, model_id: str = "model_id", more: bool = True) -> DataFrame:
+    """Typed documents from JSON text; keys without a field are kept as text in ``__more`` of their level.
+
+    Text that is no JSON object gives a document without any field. Readers that
+    do not write documents back can leave the other keys out (``more=False``).
+    """
+    if not more:
+        return df.select(model_id, F.from_json(c, DOCUMENT).alias("d")).select(model_id, "d.*")
+    kind = StructType.fromDDL(DOCUMENT)
+    parsed = df.select(model_id, F.from_json(c, DOCUMENT).alias("d"), F.try_parse_json(c).alias("raw"))
+    return parsed.select(model_id, _with_more(F.col("d"), F.col("raw"), kind).alias("d")).select(model_id, "d.*")
+
+
+def _json_text(c: Column, kind: DataType) -> Column:
+    """JSON text of a typed value, other keys in their place; fields without a value are left out."""
+    if isinstance(kind, ArrayType) and _nested(kind):
+        items = F.transform(c, lambda x: F.coalesce(_json_text(x, kind.elementType), F.lit("null")))
+        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    if isinstance(kind, ArrayType):
+        return F.to_json(c)
+    if isinstance(kind, StringType):
+        return F.to_json(c.cast("variant"))
+    if not isinstance(kind, StructType):
+        return c.cast("string")
+    more = F.from_json(c[MORE], "map<string,variant>")
+    texts, names = [], []
+    for f in kind.fields:
+        if f.name == MORE:
+            continue
+        shown = c[f.name].isNotNull()
+        if isinstance(f.dataType, ArrayType):
+            # a list that could not be read has no items, but its text
+            unread = F.coalesce(F.map_contains_key(more, f.name), F.lit(False))
+            shown = shown & ~((F.size(c[f.name]) == 0) & unread)
+        texts.append(F.when(shown, F.concat(F.lit(f'"{f.name}":'), _json_text(c[f.name], f.dataType))))
+        names.append(F.when(shown, F.lit(f.name)))
+    others = F.map_filter(more, lambda k, v: ~F.array_contains(F.array_compact(F.array(*names)), k))
+    inner = F.when(F.size(others) > 0, F.regexp_replace(F.to_json(others), r"(?s)^\{(.*)\}$", "$1"))
+    return F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(F.array(*texts, inner), ","), F.lit("}")))
+
+
+def write_documents(models: DataFrame, name: str = "document", model_id: str = "model_id") -> DataFrame:
+    """Documents as JSON text, the counterpart of ``read_documents``."""
+    kind = StructType.fromDDL(DOCUMENT)
+    whole = F.struct(*[f.name for f in kind.fields]).alias("d")
+    return models.select(model_id, whole).select(model_id, _json_text(F.col("d"), kind).alias(name))
 
 
 def explode_model(models: DataFrame) -> dict[str, DataFrame]:
@@ -112,14 +191,15 @@ def explode_model(models: DataFrame) -> dict[str, DataFrame]:
         return models.select("model_id", *more, F.posexplode(array).alias("pos", "x"))
 
     tables = opened("data_sources.tables").select(
-        "model_id", F.col("pos").alias("table_pos"), "x.identifier", "x.description", "x.column_configs"
+        "model_id", F.col("pos").alias("table_pos"), "x.identifier", "x.description", "x.column_configs", f"x.{MORE}"
     )
     columns = tables.select("model_id", "table_pos", F.posexplode("column_configs").alias("pos", "x"))
     examples = opened("instructions.example_question_sqls").select("model_id", "pos", none, "x.*")
     joins = opened("instructions.join_specs").select(
         "model_id", "pos", none, "x.id", F.col("x.left.identifier").alias("left_table"),
         F.col("x.left.alias").alias("left_alias"), F.col("x.right.identifier").alias("right_table"),
-        F.col("x.right.alias").alias("right_alias"), "x.sql", "x.comment",
+        F.col("x.right.alias").alias("right_alias"), "x.sql", "x.comment", f"x.{MORE}",
+        F.col(f"x.left.{MORE}").alias("left_more"), F.col(f"x.right.{MORE}").alias("right_more"),
     )
     snippets = [
         opened(f"instructions.sql_snippets.{kind}").select("model_id", F.lit(kind).alias("kind"), "pos", none, "x.*")
@@ -130,6 +210,7 @@ def explode_model(models: DataFrame) -> dict[str, DataFrame]:
         "columns": columns.select(
             "model_id", "table_pos", "pos", none, "x.column_name", "x.description",
             "x.enable_format_assistance", "x.enable_entity_matching", "x.get_example_values", "x.build_value_dictionary",
+            f"x.{MORE}",
         ),
         "synonyms": columns.select(
             "model_id", "table_pos", "x.column_name", F.posexplode("x.synonyms").alias("pos", "synonym"), none
@@ -137,13 +218,14 @@ def explode_model(models: DataFrame) -> dict[str, DataFrame]:
         "examples": examples,
         "snippets": reduce(DataFrame.unionByName, snippets),
         "joins": joins,
-        "instructions": opened("instructions.text_instructions").select("model_id", "pos", none, "x.id", "x.content"),
+        "instructions": opened("instructions.text_instructions").select("model_id", "pos", none, "x.*"),
+        "functions": opened("instructions.sql_functions").select("model_id", "pos", none, "x.*"),
     }
 
 
 SECTION_KEY = {
     "tables": "identifier", "columns": "column_name", "synonyms": "synonym", "examples": "id", "snippets": "id",
-    "joins": "id", "instructions": "id",
+    "joins": "id", "instructions": "id", "functions": "id",
 }
 
 
@@ -176,8 +258,8 @@ def _listed(frame: DataFrame, keys: list[str], item: Column, name: str) -> DataF
 def to_documents(relations: dict[str, DataFrame], models: DataFrame) -> DataFrame:
     """Documents written back from their relations.
 
-    What has no relation (version, metric views, sample questions) comes from
-    ``models``; a list without items comes back empty. A document is one value
+    What has no relation (version, metric views, sample questions, other keys of
+    a level) comes from ``models``; a list without items comes back empty. A document is one value
     by nature, so its items are gathered in its row.
     """
     place = ["model_id", "table_pos"]
@@ -187,32 +269,38 @@ def to_documents(relations: dict[str, DataFrame], models: DataFrame) -> DataFram
     ).select("c.*", "s.synonyms")
     config = F.struct(
         "column_name", "description", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"),
-        "get_example_values", "build_value_dictionary", "enable_format_assistance", "enable_entity_matching",
+        "get_example_values", "build_value_dictionary", "enable_format_assistance", "enable_entity_matching", MORE,
     )
     configs = _listed(named, place, config, "column_configs")
     tables = relations["tables"].join(configs, place, "left")
-    table = F.struct("identifier", "description", F.coalesce("column_configs", F.array().cast(f"array<{_COLUMN}>")).alias("column_configs"))
+    table = F.struct("identifier", "description", F.coalesce("column_configs", F.array().cast(f"array<{_COLUMN}>")).alias("column_configs"), MORE)
     join = F.struct(
-        "id", F.struct(F.col("left_table").alias("identifier"), F.col("left_alias").alias("alias")).alias("left"),
-        F.struct(F.col("right_table").alias("identifier"), F.col("right_alias").alias("alias")).alias("right"), "sql", "comment",
-    )
-    snippet = F.struct("id", "sql", "display_name", "synonyms", "alias")
+        "id", *[
+            F.struct(
+                F.col(f"{side}_table").alias("identifier"), F.col(f"{side}_alias").alias("alias"), F.col(f"{side}_more").alias(MORE)
+            ).alias(side)
+            for side in ("left", "right")
+        ], "sql", "comment", MORE,
+    )
+    snippet = F.struct("id", "sql", "display_name", "synonyms", "alias", MORE)
     lists = {
         "tables": (tables, table, _TABLE),
-        "text_instructions": (relations["instructions"], F.struct("id", "content"), _TEXT),
-        "example_question_sqls": (relations["examples"], F.struct("id", "question", "sql", "parameters", "usage_guidance"), _EXAMPLE),
+        "text_instructions": (relations["instructions"], F.struct("id", "content", MORE), _TEXT),
+        "example_question_sqls": (relations["examples"], F.struct("id", "question", "sql", "parameters", "usage_guidance", MORE), _EXAMPLE),
         "join_specs": (relations["joins"], join, _JOIN),
+        "sql_functions": (relations["functions"], F.struct("id", "identifier", MORE), _FUNCTION),
     } | {kind: (relations["snippets"].filter(F.col("kind") == kind), snippet, _SNIPPET) for kind in SNIPPET_KINDS.values()}
     held = models
     for name, (frame, item, kind) in lists.items():
         held = held.join(_listed(frame, ["model_id"], item, f"__{name}"), "model_id", "left").withColumn(
             f"__{name}", F.coalesce(F.col(f"__{name}"), F.array().cast(f"array<{kind}>"))
         )
-    kinds = F.struct(*[F.col(f"__{k}").alias(k) for k in SNIPPET_KINDS.values()])
-    source = F.struct(F.col("__tables").alias("tables"), F.col("data_sources.metric_views").alias("metric_views"))
+    kinds = F.struct(*[F.col(f"__{k}").alias(k) for k in SNIPPET_KINDS.values()], f"instructions.sql_snippets.{MORE}")
+    source = F.struct(F.col("__tables").alias("tables"), "data_sources.metric_views", f"data_sources.{MORE}")
     instructions = F.struct(
         F.col("__text_instructions").alias("text_instructions"), F.col("__example_question_sqls").alias("example_question_sqls"),
-        kinds.alias("sql_snippets"), F.col("__join_specs").alias("join_specs"),
+        kinds.alias("sql_snippets"), F.col("__join_specs").alias("join_specs"), F.col("__sql_functions").alias("sql_functions"),
+        f"instructions.{MORE}",
     )
     return held.withColumns({"data_sources": source, "instructions": instructions}).select(*models.columns)
 
@@ -338,6 +426,8 @@ def _judged(fixes: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def _with_table(fixes: DataFrame, models: DataFrame) -> DataFrame:
+    if "table_pos" in fixes.columns:
+        return fixes
     return fixes.join(resolve_tables(fixes, models), ["model_id", "table_ref"], "left")
 
 
@@ -346,6 +436,7 @@ def _type(*names: str) -> Column:
 
 
 MISSING, NO_TABLE, NOTHING = "missing field", "table not found", "nothing matched"
+REFUSED = "document not valid afterwards"
 
 
 def apply_metadata_adds(
@@ -383,6 +474,7 @@ def apply_metadata_adds(
         F.when(first >= 0, first).alias("added_by"),
         latest.alias("description"),
         *[F.max(c).alias(c) for c in ("enable_format_assistance", "enable_entity_matching", "get_example_values", "build_value_dictionary")],
+        F.min_by(MORE, "pos").alias(MORE),
     )
 
     added = usable.filter(_type("add_synonym")).select(
@@ -431,6 +523,7 @@ def clean_parameters(c: str | Column) -> Column:
             p["name"].alias("name"),
             F.when(hint.isin(*PARAMETER_TYPES), hint).alias("type_hint"),
             F.coalesce(p["description"], F.array().cast("array<string>")).alias("description"),
+            F.lit(None).cast("string").alias(MORE),
         )
 
     return F.transform(F.filter(to_col(c), lambda p: F.coalesce(p["name"], F.lit("")) != ""), clean)
@@ -478,7 +571,7 @@ def apply_examples(
         "usage_guidance",
     )
     return (
-        {**relations, "examples": kept.unionByName(added)},
+        {**relations, "examples": kept.unionByName(added, allowMissingColumns=True)},
         outcome.unionByName(_outcome(adds, F.lit(True), F.lit(None).cast("string"))),
     )
 
@@ -538,7 +631,7 @@ def apply_snippets(
         F.when(F.col("kind") != "filters", F.col("alias")).alias("alias"),
     )
     return (
-        {**relations, "snippets": kept.unionByName(added)},
+        {**relations, "snippets": kept.unionByName(added, allowMissingColumns=True)},
         outcome.unionByName(_outcome(adds, has_sql, F.lit(MISSING))),
     )
 
@@ -579,7 +672,7 @@ def apply_joins(relations: dict[str, DataFrame], fixes: DataFrame) -> tuple[dict
         "comment",
     )
     return (
-        {**relations, "joins": kept.unionByName(added)},
+        {**relations, "joins": kept.unionByName(added, allowMissingColumns=True)},
         outcome.unionByName(_outcome(adds, complete, F.lit(MISSING))),
     )
 
@@ -602,7 +695,7 @@ def apply_instruction(relations: dict[str, DataFrame], fixes: DataFrame) -> tupl
         stable_id("model_id", "__by").alias("id"),
         F.col("__new").alias("content"),
     )
-    return {**relations, "instructions": replaced.unionByName(fresh)}, _outcome(mine, complete, F.lit(MISSING))
+    return {**relations, "instructions": replaced.unionByName(fresh, allowMissingColumns=True)}, _outcome(mine, complete, F.lit(MISSING))
 
 
 def apply_plan(
@@ -615,8 +708,8 @@ def apply_plan(
     relations as they are.
     """
     known = [t for types in ALLOWED_TYPES.values() for t in types]
-    # read by every step: written once rather than deduplicated for each
-    planned = materialize(order_fixes(validate_fix_types(dedupe_fixes(fixes))), "planned-fixes")
+    # read by every step: written once, with the tables they mean, rather than deduplicated for each
+    planned = materialize(_with_table(order_fixes(validate_fix_types(dedupe_fixes(fixes))), models), "planned-fixes")
     before = explode_model(models)
     relations, outcomes = before, []
     for step in (
@@ -635,6 +728,52 @@ def apply_plan(
     return (before if dry_run else relations), report
 
 
+def update_documents(
+    df: DataFrame, c: str, fixes: DataFrame, dry_run: bool = False, model_id: str = "model_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Apply a plan to JSON documents, check the results and write back what passes.
+
+    ``df`` has one row per model. Returns one row per model (applied, failed,
+    errors, warnings, updated, document) and one outcome row per fix. A changed
+    document takes the new field names and the canonical order. One that breaks
+    a rule after its fixes is not written: the model keeps its text, and the
+    fixes count as failed. So does every model in a dry run, whose outcomes and
+    errors are those the plan would have. Models without an applied fix and
+    texts that are no documents stay as they are.
+    """
+    texts = df.select(F.col(model_id).alias("model_id"), F.col(c).alias("__text"))
+    before = materialize(read_documents(texts, "__text"), "models")
+    relations, outcomes = apply_plan(before, fixes)
+    report = materialize(outcomes, "outcomes")
+    after = materialize(canonical_sort(migrate_v1_v2(to_documents(relations, before))), "models")
+    counts = report.groupBy("model_id").agg(
+        F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("failed")
+    )
+    judged = is_valid(after).join(counts, "model_id", "left").na.fill(0, ["applied", "failed"])
+    sound, wanted = F.col("is_valid"), F.col("applied") > 0
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("__text")).startswith("OBJECT"), F.lit(False))
+    state = materialize(
+        texts.join(judged, "model_id").select(
+            "model_id", F.when(sound, F.col("applied")).otherwise(0).alias("applied"),
+            F.when(sound, F.col("failed")).otherwise(F.col("failed") + F.col("applied")).alias("failed"), "errors", "warnings",
+            (sound & wanted & readable & F.lit(not dry_run)).alias("updated"), (wanted & ~sound).alias("rejected"), "__text",
+        ),
+        "states",
+    )
+    written = write_documents(after.join(state.filter("updated").select("model_id"), "model_id", "left_semi"))
+    models = state.join(written, "model_id", "left").select(
+        F.col("model_id").alias(model_id), "applied", "failed", "errors", "warnings", "updated",
+        F.coalesce("document", "__text").alias("document"),
+    )
+    refused = state.filter("rejected").select("model_id", F.lit(True).alias("__refused"))
+    lost = F.col("applied") & F.col("__refused").isNotNull()
+    final = report.join(refused, "model_id", "left").select(
+        F.col("model_id").alias(model_id), "fix_id", "fix_type", (F.col("applied") & ~lost).alias("applied"),
+        F.when(lost, REFUSED).otherwise(F.col("reason")).alias("reason"),
+    )
+    return models, final
+
+
 # -- checks, versions and differences ----------------------------------------------------
 
 
@@ -744,7 +883,7 @@ def rollback_to(current: DataFrame, versions: DataFrame) -> DataFrame:
 ITEM_KEYS = {
     "tables": ["identifier"], "columns": ["table_pos", "column_name"],
     "synonyms": ["table_pos", "column_name", "synonym"], "examples": ["id"], "snippets": ["kind", "id"],
-    "joins": ["id"], "instructions": ["id"],
+    "joins": ["id"], "instructions": ["id"], "functions": ["id"],
 }
 
 
