@@ -85,13 +85,19 @@ def test_keep_active_keeps_parents_with_only_deleted_children(spark):
     assert sorted(r.p for r in compat.collect()) == [2, 3]
 
 
-def test_window_join_keeps_lonely_events(spark):
+def test_window_totals_keep_lonely_events(spark):
     events = spark.createDataFrame([("2024-01-01",), ("2024-03-01",)], "e string").select(F.to_date("e").alias("e"))
     series = spark.createDataFrame([("2024-01-02", 1), ("2023-12-31", 2), ("2024-01-03", 4)], "d string, n int").select(
         F.to_date("d").alias("d"), "n"
     )
-    got = joins.window_join(events, "e", series, "d", 1, 1).groupBy("e").agg(F.sum("n").alias("n")).collect()
-    assert {str(r.e): r.n for r in got} == {"2024-01-01": 3, "2024-03-01": None}
+    events = events.unionByName(spark.sql("select cast(null as date) as e"))
+    got = joins.window_totals(events, "e", series, "d", 1, 1, [], {"n": F.sum("n")}).collect()
+    assert {str(r.e): r.n for r in got} == {"2024-01-01": 3, "2024-03-01": None, "None": None} and len(got) == 3
+    tagged = series.withColumn("by", F.when(F.col("n") > 1, "late"))
+    got = joins.window_totals(events, "e", tagged, "d", 1, 1, ["by"], {"n": F.sum("n")}).collect()
+    assert {(str(r.e), r.by, r.n) for r in got} == {
+        ("2024-01-01", None, 1), ("2024-01-01", "late", 2), ("2024-03-01", None, None), ("None", None, None)
+    }
 
 
 def test_top_n_is_repeatable_on_ties(spark):

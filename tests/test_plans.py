@@ -42,3 +42,28 @@ def test_comparison_is_one_pass_over_each_side(spark):
     df.collect()
     final = plan_of(df).split("== Initial Plan")[0]
     assert final.count("FileScan") == 2 and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["d02_distinct_counts", "j05_most_commented_topics", "j07_active_channels", "j08_busiest_hours", "j13_game_response", "j32_channel_activity", "j32_hourly_activity"],
+)
+def test_distinct_counts_copy_no_rows(spark, name):
+    assert "Expand" not in plan_of(runner(entries()[name])(spark, FOLDER))
+
+
+def test_cube_copies_rows_of_entities_only(spark):
+    plan = plan_of(runner(entries()["d21_metric_cube"])(spark, FOLDER))
+    assert plan.count("Expand") == 1 and plan.index("Expand") < plan.index("partial_sum(cast(o_totalprice")
+
+
+def test_rank_orders_no_rows_in_one_task(spark):
+    plan = plan_of(runner(entries()["w05_rank_by"])(spark, FOLDER))
+    # what meets in one task is aggregated by its task first: a row per slice, or partial quantiles
+    for piece in plan.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in piece.splitlines()[1]
+
+
+def test_few_scans(spark):
+    scans = {n: plan_of(runner(entries()[n])(spark, FOLDER)).count("FileScan") for n in ("j18_spike_response", "j29_statistics_text", "c12_window_join")}
+    assert scans["j18_spike_response"] <= 12 and scans["j29_statistics_text"] <= 7 and scans["c12_window_join"] <= 3

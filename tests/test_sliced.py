@@ -131,3 +131,39 @@ def test_decide_trials_replays_the_loop(spark):
     for r in decided.orderBy("run", "i").collect():
         got[r.run].append(r.decision)
     assert dict(got) == wanted
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("slices", [1, 9, 64])
+def test_competition_ranks(frame, rows, slices, descending):
+    def smaller(v, w):
+        return w is not None if v is None else w is not None and v < w
+
+    wanted = {}
+    for g in by_key(rows).values():
+        for _, _, i, value in g:
+            ahead = [smaller(value, o[3]) if descending else smaller(o[3], value) for o in g]
+            wanted[i] = 1 + sum(ahead)
+    ranked = sliced.competition_ranks(frame, ["key"], {"r": ("value", descending), "by_at": ("at", False)}, slices)
+    got = ranked.select("id", "r").collect()
+    assert len(got) == len(rows) and {r.id: r.r for r in got} == wanted
+
+
+def test_competition_ranks_of_one_value_nulls_and_nothing(spark):
+    df = spark.range(50).selectExpr("case when id < 40 then 7D when id < 45 then 9D end as v", "id")
+    got = sliced.competition_ranks(df, [], {"up": ("v", False), "down": ("v", True)}, 8).collect()
+    assert {(r.v, r.up, r.down) for r in got} == {(None, 1, 46), (7.0, 6, 6), (9.0, 46, 1)} and len(got) == 50
+    assert sliced.competition_ranks(df.filter("id < 0"), [], {"up": ("v", False)}).count() == 0
+
+
+def test_distinct_counts_equal_spark(spark, rows):
+    df = spark.createDataFrame(rows, "key string, at bigint, id bigint, value bigint").selectExpr(
+        "nullif(key, 'k1') as key", "at", "value"
+    )
+    got = aggregates.distinct_counts(df, ["key"], {"a": "at", "v": "value"})
+    wanted = defaultdict(lambda: (set(), set()))
+    for r in df.collect():
+        for held, value in zip(wanted[r.key], (r.at, r.value)):
+            held.update([] if value is None else [value])
+    assert {r.key: (r.a, r.v) for r in got.collect()} == {k: (len(a), len(v)) for k, (a, v) in wanted.items()}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()

@@ -170,8 +170,9 @@ def _spikes(v):
 def c12(v):
     daily = v.activity.groupBy("event_date", "platform").agg(F.count(F.lit(1)).alias("n"))
     spikes = _spikes(v).withColumnRenamed("event_date", "spike_date")
-    joined = joins.window_join(spikes, "spike_date", daily, "event_date", 1, 1)
-    return joined.groupBy("spike_date", "visits", "platform").agg(F.sum("n").alias("events"))
+    return joins.window_totals(
+        spikes, "spike_date", daily, "event_date", 1, 1, ["platform"], {"events": F.sum("n")}
+    )
 
 
 @query(

@@ -6,6 +6,7 @@ from tidemark.functions import labels
 from tidemark.functions.numbers import exact, pct
 from tidemark.operators import aggregates, ranking, sets, sliced, windows
 from tidemark.registry import query
+from tidemark.session import materialize
 
 _DAILY = "d as (select event_date, count(*) as n, count(distinct author_id) as a from message group by 1)"
 
@@ -140,9 +141,8 @@ def w05(v):
     c = v.lineitem.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q")
     )
-    ranked = windows.rank_by(c, "by_count", F.col("n").desc())
-    ranked = windows.rank_by(ranked, "by_quantity", F.col("q").asc())
-    return ranked.withColumns({c: F.col(c).cast("bigint") for c in ("by_count", "by_quantity")})
+    suppliers = materialize(c, "supplier-counts")
+    return sliced.competition_ranks(suppliers, [], {"by_count": ("n", True), "by_quantity": ("q", False)})
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,25 @@ def profile(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, keys: list[str], columns: dict[str, str], approximate: bool = False) -> DataFrame:
-    """Several distinct counts in one pass; {output name: column}."""
-    counter = F.approx_count_distinct if approximate else F.countDistinct
-    return df.groupBy(*keys).agg(*[counter(c).alias(name) for name, c in columns.items()])
+    """Several distinct counts per group; {output name: column}.
+
+    Exact counts come from one narrow grouping per column, each reading the keys and
+    its column alone, and meet as one row per group. Asked for in one grouping, Spark
+    would copy every row once per column, with all columns of the others as blanks.
+    A sketch has no such copies and takes all columns in one pass.
+    """
+    if approximate or len(columns) == 1 or not keys:
+        counter = F.approx_count_distinct if approximate else F.countDistinct
+        return df.groupBy(*keys).agg(*[counter(c).alias(name) for name, c in columns.items()])
+    parts = [df.groupBy(*keys).agg(F.countDistinct(c).alias(name)) for name, c in columns.items()]
+    return reduce(lambda left, right: meet(left, right, keys), parts)
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two groupings over the same rows side by side; NULL is a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(renamed, on).drop(*[f"__{k}" for k in keys])
 
 
 def two_level(

@@ -53,23 +53,36 @@ def child_count(parent: DataFrame, child: DataFrame, parent_key: str, child_key:
     return parent.join(counts, parent_key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def window_join(
-    events: DataFrame, event_date: str, series: DataFrame, series_date: str, before: int, after: int
+def window_totals(
+    events: DataFrame,
+    event_date: str,
+    series: DataFrame,
+    series_date: str,
+    before: int,
+    after: int,
+    by: list[str],
+    measures: dict[str, Column],
 ) -> DataFrame:
-    """Left join of events with the series rows from ``before`` days earlier to ``after`` days later.
-
-    The day offsets are exploded on the event side, which turns the range
-    condition into an equi-join with a fixed factor of before + after + 1.
+    """Totals of the series rows from ``before`` days earlier to ``after`` days later, per event and ``by``.
+
+    An event without any series row keeps one row with NULL in ``by`` and the
+    measures over nothing. The day offsets are exploded on the event side, which
+    turns the range condition into an equi-join with a fixed factor of
+    before + after + 1, and both sides are read once: days without series rows
+    stay in the join as an empty group of their event, which is dropped wherever
+    the event has another group. Equal events count together.
     """
     offsets = F.sequence(F.date_sub(event_date, before), F.date_add(event_date, after))
-    spread = events.withColumn("__day", F.explode(offsets))
-    dated = series.withColumnRenamed(series_date, "__day")
-    matched = spread.join(dated, "__day").withColumnRenamed("__day", series_date)
-    # events without any series row keep one row
-    lonely = events.join(
-        matched.select(event_date).distinct(), event_date, "left_anti"
+    spread = events.withColumn("__day", F.explode_outer(offsets))
+    dated = series.withColumnRenamed(series_date, "__day").withColumn("__hit", F.lit(True))
+    grouped = (
+        spread.join(dated, "__day", "left")
+        .groupBy(*events.columns, *by, F.col("__hit").isNotNull().alias("__met"))
+        .agg(*[c.alias(n) for n, c in measures.items()])
     )
-    return matched.unionByName(lonely, allowMissingColumns=True)
+    # a row per event and group by now
+    met = F.max("__met").over(Window.partitionBy(*events.columns))
+    return grouped.withColumn("__any", met).filter(F.col("__met") | ~F.col("__any")).drop("__met", "__any")
 
 
 def bounded_by(df: DataFrame, c: str, spikes: DataFrame, spike_date: str, pad: int) -> DataFrame:

@@ -146,6 +146,46 @@ def best_before(
     ).drop("__inside", "__carried", _SLICE)
 
 
+def value_ranks(
+    df: DataFrame, keys: list[str], by: str, name: str, descending: bool = False, slices: int | None = None
+) -> DataFrame:
+    """One row per key and value of ``by`` with the competition rank of that value."""
+    counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__n"))
+    cut = sliced(counts, [by], slices)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = _slice_summary(cut, keys, {"__held": F.sum("__n")}).withColumns(
+        {"__offset": F.coalesce(F.sum("__held").over(before), F.lit(0)), "__all": F.sum("__held").over(group)}
+    ).drop("__held")
+    inside = (
+        Window.partitionBy(*keys, _SLICE).orderBy(*_order([by])).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    reached = cut.withColumn("__local", F.sum("__n").over(inside))
+    up_to = F.col("__offset") + F.col("__local")
+    rank = F.col("__all") - up_to + 1 if descending else up_to - F.col("__n") + 1
+    return _with_summary(reached, summary, keys).select(*keys, by, rank.alias(name))
+
+
+def competition_ranks(
+    df: DataFrame, keys: list[str], ranks: dict[str, tuple[str, bool]], slices: int | None = None
+) -> DataFrame:
+    """Ranks per key, {name: (column, descending)}; equal values share a rank and the next ones are skipped.
+
+    Rows are first reduced to one per value with its number of rows, so a value
+    that a third of all rows share is one row when values are put in order, and no
+    task orders more than a slice of the values. NULL counts as smaller than any
+    value, as in Spark's own sort orders. A column must be of a type with a number.
+    ``df`` is read for each rank, so hand over a written table.
+    """
+    result = df
+    for name, (by, descending) in ranks.items():
+        found = value_ranks(df, keys, by, name, descending, slices)
+        renamed = found.withColumnsRenamed({k: f"__of_{k}" for k in (*keys, by)})
+        on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in (*keys, by)]
+        result = result.join(renamed, _all(on)).drop(*[f"__of_{k}" for k in (*keys, by)])
+    return result
+
+
 def next_row(
     df: DataFrame, keys: list[str], order: list[str], carry: list[str], name: str, slices: int | None = None
 ) -> DataFrame:

@@ -70,7 +70,11 @@ def snapshot_view(df: DataFrame, keys: list[str], order: list[str], snapshot: st
 
 
 def rank_by(df: DataFrame, name: str, order: Column, partition: list[str] | None = None) -> DataFrame:
-    """Competition rank (ties share a rank, the next one is skipped)."""
+    """Competition rank (ties share a rank, the next one is skipped).
+
+    For partitions of bounded size, such as countries; ``sliced.competition_ranks``
+    ranks rows whose number grows with the data.
+    """
     return df.withColumn(name, F.rank().over(_window(partition, [order])))
 
 

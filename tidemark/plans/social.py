@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
 from tidemark.functions.dates import elapsed, lenient_date, truncated
 from tidemark.functions.numbers import activity_score, pct, sum0
 from tidemark.functions.text import joined_text, text_list_distinct
-from tidemark.operators import filters, joins, ranking, sets, windows
+from tidemark.operators import aggregates, filters, joins, ranking, sets, windows
+from tidemark.session import materialize
 
 
 def _rows() -> Column:
@@ -147,12 +148,12 @@ def hot_channels_by_hour(events: DataFrame, n: int = 10) -> DataFrame:
 
 
 def most_commented_topics(c: Community, n: int = 20) -> DataFrame:
-    active = c.comment.filter(~F.col("is_deleted")).groupBy(F.col("topic_url").alias("url")).agg(
-        F.countDistinct("comment_id").alias("comment_count"),
-        F.countDistinct("author").alias("unique_commenters"),
-        F.max("commented_at").alias("last_comment_time"),
+    comments = c.comment.filter(~F.col("is_deleted")).withColumnRenamed("topic_url", "url")
+    active = comments.groupBy("url").agg(
+        F.countDistinct("comment_id").alias("comment_count"), F.max("commented_at").alias("last_comment_time")
     )
-    joined = c.topic.join(active, "url").filter(F.col("comment_count") > 0)
+    authors = aggregates.distinct_counts(comments, ["url"], {"unique_commenters": "author"})
+    joined = c.topic.join(active, "url").filter(F.col("comment_count") > 0).join(authors, "url")
     return ranking.top_n(joined, [F.col("comment_count").desc()], n, ["topic_id"]).select(
         "topic_id", "title", "subforum", "comment_count", "unique_commenters", "last_comment_time"
     )
@@ -193,7 +194,6 @@ def active_channels(c: Community, n: int = 20) -> DataFrame:
     """Channels ranked by messages + 0.5 x reactions."""
     totals = c.messages().groupBy("channel_id").agg(
         F.countDistinct("message_id").alias("message_count"),
-        F.countDistinct("author_id").alias("unique_authors"),
         F.sum("reaction_count").alias("reaction_count"),
         F.min("created_at").alias("first_message_time"),
         F.max("created_at").alias("last_message_time"),
@@ -205,7 +205,8 @@ def active_channels(c: Community, n: int = 20) -> DataFrame:
         .groupBy("channel_id")
         .agg(F.countDistinct("emoji_name").alias("unique_emojis"))
     )
-    joined = c.channel.join(totals, "channel_id").join(emojis, "channel_id", "left")
+    authors = aggregates.distinct_counts(c.message, ["channel_id"], {"unique_authors": "author_id"})
+    joined = c.channel.join(totals, "channel_id").join(authors, "channel_id").join(emojis, "channel_id", "left")
     scored = joined.withColumns(
         {
             "unique_emojis": _zero("unique_emojis"),
@@ -217,9 +218,13 @@ def active_channels(c: Community, n: int = 20) -> DataFrame:
 
 def busiest_hours(events: DataFrame) -> DataFrame:
     """Mentions by hour of day over platforms; ``user_id`` may be missing for a platform."""
-    per_bucket = events.groupBy(
-        F.hour("event_time").alias("hour_of_day"), truncated("event_time", "hour").alias("bucket"), "platform"
-    ).agg(F.countDistinct("event_id").alias("mentions"), F.countDistinct("user_id").alias("authors"))
+    placed = events.select(
+        F.hour("event_time").alias("hour_of_day"), truncated("event_time", "hour").alias("bucket"),
+        "platform", "event_id", "user_id",
+    )
+    per_bucket = aggregates.distinct_counts(
+        placed, ["hour_of_day", "bucket", "platform"], {"mentions": "event_id", "authors": "user_id"}
+    )
     # one row per hour and platform before names are collected
     per_platform = per_bucket.groupBy("hour_of_day", "platform").agg(
         F.sum("mentions").alias("m"), F.sum("authors").alias("a"), _rows().alias("b")
@@ -338,18 +343,26 @@ def negative_ratio_jumps(review: DataFrame, over: float) -> DataFrame:
 def game_response(c: Community, games: DataFrame) -> DataFrame:
     """Response per game on both platforms; each fact is aggregated before its join."""
     talk = c.messages().groupBy("game_code").agg(
-        F.countDistinct("message_id").alias("discord_messages"),
-        F.sum("reaction_count").alias("discord_reactions"),
-        F.countDistinct("author_id").alias("discord_authors"),
-        F.countDistinct("channel_id").alias("discord_channels"),
-    )
-    up = F.col("voted_up")
-    reviews = c.review.groupBy("app_id").agg(
-        F.countDistinct("recommendationid").alias("steam_reviews"),
-        F.sum("votes_up").alias("steam_votes_up"),
-        F.round(F.avg("votes_up"), 2).alias("steam_avg_votes"),
-        F.countDistinct(F.when(up, F.col("recommendationid"))).alias("steam_positive"),
-        F.countDistinct(F.when(~up, F.col("recommendationid"))).alias("steam_negative"),
+        F.countDistinct("message_id").alias("discord_messages"), F.sum("reaction_count").alias("discord_reactions")
+    )
+    people = aggregates.distinct_counts(
+        c.message, ["game_code"], {"discord_authors": "author_id", "discord_channels": "channel_id"}
+    )
+    talk = aggregates.meet(talk, people, ["game_code"])
+    # one row per review with a flag for each side it was counted on
+    up, counted = F.col("voted_up"), F.col("recommendationid").isNotNull()
+    reviews = aggregates.two_level(
+        c.review,
+        ["app_id", "recommendationid"],
+        {"votes": F.sum("votes_up"), "voted": F.count("votes_up"), "liked": F.max(up), "disliked": F.max(~up)},
+        ["app_id"],
+        {
+            "steam_reviews": F.count("recommendationid"),
+            "steam_votes_up": F.sum("votes"),
+            "steam_avg_votes": F.round(F.try_divide(F.sum("votes").cast("double"), F.sum("voted")), 2),
+            "steam_positive": F.count_if(counted & F.col("liked")),
+            "steam_negative": F.count_if(counted & F.col("disliked")),
+        },
     )
     joined = games.join(talk, "game_code", "left").join(reviews, "app_id", "left")
     whole = [
@@ -388,10 +401,11 @@ def event_periods(c: Community, start: str, end: str) -> DataFrame:
 
 def _activity_by(c: Community, bucket: Column, name: str) -> DataFrame:
     discord = c.messages().groupBy(bucket.alias(name)).agg(
-        F.countDistinct("message_id").alias("total_messages"),
-        F.sum("reaction_count").alias("total_reactions"),
-        F.countDistinct("author_id").alias("total_authors"),
+        F.countDistinct("message_id").alias("total_messages"), F.sum("reaction_count").alias("total_reactions")
     )
+    dated = c.message.select(bucket.alias(name), "author_id")
+    authors = aggregates.distinct_counts(dated, [name], {"total_authors": "author_id"})
+    discord = aggregates.meet(discord, authors, [name])
     steam = c.review.groupBy(bucket.alias(name)).agg(
         F.countDistinct("recommendationid").alias("total_messages"), F.sum("votes_up").alias("total_reactions")
     )
@@ -481,18 +495,18 @@ def weekly_totals(c: Community) -> DataFrame:
 
 def channel_activity(c: Community) -> DataFrame:
     """Messages, reactions and authors per channel and day."""
-    per_channel = c.messages().groupBy("event_date", "channel_id").agg(
-        F.countDistinct("message_id").alias("message_count"),
-        F.sum("reaction_count").alias("reaction_count"),
-        F.countDistinct("author_id").alias("unique_authors"),
+    keys = ["event_date", "channel_id"]
+    counts = c.messages().groupBy(*keys).agg(
+        F.countDistinct("message_id").alias("message_count"), F.sum("reaction_count").alias("reaction_count")
     )
+    authors = aggregates.distinct_counts(c.message, keys, {"unique_authors": "author_id"})
+    per_channel = aggregates.meet(counts, authors, keys)
     return per_channel.join(c.channel.select("channel_id", "channel_name"), "channel_id").drop("channel_id")
 
 
 def hourly_activity(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.hour("event_time").alias("hour")).agg(
-        F.countDistinct("event_id").alias("message_count"), F.countDistinct("user_id").alias("unique_authors")
-    )
+    timed = events.select(F.hour("event_time").alias("hour"), "event_id", "user_id")
+    return aggregates.distinct_counts(timed, ["hour"], {"message_count": "event_id", "unique_authors": "user_id"})
 
 
 # -- traffic, wishlists and regions ------------------------------------------------------
@@ -502,7 +516,8 @@ def spike_response(traffic: DataFrame, social: DataFrame, growth: float = 30, fa
     """Social content and engagement within one day of each traffic spike.
 
     ``social`` is one row per (event_date, platform) with content_count and
-    total_reactions; the date bounds of the spikes are pushed down to its scans.
+    total_reactions. The spikes, a few days, are written once; their first and last
+    day bound its scans as plain dates, so files outside them are never opened.
     """
     rated = windows.pct_change(traffic, "visits", "event_date", "growth_rate")
     high = traffic.agg((F.avg("visits") * factor).alias("level")).scalar()
@@ -511,10 +526,13 @@ def spike_response(traffic: DataFrame, social: DataFrame, growth: float = 30, fa
         F.col("visits").alias("traffic_visits"),
         F.col("growth_rate").alias("traffic_growth_rate"),
     )
-    in_reach = joins.bounded_by(social, "event_date", spikes, "traffic_spike_date", 1)
-    near = joins.window_join(spikes, "traffic_spike_date", in_reach, "event_date", 1, 1)
-    return near.groupBy("traffic_spike_date", "traffic_visits", "traffic_growth_rate", "platform").agg(
-        F.sum("content_count").alias("total_content"), F.sum("total_reactions").alias("total_engagement")
+    spikes = materialize(spikes, "traffic-spikes")
+    first, last = F.min("traffic_spike_date"), F.max("traffic_spike_date")
+    bounds = spikes.agg(F.date_sub(first, 1).alias("lo"), F.date_add(last, 1).alias("hi")).first()
+    in_reach = social.filter(F.col("event_date").between(F.lit(bounds.lo), F.lit(bounds.hi)))
+    return joins.window_totals(
+        spikes, "traffic_spike_date", in_reach, "event_date", 1, 1, ["platform"],
+        {"total_content": F.sum("content_count"), "total_engagement": F.sum("total_reactions")},
     )
 
 
@@ -664,32 +682,37 @@ def statistics_text(c: Community) -> DataFrame:
     """Overall and per-platform statistics as text lines in report order."""
     contents = c.contents()
     positive, negative = F.col("sentiment") == "positive", F.col("sentiment") == "negative"
-    per_platform = contents.groupBy("platform").agg(
-        F.countDistinct("content_id").alias("content"),
-        F.sum("reaction_count").alias("reactions"),
-        F.count_if(positive).alias("p"),
-        F.count_if(negative).alias("n"),
-    )
-    # ids are unique to their platform except by chance, so the total is counted over ids alone
-    distinct_ids = contents.agg(F.countDistinct("content_id").alias("ids")).scalar()
+    per_content = contents.groupBy("content_id", "platform").agg(
+        F.sum("reaction_count").alias("reactions"), F.count_if(positive).alias("p"), F.count_if(negative).alias("n")
+    )
+    # ids are unique to their platform except by chance: the total counts an id on its first platform alone
+    first = F.row_number().over(Window.partitionBy("content_id").orderBy("platform")) == 1
+    counted = F.col("content_id").isNotNull()
+    levels = (
+        per_content.withColumn("first", first & counted)
+        .rollup("platform")
+        .agg(
+            F.grouping("platform").alias("overall"),
+            F.count("content_id").alias("content"),
+            F.count_if("first").alias("ids"),
+            *[F.sum(c).alias(c) for c in ("reactions", "p", "n")],
+        )
+    )
     content, reactions, rated_positive, positives, negatives = (F.lit(w) for w in STATISTICS_WORDS)
-    total = per_platform.agg(
-        F.sum("reactions").alias("reactions"), F.sum("p").alias("p"), F.sum("n").alias("n")
-    ).withColumn("ids", distinct_ids)
+    overall = F.col("overall") == 1
     ratio = F.coalesce(pct("p", F.col("p") + F.col("n")), F.lit(0.0)).cast("decimal(5,2)")
-    overall = total.select(
-        F.lit(None).cast("bigint").alias("__weight"),
-        F.lit(STATISTICS_SECTIONS[0]).alias("section"),
-        joined_text("ids", content, "reactions", reactions, ratio, rated_positive).alias("detail"),
-    )
-    lines = per_platform.select(
-        F.col("reactions").alias("__weight"),
-        F.lit(STATISTICS_SECTIONS[1]).alias("section"),
-        joined_text(
-            "platform", F.lit(": "), "content", content, "reactions", reactions, "p", positives, "n", negatives
-        ).alias("detail"),
-    )
-    ordered = sets.union_all(overall, lines).orderBy(F.col("__weight").desc_nulls_first(), "detail")
+    lines = levels.select(
+        F.when(~overall, F.col("reactions")).alias("__weight"),
+        F.when(overall, STATISTICS_SECTIONS[0]).otherwise(STATISTICS_SECTIONS[1]).alias("section"),
+        F.when(overall, joined_text("ids", content, "reactions", reactions, ratio, rated_positive))
+        .otherwise(
+            joined_text(
+                "platform", F.lit(": "), "content", content, "reactions", reactions, "p", positives, "n", negatives
+            )
+        )
+        .alias("detail"),
+    )
+    ordered = lines.orderBy(F.col("__weight").desc_nulls_first(), "detail")
     return ordered.drop("__weight")
 
 
