@@ -170,6 +170,29 @@ def test_documents_there_and_back(spark, models):
     assert shown(model.to_documents(model.explode_model(again), again)) == shown(again)
 
 
+def test_relations_of_one_pass_equal_those_of_each_list(spark, models):
+    bare = spark.createDataFrame([(7, "{}"), (8, '{"version": 1, "data_sources": {"tables": [null, {"identifier": "t"}]}, "instructions": {"join_specs": []}}')], "model_id bigint, document string")
+    docs = models.unionByName(model.read_documents(bare, "document"))
+    direct, once = model.explode_model(docs), model.explode_model(docs, written=True)
+    assert direct.keys() == once.keys()
+    for name, frame in direct.items():
+        assert frame.columns == once[name].columns
+        rows = [sorted(map(str, f.collect())) for f in (frame, once[name])]
+        assert rows[0] == rows[1], name
+    plan = once["joins"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "section" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_relations_of_no_documents(spark, models):
+    assert all(f.count() == 0 for f in model.explode_model(models.limit(0), written=True).values())
+
+
+def test_only_names_meet_their_references(spark, models):
+    refs = spark.createDataFrame([(1, "orders")], "model_id bigint, table_ref string")
+    plan = model.resolve_tables(refs, models)._jdf.queryExecution().optimizedPlan().toString()
+    assert "column_configs" not in plan[: plan.index("Join")] and "identifier" in plan
+
+
 def test_apply_then_validate(spark, models):
     relations, _ = model.apply_plan(models, make_fixes(spark, [
         {"fix_category": "metadata_add", "fix_type": "add_synonym", "table_ref": "orders", "column_name": "total", "synonym": "sales"},

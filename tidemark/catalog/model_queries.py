@@ -655,7 +655,7 @@ def l14_rollback(v):
 )
 def l15(v):
     docs = stored_documents(v)
-    before = model.explode_model(docs)
+    before = model.explode_model(docs, written=True)
     after, _ = model.apply_metadata_adds(before, docs, materialize(planned(v), "fixes"))
     return model.diff_models(before, after)
 

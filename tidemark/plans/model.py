@@ -183,26 +183,65 @@ def write_documents(models: DataFrame, name: str = "document", model_id: str = "
     return models.select(model_id, whole).select(model_id, _json_text(F.col("d"), kind).alias(name))
 
 
-def explode_model(models: DataFrame) -> dict[str, DataFrame]:
-    """The narrow relations of all documents."""
+# the lists of a document that become relations
+LISTS = {
+    "tables": "data_sources.tables",
+    "examples": "instructions.example_question_sqls",
+    "joins": "instructions.join_specs",
+    **{kind: f"instructions.sql_snippets.{kind}" for kind in SNIPPET_KINDS.values()},
+    "instructions": "instructions.text_instructions",
+    "functions": "instructions.sql_functions",
+}
+
+
+def list_items(models: DataFrame) -> DataFrame:
+    """Items of all lists from one pass: (model_id, section, pos, a column per list).
+
+    An item stands, as it is in the document, in the column of its own list; the
+    columns of the other lists are NULL.
+    """
+    kinds = models.select(*[F.col(path).alias(name) for name, path in LISTS.items()]).schema
+    types = {f.name: f.dataType.elementType.simpleString() for f in kinds.fields}
+
+    def of(section: str) -> Column:
+        def placed(x: Column, i: Column) -> Column:
+            own = {n: x if n == section else F.lit(None).cast(kind) for n, kind in types.items()}
+            return F.struct(F.lit(section).alias("section"), i.alias("pos"), *[c.alias(n) for n, c in own.items()])
+
+        listed = F.transform(F.col(LISTS[section]), placed)
+        return F.coalesce(listed, F.filter(F.array(placed(F.lit(None).cast(types[section]), F.lit(0))), lambda _: F.lit(False)))
+
+    return models.select("model_id", F.explode(F.concat(*[of(n) for n in LISTS])).alias("item")).select("model_id", "item.*")
+
+
+def explode_model(models: DataFrame, written: bool = False) -> dict[str, DataFrame]:
+    """The narrow relations of all documents.
+
+    Each relation reads the documents. With ``written`` they are read once: the
+    items of all lists go to the shared folder, a folder per list, and a relation
+    opens the folder of its own list. Use it where several relations are wanted.
+    """
     none = F.lit(None).cast("bigint").alias("added_by")
+    items = materialize(list_items(models), "items", ["section"]) if written else None
 
-    def opened(array: str, *more: str) -> DataFrame:
-        return models.select("model_id", *more, F.posexplode(array).alias("pos", "x"))
+    def opened(section: str) -> DataFrame:
+        if items is None:
+            return models.select("model_id", F.posexplode(LISTS[section]).alias("pos", "x"))
+        return items.filter(F.col("section") == section).select("model_id", "pos", F.col(section).alias("x"))
 
-    tables = opened("data_sources.tables").select(
+    tables = opened("tables").select(
         "model_id", F.col("pos").alias("table_pos"), "x.identifier", "x.description", "x.column_configs", f"x.{MORE}"
     )
     columns = tables.select("model_id", "table_pos", F.posexplode("column_configs").alias("pos", "x"))
-    examples = opened("instructions.example_question_sqls").select("model_id", "pos", none, "x.*")
-    joins = opened("instructions.join_specs").select(
+    examples = opened("examples").select("model_id", "pos", none, "x.*")
+    joins = opened("joins").select(
         "model_id", "pos", none, "x.id", F.col("x.left.identifier").alias("left_table"),
         F.col("x.left.alias").alias("left_alias"), F.col("x.right.identifier").alias("right_table"),
         F.col("x.right.alias").alias("right_alias"), "x.sql", "x.comment", f"x.{MORE}",
         F.col(f"x.left.{MORE}").alias("left_more"), F.col(f"x.right.{MORE}").alias("right_more"),
     )
     snippets = [
-        opened(f"instructions.sql_snippets.{kind}").select("model_id", F.lit(kind).alias("kind"), "pos", none, "x.*")
+        opened(kind).select("model_id", F.lit(kind).alias("kind"), "pos", none, "x.*")
         for kind in SNIPPET_KINDS.values()
     ]
     return {
@@ -218,8 +257,8 @@ def explode_model(models: DataFrame) -> dict[str, DataFrame]:
         "examples": examples,
         "snippets": reduce(DataFrame.unionByName, snippets),
         "joins": joins,
-        "instructions": opened("instructions.text_instructions").select("model_id", "pos", none, "x.*"),
-        "functions": opened("instructions.sql_functions").select("model_id", "pos", none, "x.*"),
+        "instructions": opened("instructions").select("model_id", "pos", none, "x.*"),
+        "functions": opened("functions").select("model_id", "pos", none, "x.*"),
     }
 
 
@@ -384,19 +423,19 @@ def resolve_tables(refs: DataFrame, models: DataFrame) -> DataFrame:
 
     The first table of the document that matches exactly, by its last name part
     or by containing the reference wins. Distinct references meet their document
-    once; its own table list is searched in place.
+    once; its own table names, which are all that crosses the join, are searched in place.
     """
     distinct = refs.select("model_id", "table_ref").filter(F.col("table_ref").isNotNull()).distinct()
-    listed = models.select("model_id", F.col("data_sources.tables").alias("tables"))
+    listed = models.select("model_id", F.col("data_sources.tables.identifier").alias("names"))
 
-    def fits(table: Column) -> Column:
-        name, ref = table["identifier"], F.col("table_ref")
+    def fits(named: Column) -> Column:
+        name, ref = named["identifier"], F.col("table_ref")
         part = F.lower(last_name_part(name))
         return (name == ref) | ((part != "") & (part == F.lower(ref))) | (
             (ref != "") & F.lower(name).contains(F.lower(ref))
         )
 
-    numbered = F.transform(F.col("tables"), lambda t, i: F.struct(i.alias("i"), t["identifier"].alias("identifier")))
+    numbered = F.transform(F.col("names"), lambda name, i: F.struct(i.alias("i"), name.alias("identifier")))
     found = distinct.join(listed, "model_id", "left").withColumn(
         "hit", F.get(F.filter(numbered, fits), F.lit(0))
     )
@@ -710,7 +749,7 @@ def apply_plan(
     known = [t for types in ALLOWED_TYPES.values() for t in types]
     # read by every step: written once, with the tables they mean, rather than deduplicated for each
     planned = materialize(_with_table(order_fixes(validate_fix_types(dedupe_fixes(fixes))), models), "planned-fixes")
-    before = explode_model(models)
+    before = explode_model(models, written=True)
     relations, outcomes = before, []
     for step in (
         lambda r: apply_instruction(r, planned),

@@ -72,13 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
     """Write once below the shared folder and read back.
 
     For a frame with several readers: it is computed once, survives lost
-    executors, and each reader still prunes columns.
+    executors, and each reader still prunes columns. ``folders`` names columns of
+    few values; a reader that filters on them opens their folders alone.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*(folders or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
