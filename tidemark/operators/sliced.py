@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 _SLICE = "__slice"
 RANGES = 64  # quantile ranges; finer slices come from even cuts within a range
 SLICE_ROWS = 200_000  # rows that a slice is meant to hold
@@ -151,7 +153,8 @@ def value_ranks(
 ) -> DataFrame:
     """One row per key and value of ``by`` with the competition rank of that value."""
     counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__n"))
-    cut = sliced(counts, [by], slices)
+    # read for the ranks within a slice and for the totals of all slices
+    cut = materialize(sliced(counts, [by], slices), "value-slices")
     group = Window.partitionBy(*keys)
     before = group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = _slice_summary(cut, keys, {"__held": F.sum("__n")}).withColumns(
