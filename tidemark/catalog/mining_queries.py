@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.model_queries import DOCS, documents
 from tidemark.plans import mining, model
 from tidemark.registry import query
+from tidemark.session import spread
 
 # the query text is assembled from a part's fields, so its pieces are known
 _SHAPE = """'SELECT ' || upper(split_part(p_brand, '#', 1)) || '#?, SUM(X' || (p_size % 3) || ') FROM T' || (p_size % 5) || ' JOIN D' || (p_size % 4) || ' ON T' || (p_size % 5) || '.K = D' || (p_size % 4) ||
@@ -60,7 +61,7 @@ def n04(v):
 )
 def n04_all(v):
     """Columns in COUNT(DISTINCT), SELECT, WHERE, ON and GROUP BY, with aliases."""
-    asked = v.part.select(
+    asked = spread(v.part.select("p_type", "p_size")).select(
         F.concat(F.lit("Count of "), F.lower("p_type")).alias("question"),
         F.concat(
             F.lit("SELECT a.region, COUNT(DISTINCT a.User_"), (F.col("p_size") % 3).cast("string"),
@@ -97,7 +98,7 @@ def n05_clauses(v):
         F.lit("  and y.at < (select max(q.high) from caps q where q.id in (1, 2)) cross join days where s.note = 'a.b = c.d' order by 1"),
     )
     listed = F.concat(F.lit("SELECT 1 FROM x"), a, F.lit(" p, y AS q, z"), b, F.lit(" WHERE p.id = q.id AND q.n > 3"))
-    return mining.mine_joins(v.part.select(F.explode(F.array(plain, wrapped, listed)).alias("sql")), "sql")
+    return mining.mine_joins(spread(v.part.select("p_size")).select(F.explode(F.array(plain, wrapped, listed)).alias("sql")), "sql")
 
 
 @query(
@@ -114,7 +115,7 @@ def n05_chains(v):
         F.lit("SELECT count(*) FROM main.T"), a, F.lit(" x JOIN d"), b,
         F.lit(" AS y ON x.k = y.k AND y.j = x.j LEFT JOIN e ON y.y = e.y JOIN f USING (z, w) WHERE x.note = 'a.b = c.d'"),
     )
-    return mining.mine_joins(v.part.select(sql.alias("sql")), "sql")
+    return mining.mine_joins(spread(v.part.select("p_size")).select(sql.alias("sql")), "sql")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +89,12 @@ def text_list_distinct(c: str | Column, sep: str = ", ") -> Column:
     grows with the vocabulary, not with the rows of a hot group.
     """
     return F.array_join(F.array_sort(F.collect_set(to_col(c))), sep)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    What a lambda reads from outside itself is computed anew for every element,
+    and a value named twice may be computed twice; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import to_col
 from tidemark.functions.labels import first_match
+from tidemark.functions.text import once
+from tidemark.session import materialize
 
 # Text patterns of SQL pieces.
 NAME = r"[A-Za-z_][A-Za-z_0-9.]*"
@@ -140,8 +142,10 @@ def _sources(sql: str | Column) -> Column:
     whether the table is joined to what came before, by JOIN or a comma;
     ``clause`` is the text after ON, empty without one.
     """
-    text = F.regexp_replace(to_col(sql), LISTED, "$1$2 JOIN ")
-    found = F.arrays_zip(*[_all(text, SOURCE, i).alias(c) for i, c in enumerate(("word", "name", "given", "clause"), 1)])
+    found = once(
+        F.regexp_replace(to_col(sql), LISTED, "$1$2 JOIN "),
+        lambda text: F.arrays_zip(*[_all(text, SOURCE, i).alias(c) for i, c in enumerate(("word", "name", "given", "clause"), 1)]),
+    )
     last = lambda t: F.regexp_extract(t["name"], r"([^.]*)$", 1)
     return F.transform(
         found,
@@ -171,7 +175,9 @@ def mine_joins(df: DataFrame, sql: str) -> DataFrame:
 
     def place(name: Column) -> Column:
         owner = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
-        return F.array_position(F.transform("t", lambda t: (t["alias"] == owner) | (t["name"] == owner)), True).cast("int")
+        return once(
+            owner, lambda o: F.array_position(F.transform("t", lambda t: (t["alias"] == o) | (t["name"] == o)), True).cast("int")
+        )
 
     def shown(at: Column, name: Column) -> Column:
         return F.concat(F.get("t", at - 1)["name"], F.lit("."), F.lower(F.regexp_extract(name, r"([^.]*)$", 1)))
@@ -210,16 +216,18 @@ def mine_joins(df: DataFrame, sql: str) -> DataFrame:
     def untied(t: Column, at: Column) -> Column:
         j = at + 1
         named = F.filter(F.transform(_all(t["clause"], QUALIFIED), place), lambda i: (i > 0) & (i != j))
-        other = F.coalesce(F.get(named, F.lit(0)), before(at))
         condition = F.when(t["clause"] == "", "cross").otherwise(resolved(t["clause"]))
-        return F.struct(F.least(other, j).alias("i"), F.greatest(other, j).alias("j"), condition.alias("c"))
+        return once(
+            F.coalesce(F.get(named, F.lit(0)), before(at)),
+            lambda other: F.struct(F.least(other, j).alias("i"), F.greatest(other, j).alias("j"), condition.alias("c")),
+        )
 
     # joined tables in place: those without a tie to an earlier table have j = their number
     loose = F.filter(
-        F.transform("t", lambda t, at: F.struct(t["joined"].alias("joined"), untied(t, at).alias("e"), (at + 1).alias("at"))),
-        lambda x: x["joined"] & (x["at"] > 1) & ~F.exists("tied", lambda e: e["j"] == x["at"]),
+        F.transform("t", lambda t, at: F.struct(t.alias("t"), at.alias("at"))),
+        lambda x: x["t"]["joined"] & (x["at"] > 0) & ~F.exists("tied", lambda e: e["j"] == x["at"] + 1),
     )
-    parts = tied.withColumn("e", F.concat("tied", F.transform(loose, lambda x: x["e"])))
+    parts = tied.withColumn("e", F.concat("tied", F.transform(loose, lambda x: untied(x["t"], x["at"]))))
     pairs = F.array_distinct(F.transform("e", lambda x: F.struct("t", x["i"].alias("i"), x["j"].alias("j"))))
     opened = parts.select("e", F.explode(pairs).alias("p"))
     mine = F.filter("e", lambda x: (x["i"] == F.col("p.i")) & (x["j"] == F.col("p.j")))
@@ -240,9 +248,9 @@ def used_columns(sql: str | Column) -> Column:
     """Columns anywhere in a query: names that are no keyword, function, table or alias; qualifiers are dropped."""
     text = F.regexp_replace(to_col(sql), r"'[^']*'", "''")
     names = F.transform(_all(text, r"([A-Za-z_][\w.]*+)(?!\s*\()"), F.lower)
-    sources = _sources(sql)
-    tables = F.concat(F.transform(sources, lambda t: t["name"]), F.transform(sources, lambda t: t["alias"]))
-    wanted = F.filter(names, lambda n: ~n.isin(*KEYWORDS) & ~F.array_contains(tables, n))
+    tables = F.flatten(F.transform(_sources(sql), lambda t: F.array(t["name"], t["alias"])))
+    # one look at the tables of a query, not one for each of its names
+    wanted = once(tables, lambda known: F.filter(names, lambda n: ~n.isin(*KEYWORDS) & ~F.array_contains(known, n)))
     return F.transform(wanted, lambda n: F.regexp_extract(n, r"([^.]*)$", 1))
 
 
@@ -255,12 +263,24 @@ def mine_synonyms(df: DataFrame, question: str, sql: str, min_count: int = 2, co
     """
     terms = F.array_distinct(F.filter(F.split(F.lower(question), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
     named = F.array_distinct(F.transform(columns(sql), F.lower))
-    held = df.select(terms.alias("terms"), named.alias("columns"))
-    queries = held.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pairs = held.select(F.explode("terms").alias("term"), "columns").select("term", F.explode("columns").alias("column_ref"))
-    together = pairs.groupBy("term", "column_ref").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_count)
-    by_term = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
-    by_column = held.select(F.explode("columns").alias("column_ref")).groupBy("column_ref").agg(F.count(F.lit(1)).alias("c"))
+    none = F.lit(None).cast("string")
+
+    def item(term: Column, column: Column) -> Column:
+        return F.struct(term.alias("term"), column.alias("column_ref"))
+
+    empty = F.array().cast("array<string>")
+    held = df.select(F.coalesce(terms, empty).alias("terms"), F.coalesce(named, empty).alias("columns"))
+    paired = F.flatten(F.transform("terms", lambda t: F.transform("columns", lambda c: item(t, c))))
+    alone = F.concat(F.transform("terms", lambda t: item(t, none)), F.transform("columns", lambda c: item(none, c)))
+    # texts are read once for pairs, terms and columns; an outer explode, as a plain one would have Spark
+    # work out the lists once more beforehand, to leave out empty ones
+    opened = held.select(F.explode_outer(F.concat(paired, alone)).alias("i")).select("i.*")
+    counted = materialize(opened.groupBy("term", "column_ref").agg(F.count(F.lit(1)).alias("both")), "terms")
+    queries = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    term, column = F.col("term"), F.col("column_ref")
+    together = counted.filter(term.isNotNull() & column.isNotNull() & (F.col("both") >= min_count))
+    by_term = counted.filter(term.isNotNull() & column.isNull()).select("term", F.col("both").alias("t"))
+    by_column = counted.filter(term.isNull() & column.isNotNull()).select("column_ref", F.col("both").alias("c"))
     joined = together.join(by_term, "term").join(by_column, "column_ref")
     lift = F.col("both").cast("double") * queries / (F.col("t").cast("double") * F.col("c"))
     return joined.select("term", "column_ref", F.col("both").alias("queries"), F.round(lift, 4).alias("lift"))
