@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tidemark.functions.dates import day
 from tidemark.operators.sliced import next_row, running_number
@@ -96,7 +97,15 @@ def bounded_by(df: DataFrame, c: str, spikes: DataFrame, spike_date: str, pad: i
 
 
 def literal_dim(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A small table of fixed rows.
+
+    Made from literals, its size is known and it is broadcast; that of a table
+    made from Python objects is not, and a join with it would sort the facts by a
+    key of few values.
+    """
+    kind = StructType.fromDDL(schema)
+    items = [F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(row, kind.fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*items).cast(ArrayType(kind))))
 
 
 def align_series(a: DataFrame, b: DataFrame, date: str, filled: list[str], how: str = "left") -> DataFrame:
