@@ -73,9 +73,10 @@ def a02_title(v):
 def a03(v):
     path = scratch_path(v.spark, "markdown")
     kinds = v.part.select(F.concat(F.lit("doc-"), F.col("p_partkey").cast("string")).alias("file"), "p_type")
-    # one file per kind and task, all sections of that kind inside
-    shown = markdown(v).join(kinds, "file").select(F.regexp_replace("text", "# Intro", "").alias("value"), "p_type")
-    shown.write.partitionBy("p_type").text(path)
+    # files of one kind and task, all sections of their texts inside; a file is read whole, so its texts are bounded.
+    # both sides hold all parts: joined by sorting, never broadcast
+    shown = markdown(v).join(kinds.hint("merge"), "file").select(F.regexp_replace("text", "# Intro", "").alias("value"), "p_type")
+    shown.write.option("maxRecordsPerFile", 2_000).partitionBy("p_type").text(path)
     counted = benchmarks.rows_per_file(benchmarks.ingest_dir(v.spark, path))
     return counted.groupBy(F.regexp_extract("source_file", "/p_type=([^/]*)/", 1).alias("kind")).agg(
         F.sum("row_count").alias("row_count")
