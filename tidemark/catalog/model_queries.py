@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import joined_text
 from tidemark.plans import model
 from tidemark.registry import query
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 from tidemark.views import Views
 
 
@@ -96,7 +96,9 @@ def documents_json(v: Views):
         F.lit("{"), version, F.lit('"data_sources":{"tables":['), shown_tables, F.lit(']},"instructions":'), instructions,
         F.lit(',"owner":{"team":"'), seg, F.lit('","size":'), nation, F.lit("}}"),
     )
-    return v.customer.select(F.col("c_custkey").alias("model_id"), document.alias("document"))
+    # customers are narrow and come in few row groups; a document takes far more work than its row
+    held = spread(v.customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"))
+    return held.select(F.col("c_custkey").alias("model_id"), document.alias("document"))
 
 
 def documents(v: Views):
@@ -186,7 +188,8 @@ def fixes(v: Views):
     for field in v.spark.createDataFrame([], model.FIX_COLUMNS).schema.fields:
         value = columns.get(field.name, F.lit(None))
         wanted[field.name] = value.cast(field.dataType).alias(field.name)
-    return v.events.select(*wanted.values())
+    # two narrow columns become wide fixes, which are sorted where they are read
+    return spread(v.events.select("event_id", "user_id")).select(*wanted.values())
 
 
 # -- the same fixes and documents for the check engine -------------------------------------
@@ -312,7 +315,7 @@ def l01_text_round_trip(v):
         shown = F.regexp_replace(F.to_json(F.parse_json(c)), r'"[a-z_]+":\[\],?', "")
         return F.regexp_replace(shown, r",\}", "}")
 
-    both = given.join(written, "model_id", "left")
+    both = given.join(written.hint("merge"), "model_id", "left")
     return both.select("model_id", (canonical("document").eqNullSafe(canonical("written"))).alias("same"))
 
 
@@ -325,7 +328,7 @@ def l01_text_round_trip(v):
            when 'synonyms' then (select string_agg(synonym, ' ' order by lower(synonym)) from ms where ms.model_id = n.model_id) end as keys from n""",
 )
 def l01_items(v):
-    items = model.section_items(model.explode_model(documents(v)))
+    items = model.section_items(model.explode_model(documents(v), written=True))
     shown = F.when(F.col("section") == "tables", F.get_json_object("item", "$.identifier")).when(
         F.col("section") == "synonyms", F.get_json_object("item", "$.synonym")
     )
@@ -350,8 +353,9 @@ def l01_round_trip(v):
         shown = F.regexp_replace(F.to_json(F.struct(*kept)), r'"[a-z_]+":\[\],?', "")
         return df.select("model_id", F.regexp_replace(shown, r",\}", "}").alias(name))
 
-    given = text(model.canonical_sort(docs), "a").join(text(model.canonical_sort(once), "b"), "model_id")
-    both = given.join(text(model.canonical_sort(twice), "c"), "model_id")
+    # whole texts on every side: joined by sorting, never broadcast
+    given = text(model.canonical_sort(docs), "a").join(text(model.canonical_sort(once), "b").hint("merge"), "model_id")
+    both = given.join(text(model.canonical_sort(twice), "c").hint("merge"), "model_id")
     return both.select("model_id", ((F.col("a") == F.col("b")) & (F.col("b") == F.col("c"))).alias("same"))
 
 
@@ -552,7 +556,7 @@ def l11_update(v):
         items("instructions.sql_functions").alias("functions"),
     )
     team = F.get_json_object("document", "$.owner.team").alias("team")
-    return models.select("model_id", "applied", "failed", "errors", "warnings", "updated", team).join(held, "model_id")
+    return models.select("model_id", "applied", "failed", "errors", "warnings", "updated", team).join(held.hint("merge"), "model_id")
 
 
 @query(
@@ -574,7 +578,7 @@ def l11_update_dry(v):
     given = materialize(documents_json(v), "texts")
     models, _ = model.update_documents(given, "document", materialize(fixes(v), "fixes"), dry_run=True)
     same = (F.col("g.document") == F.col("m.document")).alias("same")
-    both = models.alias("m").join(given.alias("g"), "model_id")
+    both = models.alias("m").join(given.alias("g").hint("merge"), "model_id")
     return both.select("model_id", "applied", "failed", "errors", "warnings", "updated", same)
 
 

@@ -103,6 +103,16 @@ FIX_COLUMNS = (
 )
 
 
+def _meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of rows that both grow with the models, by sorting.
+
+    Sizes of such sides are estimated from compressed files and fixed widths of
+    texts and lists, so a side of whole documents would pass for a small one and
+    be broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 # -- documents and relations -----------------------------------------------------------
 
 
@@ -226,7 +236,8 @@ def explode_model(models: DataFrame, written: bool = False) -> dict[str, DataFra
 
     def opened(section: str) -> DataFrame:
         if items is None:
-            return models.select("model_id", F.posexplode(LISTS[section]).alias("pos", "x"))
+            # an outer explode: a plain one has documents parsed once more beforehand, ahead of any spread of the rows
+            return models.select("model_id", F.posexplode_outer(LISTS[section]).alias("pos", "x")).filter("pos is not null")
         return items.filter(F.col("section") == section).select("model_id", "pos", F.col(section).alias("x"))
 
     tables = opened("tables").select(
@@ -303,15 +314,15 @@ def to_documents(relations: dict[str, DataFrame], models: DataFrame) -> DataFram
     """
     place = ["model_id", "table_pos"]
     synonyms = _listed(relations["synonyms"], [*place, "column_name"], F.col("synonym"), "synonyms").alias("s")
-    named = relations["columns"].alias("c").join(
-        synonyms, F.expr("c.model_id = s.model_id and c.table_pos = s.table_pos and c.column_name <=> s.column_name"), "left"
+    named = _meet(
+        relations["columns"].alias("c"), synonyms, F.expr("c.model_id = s.model_id and c.table_pos = s.table_pos and c.column_name <=> s.column_name"), "left"
     ).select("c.*", "s.synonyms")
     config = F.struct(
         "column_name", "description", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"),
         "get_example_values", "build_value_dictionary", "enable_format_assistance", "enable_entity_matching", MORE,
     )
     configs = _listed(named, place, config, "column_configs")
-    tables = relations["tables"].join(configs, place, "left")
+    tables = _meet(relations["tables"], configs, place, "left")
     table = F.struct("identifier", "description", F.coalesce("column_configs", F.array().cast(f"array<{_COLUMN}>")).alias("column_configs"), MORE)
     join = F.struct(
         "id", *[
@@ -331,7 +342,7 @@ def to_documents(relations: dict[str, DataFrame], models: DataFrame) -> DataFram
     } | {kind: (relations["snippets"].filter(F.col("kind") == kind), snippet, _SNIPPET) for kind in SNIPPET_KINDS.values()}
     held = models
     for name, (frame, item, kind) in lists.items():
-        held = held.join(_listed(frame, ["model_id"], item, f"__{name}"), "model_id", "left").withColumn(
+        held = _meet(held, _listed(frame, ["model_id"], item, f"__{name}"), "model_id", "left").withColumn(
             f"__{name}", F.coalesce(F.col(f"__{name}"), F.array().cast(f"array<{kind}>"))
         )
     kinds = F.struct(*[F.col(f"__{k}").alias(k) for k in SNIPPET_KINDS.values()], f"instructions.sql_snippets.{MORE}")
@@ -436,7 +447,7 @@ def resolve_tables(refs: DataFrame, models: DataFrame) -> DataFrame:
         )
 
     numbered = F.transform(F.col("names"), lambda name, i: F.struct(i.alias("i"), name.alias("identifier")))
-    found = distinct.join(listed, "model_id", "left").withColumn(
+    found = _meet(distinct, listed, "model_id", "left").withColumn(
         "hit", F.get(F.filter(numbered, fits), F.lit(0))
     )
     return found.select(
@@ -461,13 +472,13 @@ def _outcome(fixes: DataFrame, applied: Column, reason: Column) -> DataFrame:
 def _judged(fixes: DataFrame, hits: DataFrame) -> DataFrame:
     """Mark the fixes (model_id, fix_id) that hit something; a fix is known by both, as ids restart per model."""
     hit = hits.select("model_id", "fix_id").distinct().withColumn("__hit", F.lit(True))
-    return fixes.join(hit, ["model_id", "fix_id"], "left")
+    return _meet(fixes, hit, ["model_id", "fix_id"], "left")
 
 
 def _with_table(fixes: DataFrame, models: DataFrame) -> DataFrame:
     if "table_pos" in fixes.columns:
         return fixes
-    return fixes.join(resolve_tables(fixes, models), ["model_id", "table_ref"], "left")
+    return _meet(fixes, resolve_tables(fixes, models), ["model_id", "table_ref"], "left")
 
 
 def _type(*names: str) -> Column:
@@ -529,7 +540,7 @@ def apply_metadata_adds(
     texts = usable.filter(_type("add_table_description")).groupBy("model_id", "table_pos").agg(
         F.max_by("description", "fix_id").alias("__new")
     )
-    tables = relations["tables"].join(texts, ["model_id", "table_pos"], "left").withColumn(
+    tables = _meet(relations["tables"], texts, ["model_id", "table_pos"], "left").withColumn(
         "description", F.coalesce("__new", "description")
     ).drop("__new")
     return {**relations, "columns": columns, "synonyms": synonyms, "tables": tables}, outcome
@@ -543,11 +554,11 @@ def apply_metadata_deletes(
     key = ["model_id", "table_pos", "column_name", "synonym"]
     complete = _filled("table_ref", "column_name", "synonym")
     first = mine.filter(complete).groupBy(*key).agg(F.min("fix_id").alias("__first"))
-    hits = relations["synonyms"].select(*key).distinct().join(first, key)
+    hits = _meet(relations["synonyms"].select(*key).distinct(), first, key)
     judged = _judged(mine, hits.select("model_id", F.col("__first").alias("fix_id")))
     reason = F.when(~complete, MISSING).when(F.col("table_pos").isNull(), NO_TABLE).otherwise(NOTHING)
     outcome = _outcome(judged, F.col("__hit"), reason)
-    kept = relations["synonyms"].join(hits.select(*key), key, "left_anti")
+    kept = _meet(relations["synonyms"], hits.select(*key), key, "left_anti")
     return {**relations, "synonyms": kept}, outcome
 
 
@@ -588,7 +599,7 @@ def apply_examples(
         F.min("fix_id").alias("fix_id")
     )
     numbered = F.transform(F.col("examples"), lambda e, i: F.struct(i.alias("i"), e["id"].alias("id"), e["question"].alias("question")))
-    aimed = wanted.join(listed, "model_id").withColumn("pos", F.get(F.filter(numbered, fits), F.lit(0))["i"])
+    aimed = _meet(wanted, listed, "model_id").withColumn("pos", F.get(F.filter(numbered, fits), F.lit(0))["i"])
     hits = aimed.filter(F.col("pos").isNotNull()).groupBy("model_id", "pos").agg(F.min("fix_id").alias("__first"))
     judged = _judged(deletes, hits.select("model_id", F.col("__first").alias("fix_id")))
     outcome = _outcome(
@@ -596,7 +607,7 @@ def apply_examples(
     )
     old = relations["examples"]
     gone = hits.select("model_id", "pos")
-    kept = old.join(gone, ["model_id", "pos"], "left_anti")
+    kept = _meet(old, gone, ["model_id", "pos"], "left_anti")
 
     adds = fixes.filter(_type("add_example_query"))
     added = adds.select(
@@ -628,7 +639,7 @@ def _first_delete(items: DataFrame, deletes: DataFrame, keys: list[dict[str, str
         for fix_column in way.values():
             usable = usable.filter(F.coalesce(F.col(fix_column), F.lit("")) != "")
         first = usable.groupBy(*scope, *[F.col(f).alias(i) for i, f in way.items()]).agg(F.min("fix_id").alias("fix_id"))
-        hit = items.select(*scope, "pos", *names).join(first, [*scope, *names]).select(*scope, "pos", "fix_id")
+        hit = _meet(items.select(*scope, "pos", *names), first, [*scope, *names]).select(*scope, "pos", "fix_id")
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy(*scope, "pos").agg(F.min("fix_id").alias("fix_id"))
 
@@ -654,7 +665,7 @@ def apply_snippets(
     )
     named = _filled("ident") | _filled("alias") | _filled("display_name")
     outcome = _delete_outcome(deletes, removed, named)
-    kept = old.join(removed.select(*scope, "pos"), [*scope, "pos"], "left_anti")
+    kept = _meet(old, removed.select(*scope, "pos"), [*scope, "pos"], "left_anti")
 
     adds = typed.filter(_type(*ALLOWED_TYPES["sql_snippets_add"]))
     has_sql = F.coalesce(F.size("sql"), F.lit(0)) > 0
@@ -684,7 +695,7 @@ def apply_joins(relations: dict[str, DataFrame], fixes: DataFrame) -> tuple[dict
     )
     named = _filled("ident") | _filled("left_table", "right_table")
     outcome = _delete_outcome(deletes, removed, named)
-    kept = old.join(removed.select("model_id", "pos"), ["model_id", "pos"], "left_anti")
+    kept = _meet(old, removed.select("model_id", "pos"), ["model_id", "pos"], "left_anti")
 
     adds = fixes.filter(_type("add_join_spec"))
     complete = _filled("left_table", "right_table") & (F.coalesce(F.size("sql"), F.lit(0)) > 0)
@@ -724,10 +735,10 @@ def apply_instruction(relations: dict[str, DataFrame], fixes: DataFrame) -> tupl
         F.max_by("content", "fix_id").alias("__new"), F.min("fix_id").alias("__by")
     )
     old = relations["instructions"]
-    replaced = old.join(latest.select("model_id", "__new"), "model_id", "left").withColumn(
+    replaced = _meet(old, latest.select("model_id", "__new"), "model_id", "left").withColumn(
         "content", F.when((F.col("pos") == 0) & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("content"))
     ).drop("__new")
-    fresh = latest.join(old.select("model_id"), "model_id", "left_anti").select(
+    fresh = _meet(latest, old.select("model_id"), "model_id", "left_anti").select(
         "model_id",
         F.lit(0).alias("pos"),
         F.col("__by").alias("added_by"),
@@ -788,25 +799,25 @@ def update_documents(
     counts = report.groupBy("model_id").agg(
         F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("failed")
     )
-    judged = is_valid(after).join(counts, "model_id", "left").na.fill(0, ["applied", "failed"])
+    judged = _meet(is_valid(after), counts, "model_id", "left").na.fill(0, ["applied", "failed"])
     sound, wanted = F.col("is_valid"), F.col("applied") > 0
     readable = F.coalesce(F.schema_of_variant(F.try_parse_json("__text")).startswith("OBJECT"), F.lit(False))
     state = materialize(
-        texts.join(judged, "model_id").select(
+        _meet(texts, judged, "model_id").select(
             "model_id", F.when(sound, F.col("applied")).otherwise(0).alias("applied"),
             F.when(sound, F.col("failed")).otherwise(F.col("failed") + F.col("applied")).alias("failed"), "errors", "warnings",
             (sound & wanted & readable & F.lit(not dry_run)).alias("updated"), (wanted & ~sound).alias("rejected"), "__text",
         ),
         "states",
     )
-    written = write_documents(after.join(state.filter("updated").select("model_id"), "model_id", "left_semi"))
-    models = state.join(written, "model_id", "left").select(
+    written = write_documents(_meet(after, state.filter("updated").select("model_id"), "model_id", "left_semi"))
+    models = _meet(state, written, "model_id", "left").select(
         F.col("model_id").alias(model_id), "applied", "failed", "errors", "warnings", "updated",
         F.coalesce("document", "__text").alias("document"),
     )
     refused = state.filter("rejected").select("model_id", F.lit(True).alias("__refused"))
     lost = F.col("applied") & F.col("__refused").isNotNull()
-    final = report.join(refused, "model_id", "left").select(
+    final = _meet(report, refused, "model_id", "left").select(
         F.col("model_id").alias(model_id), "fix_id", "fix_type", (F.col("applied") & ~lost).alias("applied"),
         F.when(lost, REFUSED).otherwise(F.col("reason")).alias("reason"),
     )
@@ -891,7 +902,7 @@ def is_valid(models: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
     )
-    joined = models.select("model_id").join(counts, "model_id", "left").na.fill(0, ["errors", "warnings"])
+    joined = _meet(models.select("model_id"), counts, "model_id", "left").na.fill(0, ["errors", "warnings"])
     return joined.withColumn("is_valid", F.col("errors") == 0)
 
 
