@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -44,6 +45,59 @@ def test_corpus_vectors_as_brute_force(spark):
     assert got == {k: (n, v.tolist()) for k, (n, v) in expected.items()}
 
 
+def some_vectors():
+    draw = np.random.default_rng(3)
+    corpus = draw.normal(size=(quality.BUCKETS, quality.DIMENSIONS)).astype(np.float32)
+    return quality.WordVectors(draw.random(quality.BUCKETS).astype(np.float32), np.hstack([quality.index_vectors().astype(np.float32), corpus]))
+
+
+def test_pooled_as_brute_force():
+    vectors, index = some_vectors(), quality.index_vectors().astype(int)
+    n = quality.BLOCK
+    lengths = [0, 1, 2, 3, n - 1, n, 1, n + 1, n + 2, 2, 3 * n + 1, 40, 5]
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in draw.zipf(1.3, k) % 5000) for k in lengths] + [None, " ", "same same same same"]
+    got = vectors.pooled(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        w = plain_words(text or "")
+        b = [int(words.Hasher(np.frombuffer(x, np.uint8)).of(np.array([0]), np.array([len(x)]))[0] % np.uint64(quality.BUCKETS)) for x in w]
+        held, k = vectors.weights[b].astype(float), max(1, len(b))
+        weighted = vectors.table[b] * held[:, None]
+        again = sum(index[b[i]] @ index[b[j]] for i in range(len(b)) for j in range(max(0, i - quality.REACH), min(len(b), i + quality.REACH + 1)) if j != i)
+        mean, spread = weighted.sum(0) / max(held.sum(), 1e-6), np.sqrt((weighted**2).sum(0) / k)
+        np.testing.assert_allclose(row, [*mean, *spread, held.sum() / k, again / k, np.log1p(len(b)), not b], rtol=1e-4, atol=1e-5)
+
+
+def test_pooling_holds_no_vector_per_word():
+    """Vectors of all words of a segment, copied at each step, were most of the time: some 80 MB each here."""
+    vectors, texts = some_vectors(), pa.array(["ab cd ef gh " * 600] * 140)
+    vectors.pooled(texts)
+    tracemalloc.start()
+    vectors.pooled(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_learning_pools_each_text_once(spark, tmp_path):
+    log = tmp_path / "pooled"
+
+    class Noted(quality.WordVectors):
+        def pooled(self, texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts.to_pylist()))
+            return super().pooled(texts)
+
+    held = some_vectors()
+    docs = spark.createDataFrame([(i, f"a{i} b") for i in range(200)] + [(5, "again")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, label int")
+    network = quality.learn(docs, labels, Noted(held.weights, held.table))
+    expected = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % quality.FOLDS != quality.HELD_OUT]
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(expected)
+    again = quality.learn(docs.repartition(3), labels, held)
+    assert (network.w1 == again.w1).all() and network.temperature == again.temperature
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "quality as label")

@@ -17,6 +17,7 @@ scored alike; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ BUCKETS = 1 << 13  # words share so many vectors: 8192 x 32 numbers, 2 MB
 DIMENSIONS = 32
 NONZERO = 4  # entries of an index vector
 REACH = 2  # neighbours on each side
+BLOCK = 512  # words whose index vectors are held at once, so that they stay in a core's cache
 TRAIN_ROWS = 20_000  # labelled documents learned from, at most
 HIDDEN = 24
 FOLDS, HELD_OUT = 3, 1  # rows whose crc32 of the id leaves HELD_OUT are not learned from
@@ -55,16 +57,35 @@ def _buckets(segment: words.Segment) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbour_sums(bucket: np.ndarray, piece: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sum of the index vectors of each word's neighbours in its own text."""
-    own = index[bucket].astype(np.int16)
+    """Sum of the index vectors of each word's neighbours in its own text; a row per dimension, a column per word.
+
+    A sum is at most 2 * REACH * NONZERO, so bytes hold it.
+    """
+    own = np.take(np.ascontiguousarray(index.T), bucket, 1)
     near = np.zeros_like(own)
     for d in range(1, REACH + 1):
-        same = (piece[d:] == piece[:-d])[:, None]
-        near[d:] += own[:-d] * same
-        near[:-d] += own[d:] * same
+        same = (piece[d:] == piece[:-d]).astype(np.int8)
+        near[:, d:] += own[:, :-d] * same
+        near[:, :-d] += own[:, d:] * same
     return near
 
 
+def neighbour_products(bucket: np.ndarray, piece: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Twice the product of each word's index vector with those of its next neighbours in its own text.
+
+    Over a text they sum to the products with the neighbours on both sides.
+    """
+    out = np.zeros(len(bucket))
+    for begin in range(0, len(bucket), BLOCK):
+        own = index.take(bucket[begin : begin + BLOCK + REACH], 0)
+        for d in range(1, REACH + 1):
+            after = own[d : d + BLOCK]
+            end = begin + len(after)
+            same = piece[begin + d : end + d] == piece[begin:end]
+            out[begin:end] += 2 * np.einsum("ij,ij->i", own[: len(after)], after) * same
+    return out
+
+
 def corpus_vectors(docs: DataFrame) -> DataFrame:
     """(bucket, n, v0 ... ) over all documents: counts and summed neighbour vectors.
 
@@ -84,7 +105,7 @@ def corpus_vectors(docs: DataFrame) -> DataFrame:
                 near = neighbour_sums(bucket, piece, index)
                 counts += np.bincount(bucket, minlength=BUCKETS)
                 for i in range(DIMENSIONS):
-                    sums[:, i] += np.bincount(bucket, near[:, i], BUCKETS).astype(np.int64)
+                    sums[:, i] += np.bincount(bucket, near[i], BUCKETS).astype(np.int64)
         seen = np.flatnonzero(counts)
         if len(seen):
             columns = [pa.array(seen), pa.array(counts[seen]), *[pa.array(sums[seen, i]) for i in range(DIMENSIONS)]]
@@ -122,25 +143,30 @@ class WordVectors:
     def features(self) -> int:
         return 2 * self.table.shape[1] + 4
 
+    @cached_property
+    def summands(self) -> np.ndarray:
+        """What a word adds to its text's sums, a column per bucket: its weighted vectors and their squares."""
+        vectors = (self.table * self.weights[:, None]).T
+        return np.vstack([vectors, vectors * vectors]).astype(np.float64, order="C")
+
     def pooled(self, texts: pa.Array) -> np.ndarray:
         """A row of features for each text."""
-        d, index = self.table.shape[1], index_vectors()
+        d, index = self.table.shape[1], index_vectors().astype(np.float32)
         sums = np.zeros((len(texts), 2 * d + 3))
         for segment in words.segments(texts):
             bucket, piece = _buckets(segment)
             if len(bucket) == 0:
                 continue
             w = self.weights[bucket]
-            vectors = self.table[bucket] * w[:, None]
             first = np.flatnonzero(np.diff(piece, prepend=-1))
             at = segment.rows[piece[first]]
-            sums[at, :d] += np.add.reduceat(vectors, first, 0, dtype=np.float64)
-            sums[at, d : 2 * d] += np.add.reduceat(vectors * vectors, first, 0, dtype=np.float64)
+            # one dimension of all words at a time: its row of the table and its words' numbers stay in a core's cache
+            for i, row in enumerate(self.summands):
+                sums[at, i] += np.add.reduceat(row.take(bucket), first)
             sums[at, 2 * d] += np.add.reduceat(w, first, dtype=np.float64)
             sums[at, 2 * d + 1] += np.diff(np.append(first, len(piece)))
             # how much of a word's own index vector its neighbours hold: high where words repeat at once
-            again = np.einsum("ij,ij->i", index[bucket].astype(np.float32), neighbour_sums(bucket, piece, index).astype(np.float32))
-            sums[at, 2 * d + 2] += np.add.reduceat(again, first, dtype=np.float64)
+            sums[at, 2 * d + 2] += np.add.reduceat(neighbour_products(bucket, piece, index), first)
         words_held = sums[:, 2 * d + 1 : 2 * d + 2]
         n = np.maximum(words_held, 1)
         mean = sums[:, :d] / np.maximum(sums[:, 2 * d : 2 * d + 1], 1e-6)
@@ -223,11 +249,14 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: WordVectors, limit: int =
         return step
 
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    got = map_batches(sample, make, "doc_id bigint, label int, x array<double>").orderBy("doc_id", "label", "x").toArrow()
+    got = map_batches(sample, make, "doc_id bigint, label int, x array<double>").toArrow()
     if got.num_rows == 0:
         return constant_network(vectors.features)
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-    return train(x, (got["label"].to_numpy() > 0).astype(np.float64))
+    label = got["label"].to_numpy()
+    # ordered here: a sort in Spark pools every text once more to find its ranges
+    order = np.lexsort([*x.T[::-1], label, got["doc_id"].to_numpy()])
+    return train(x[order], (label[order] > 0).astype(np.float64))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
